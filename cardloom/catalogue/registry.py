@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from cardloom.catalogue import retrieval_queries
+from cardloom.catalogue import retrieval_queries, text_queries
 
-_GROUPS = (retrieval_queries,)
+_GROUPS = (retrieval_queries, text_queries)
 
 
 def queries():

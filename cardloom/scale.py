@@ -32,7 +32,7 @@ def time_block(df: DataFrame, keys: Sequence[str], ts: str, rows_per_block: int
     Returns None when every key is measured to fit one block, so the caller
     may use a plain window.  One aggregated row reaches the driver.
     """
-    seconds = F.col(ts).cast("double")
+    seconds = F.col(ts).cast("timestamp").cast("double")
     hottest = (
         df.groupBy(*keys)
         .agg(F.count("*").alias("n"), (F.max(seconds) - F.min(seconds)).alias("span"))
@@ -110,3 +110,13 @@ def top_per_key(
         )
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than cores, before heavy per-row work.
+
+    Large inputs already have more partitions than cores and pass unchanged.
+    Meant for plain scans: the partition count of a scan is known without running it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
