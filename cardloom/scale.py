@@ -26,24 +26,29 @@ def _merged(op: str, carry: Column, own: Column) -> Column:
     return F.greatest(carry, own) if op == "max" else F.least(carry, own)
 
 
-def time_block(df: DataFrame, keys: Sequence[str], ts: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column | None:
-    """Block column over ``ts`` sized so that the hottest key gets about ``rows_per_block`` rows a block.
+def sized_block(
+    df: DataFrame, keys: Sequence[str], position: Column, rows_per_block: int = ROWS_PER_BLOCK
+) -> Column | None:
+    """Block column over a numeric ``position``, sized so that the hottest key gets about ``rows_per_block`` rows a block.
 
     Returns None when every key is measured to fit one block, so the caller
     may use a plain window.  One aggregated row reaches the driver.
     """
-    seconds = F.col(ts).cast("timestamp").cast("double")
     hottest = (
         df.groupBy(*keys)
-        .agg(F.count("*").alias("n"), (F.max(seconds) - F.min(seconds)).alias("span"))
+        .agg(F.count("*").alias("n"), (F.max(position) - F.min(position)).alias("span"))
         .agg(F.max(F.struct("n", "span")).alias("h"))
         .first()["h"]
     )
     if hottest is None or hottest["n"] <= rows_per_block:
         return None
     blocks = -(-hottest["n"] // rows_per_block)
-    width = max((hottest["span"] or 0.0) / blocks, 1e-3)
-    return F.floor(seconds / F.lit(width))
+    return F.floor(position / F.lit(max((hottest["span"] or 0.0) / blocks, 1e-3)))
+
+
+def time_block(df: DataFrame, keys: Sequence[str], ts: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column | None:
+    """``sized_block`` over a timestamp column."""
+    return sized_block(df, keys, F.col(ts).cast("timestamp").cast("double"), rows_per_block)
 
 
 def ordinal_block(ordinal: str | Column, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
