@@ -29,14 +29,14 @@ def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def vector_topk_text(spark: SparkSession, folder: str) -> DataFrame:
     hits = r.vector_topk(t.questions(spark, folder), t.cards(spark, folder), 5)
     return hits.select(
-        "qid", F.col("rank").cast("bigint").alias("rank"), "card_id", F.bround("score", 4).alias("score")
+        "qid", F.col("rank").cast("bigint").alias("rank"), "card_id", tx.exact_round(F.col("score"), 4).alias("score")
     )
 
 
 def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
     hits = r.lexical_topk(t.questions(spark, folder), t.cards(spark, folder), 5)
     return hits.select(
-        "qid", F.col("rank").cast("bigint").alias("rank"), "card_id", F.bround("score", 4).alias("score")
+        "qid", F.col("rank").cast("bigint").alias("rank"), "card_id", tx.exact_round(F.col("score"), 4).alias("score")
     )
 
 
@@ -53,8 +53,8 @@ def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
         F.col("rank").cast("bigint").alias("rank"),
         "card_id",
         "score",
-        F.bround("lexical", 4).alias("lexical"),
-        F.bround("vector", 4).alias("vector"),
+        tx.exact_round(F.col("lexical"), 4).alias("lexical"),
+        tx.exact_round(F.col("vector"), 4).alias("vector"),
         "kind",
         "chapter",
         F.md5(F.col("topic").cast("binary")).alias("topic_md5"),
@@ -101,7 +101,7 @@ def vector_topk_dense(spark: SparkSession, folder: str) -> DataFrame:
     )
     offered = rows.select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vector"))
     return r.dense_topk(queries, offered, 10).select(
-        "qid", F.col("rank").cast("bigint").alias("rank"), F.col("ord").alias("vec_id"), F.bround("score", 4).alias("score")
+        "qid", F.col("rank").cast("bigint").alias("rank"), F.col("ord").alias("vec_id"), tx.exact_round(F.col("score"), 4).alias("score")
     )
 
 
@@ -225,41 +225,41 @@ FROM code GROUP BY item_id, h % 256 HAVING sum(CASE WHEN (h >> 8) & 1 = 1 THEN 1
     "vector_topk_text": "WITH"
     + SCORE_SQL
     + """
-SELECT qid, vrank AS rank, card_id, round_even(greatest(0.0::DOUBLE, cosine), 4) AS score FROM ranked WHERE vrank <= 5""",
+SELECT qid, vrank AS rank, card_id, CAST(printf('%.4f', greatest(0.0::DOUBLE, cosine)) AS DOUBLE) AS score FROM ranked WHERE vrank <= 5""",
     "lexical_topk": "WITH"
     + SCORE_SQL
     + """
 SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, ord) AS rank, card_id,
-round_even(lexical, 4) AS score FROM ranked WHERE lexical IS NOT NULL) WHERE rank <= 5""",
+CAST(printf('%.4f', lexical) AS DOUBLE) AS score FROM ranked WHERE lexical IS NOT NULL) WHERE rank <= 5""",
     "hybrid_topk": "WITH"
     + fused_sql(5, 15)
     + """
-SELECT qid, course, rank, card_id, round_even(raw, 4) AS score, round_even(lexical, 4) AS lexical,
-round_even(vector, 4) AS vector, kind, chapter, md5(topic) AS topic_md5 FROM hit""",
+SELECT qid, course, rank, card_id, CAST(printf('%.4f', raw) AS DOUBLE) AS score, CAST(printf('%.4f', lexical) AS DOUBLE) AS lexical,
+CAST(printf('%.4f', vector) AS DOUBLE) AS vector, kind, chapter, md5(topic) AS topic_md5 FROM hit""",
     "rerank_bias": "WITH"
     + fused_sql(5, 15)
     + """
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY key DESC, rank) AS rank, card_id, kind, score FROM (
-  SELECT qid, rank, card_id, kind, round_even(raw, 4) AS score,
+  SELECT qid, rank, card_id, kind, CAST(printf('%.4f', raw) AS DOUBLE) AS score,
     CASE WHEN qid % 3 = 0 THEN 0
-         WHEN qid % 3 = 1 AND kind IN ('概念', '定理') THEN round_even(raw, 4) + 0.25::DOUBLE
-         WHEN qid % 3 = 2 AND kind IN ('方法', '例题') THEN round_even(raw, 4) + 0.25::DOUBLE
-         ELSE round_even(raw, 4) END AS key FROM hit)""",
+         WHEN qid % 3 = 1 AND kind IN ('概念', '定理') THEN CAST(printf('%.4f', raw) AS DOUBLE) + 0.25::DOUBLE
+         WHEN qid % 3 = 2 AND kind IN ('方法', '例题') THEN CAST(printf('%.4f', raw) AS DOUBLE) + 0.25::DOUBLE
+         ELSE CAST(printf('%.4f', raw) AS DOUBLE) END AS key FROM hit)""",
     "kind_after_rank": "WITH"
     + fused_sql(10, 30)
     + """
 SELECT qid, new_rank AS rank, card_id, score FROM (
-  SELECT qid, card_id, round_even(raw, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS new_rank
+  SELECT qid, card_id, CAST(printf('%.4f', raw) AS DOUBLE) AS score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS new_rank
   FROM hit WHERE kind = '方法') WHERE new_rank <= 5""",
     "hard_gate": "WITH"
     + fused_sql(5, 15)
     + """
-SELECT qid, max(round_even(raw, 4)) AS top_score, max(round_even(raw, 4)) >= 0.40::DOUBLE AS relevant FROM hit GROUP BY qid""",
+SELECT qid, max(CAST(printf('%.4f', raw) AS DOUBLE)) AS top_score, max(CAST(printf('%.4f', raw) AS DOUBLE)) >= 0.40::DOUBLE AS relevant FROM hit GROUP BY qid""",
     "memory_topk": "WITH"
     + SCORE_SQL
     + """
 SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, ord) AS rank, card_id,
-round_even(lexical, 4) AS score FROM ranked WHERE lexical IS NOT NULL) WHERE rank <= 2""",
+CAST(printf('%.4f', lexical) AS DOUBLE) AS score FROM ranked WHERE lexical IS NOT NULL) WHERE rank <= 2""",
     "vector_topk_dense": """
 WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 centre AS (SELECT label, i, CAST(sum(CAST(round(v * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS c FROM x GROUP BY label, i),
@@ -267,7 +267,7 @@ cn AS (SELECT label, sqrt(sum(c * c)) AS n FROM centre GROUP BY label),
 vn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM x GROUP BY vec_id),
 dot AS (SELECT c.label, x.vec_id, sum(c.c * x.v) AS d FROM centre c JOIN x ON c.i = x.i GROUP BY c.label, x.vec_id),
 s AS (SELECT dot.label, dot.vec_id, d / (cn.n * vn.n) AS cosine FROM dot JOIN cn ON cn.label = dot.label JOIN vn ON vn.vec_id = dot.vec_id)
-SELECT CAST(label AS BIGINT) AS qid, rank, vec_id, round_even(greatest(0.0::DOUBLE, cosine), 4) AS score FROM (
+SELECT CAST(label AS BIGINT) AS qid, rank, vec_id, CAST(printf('%.4f', greatest(0.0::DOUBLE, cosine)) AS DOUBLE) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
     "vector_table": "WITH"
     + SCORE_SQL

@@ -79,3 +79,20 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         F.col("event_id").alias("seq"),
     )
+
+
+def turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user message with the assistant message right after it; ten students share the conversations."""
+    said = table(spark, folder, "conversations")
+    asked = said.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = said.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    return asked.join(replies, ["conv_id", "turn"], "left").select(
+        (F.col("conv_id") % 10).alias("user_id"),
+        F.col("conv_id").cast("string").alias("sid"),
+        "turn",
+        "question",
+        "answer",
+        F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn")).alias("ts"),
+    )

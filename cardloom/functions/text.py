@@ -90,3 +90,8 @@ def clock_seconds(text: Column) -> Column:
 def cut(text: Column, limit: int, tail: str) -> Column:
     """At most ``limit`` characters, ``tail`` appended when something was cut off."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(tail))).otherwise(text)
+
+
+def exact_round(value: Column, places: int) -> Column:
+    """Round half to even on the exact binary value, so 2.675 gives 2.67 and 0.125 gives 0.12."""
+    return F.regexp_replace(F.format_number(value, places), ",", "").cast("double")

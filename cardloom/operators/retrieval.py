@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
 from cardloom.functions import vectors as vec
+from cardloom.functions.text import exact_round
 from cardloom.scale import top_per_key
 
 MAX_BROADCAST_QUESTIONS = 10_000
@@ -407,7 +408,7 @@ def hybrid_topk(
         "rank",
         "card_id",
         "ord",
-        F.bround("raw_score", 4).alias("score"),
+        exact_round(F.col("raw_score"), 4).alias("score"),
         "lexical",
         "vector",
     )

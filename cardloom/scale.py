@@ -13,17 +13,22 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 1_000_000
 
-_AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
+# "max_before" leaves out the current row
+_AGGREGATES = {"sum": F.sum, "max": F.max, "max_before": F.max}
 
 
 def _merged(op: str, carry: Column, own: Column) -> Column:
-    if op == "sum":
-        return F.coalesce(carry + own, own, carry)
-    return F.greatest(carry, own) if op == "max" else F.least(carry, own)
+    return F.coalesce(carry + own, own, carry) if op == "sum" else F.greatest(carry, own)
+
+
+def _running(op: str, value: Column, window: WindowSpec) -> Column:
+    last = -1 if op == "max_before" else 0
+    return _AGGREGATES[op](value).over(window.rowsBetween(Window.unboundedPreceding, last))
 
 
 def sized_block(
@@ -64,17 +69,17 @@ def running(
     values: dict[str, tuple[str, Column]],
     block: Column | None,
 ) -> DataFrame:
-    """Inclusive running ``sum``/``max``/``min`` per key in ``order``.
+    """Running ``sum``, ``max`` and ``max_before`` (current row left out) per key in ``order``.
 
     ``block`` must never decrease in ``order`` within a key.  Keys must not be null.
     """
     if block is None:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: _AGGREGATES[op](e).over(window) for n, (op, e) in values.items()})
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({n: _running(op, e, window) for n, (op, e) in values.items()})
 
     blocked = df.withColumn(BLOCK, block)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocked.withColumns({n: _AGGREGATES[op](e).over(inside) for n, (op, e) in values.items()})
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    rows = blocked.withColumns({n: _running(op, e, inside) for n, (op, e) in values.items()})
     sums = blocked.groupBy(*keys, BLOCK).agg(
         *[_AGGREGATES[op](e).alias(f"_sum_{n}") for n, (op, e) in values.items()]
     )
