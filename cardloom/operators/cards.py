@@ -62,7 +62,7 @@ def parse_cards(
     return built.withColumn("error", error).drop("_p", "_keys")
 
 
-def valid_cards(parsed: DataFrame, *keep: str) -> DataFrame:
+def valid_cards(parsed: DataFrame, *keep: str | Column) -> DataFrame:
     return parsed.filter(F.col("error").isNull()).select("card.*", *keep)
 
 
