@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from cardloom.catalogue import card_queries, retrieval_queries, student_queries, text_queries
+from cardloom.catalogue import answer_queries, card_queries, retrieval_queries, student_queries, text_queries
 
-_GROUPS = (retrieval_queries, text_queries, card_queries, student_queries)
+_GROUPS = (retrieval_queries, text_queries, card_queries, student_queries, answer_queries)
 
 
 def queries():

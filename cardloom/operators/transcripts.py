@@ -87,7 +87,7 @@ def paragraph_starts(
     key_fields = [fields[k] for k in keys]
     blocked = segments.withColumn("_block", F.floor(F.col("start") / F.lit(float(block_seconds))))
     block = T.StructField("_block", T.LongType())
-    group = [*keys, "_block"]
+    group, columns = [*keys, "_block"], list(segments.columns)
 
     def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
         starts = np.sort(pdf["start"].to_numpy(np.float64))
@@ -136,7 +136,7 @@ def paragraph_starts(
             i = max(following, i)
             if following >= len(starts):
                 break
-        return pdf[segments.columns].assign(para_start=opening)
+        return pdf[columns].assign(para_start=opening)
 
     out = T.StructType([*segments.schema.fields, T.StructField("para_start", T.DoubleType())])
     return blocked.join(carried, group).groupBy(*group).applyInPandas(finish, out)
