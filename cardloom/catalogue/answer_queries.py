@@ -298,16 +298,16 @@ SELECT CASE WHEN intent IN ('通识', '闲聊') OR turn % 4 = 0 THEN 'general'
     + _SEG
     + """,
 op AS (
-  SELECT user_id, min(start) AS at FROM sg GROUP BY user_id
+  SELECT user_id, min(start) AS opened FROM sg GROUP BY user_id
   UNION ALL
-  SELECT op.user_id, (SELECT min(s.start) FROM sg s WHERE s.user_id = op.user_id AND s.start - op.at >= 86400) AS at
-  FROM op WHERE EXISTS (SELECT 1 FROM sg s WHERE s.user_id = op.user_id AND s.start - op.at >= 86400)
+  SELECT op.user_id, (SELECT min(s.start) FROM sg s WHERE s.user_id = op.user_id AND s.start - op.opened >= 86400) AS opened
+  FROM op WHERE EXISTS (SELECT 1 FROM sg s WHERE s.user_id = op.user_id AND s.start - op.opened >= 86400)
 ),
-nx AS (SELECT user_id, at, lead(at) OVER (PARTITION BY user_id ORDER BY at) AS upto FROM op)
-SELECT nx.user_id, CAST(at AS DOUBLE) AS para_start,
-  '[' || CASE WHEN at >= 3600 THEN printf('%d:%02d:%02d', (at // 3600)::BIGINT, ((at % 3600) // 60)::BIGINT, (at % 60)::BIGINT) ELSE printf('%02d:%02d', ((at % 3600) // 60)::BIGINT, (at % 60)::BIGINT) END || '] ' || string_agg(text, '' ORDER BY start, seq) AS text,
+nx AS (SELECT user_id, opened, lead(opened) OVER (PARTITION BY user_id ORDER BY opened) AS upto FROM op)
+SELECT nx.user_id, CAST(opened AS DOUBLE) AS para_start,
+  '[' || CASE WHEN opened >= 3600 THEN printf('%d:%02d:%02d', opened::BIGINT // 3600, (opened::BIGINT % 3600) // 60, opened::BIGINT % 60) ELSE printf('%02d:%02d', (opened::BIGINT % 3600) // 60, opened::BIGINT % 60) END || '] ' || string_agg(text, '' ORDER BY start, seq) AS text,
   count(*) AS segments
-FROM nx JOIN sg ON sg.user_id = nx.user_id AND sg.start >= nx.at AND (nx.upto IS NULL OR sg.start < nx.upto) GROUP BY nx.user_id, at""",
+FROM nx JOIN sg ON sg.user_id = nx.user_id AND sg.start >= nx.opened AND (nx.upto IS NULL OR sg.start < nx.upto) GROUP BY nx.user_id, opened""",
     "music_filter": """
 SELECT conv_id, count(*) AS n_segments FROM conversations WHERE turn <> 2
   AND NOT regexp_matches(text, '(?i)subtitle|zither|harp') GROUP BY conv_id""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,16 +61,82 @@ def drop_music(segments: DataFrame) -> DataFrame:
 # ---- time anchors -----------------------------------------------------------
 
 
-def _next(starts: np.ndarray, at: float, gap: float) -> int:
-    """First position whose start is at least ``gap`` after ``at``."""
-    i = int(np.searchsorted(starts, at + gap))
-    while i > 0 and starts[i - 1] - at >= gap:
+def _next(starts: np.ndarray, at: float, gap: float, low: int = 0) -> int:
+    """First position from ``low`` on whose start is at least ``gap`` after ``at``."""
+    i = low + int(np.searchsorted(starts[low:], at + gap))
+    while i > low and starts[i - 1] - at >= gap:
         i -= 1
     while i < len(starts) and starts[i] - at < gap:
         i += 1
     return i
 
 
+def _whole_groups(
+    batches: Iterator[pd.DataFrame], keys: list[str]
+) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Complete groups of a stream sorted by ``keys``: rows with the start and stop position of every group."""
+    held = None
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        new = np.zeros(len(rows), dtype=bool)
+        new[0] = True
+        for key in keys:
+            values = rows[key].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        held = rows.iloc[starts[-1] :].reset_index(drop=True)
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts[:-1], starts[1:]
+    if held is not None:
+        yield held, np.array([0]), np.array([len(held)])
+
+
+def _sum_up(starts: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every opening a block can have first, and the last opening that follows from it."""
+    possible = min(_next(starts, starts[0], gap) + 1, len(starts))
+    last: dict[int, float] = {}
+    for i in range(possible - 1, -1, -1):
+        seen, at = [], i
+        while at not in last:
+            seen.append(at)
+            following = _next(starts, starts[at], gap, at + 1)
+            if following == len(starts):
+                last[at] = starts[at]
+            else:
+                at = following
+        for k in seen:
+            last[k] = last[at]
+    return starts[:possible], np.array([last[i] for i in range(possible)])
+
+
+def _chain(blocks: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, gap: float) -> tuple[np.ndarray, list]:
+    """Opening in force before every block of one key."""
+    numbers, begin = np.unique(blocks, return_index=True)
+    ends = np.r_[begin[1:], len(blocks)]
+    before, at = [], None
+    for b, e in zip(begin, ends):
+        before.append(at)
+        entry = b if at is None else b + _next(firsts[b:e], at, gap)
+        if entry < e:
+            at = float(lasts[entry])
+    return numbers, before
+
+
+def _openings(starts: np.ndarray, known: float, gap: float) -> np.ndarray:
+    """Opening each segment of a block belongs to, given the one in force before it (NaN = none)."""
+    opening = np.empty(len(starts))
+    at, i = (starts[0], 0) if np.isnan(known) else (known, 0)
+    while i < len(starts):
+        following = _next(starts, at, gap, i)
+        opening[i:following] = at
+        if following == len(starts):
+            break
+        at, i = starts[following], following
+    return opening
+
+
 def paragraph_starts(
     segments: DataFrame,
     keys: list[str],
@@ -89,57 +157,52 @@ def paragraph_starts(
     block = T.StructField("_block", T.LongType())
     group, columns = [*keys, "_block"], list(segments.columns)
 
-    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts = np.sort(pdf["start"].to_numpy(np.float64))
-        last = np.empty(len(starts))
-        for i in range(len(starts) - 1, -1, -1):
-            following = _next(starts, starts[i], gap)
-            last[i] = starts[i] if following == len(starts) else last[following]
-        possible = min(_next(starts, starts[0], gap) + 1, len(starts))
-        return pd.DataFrame(
-            {**{c: pdf[c].iloc[0] for c in group}, "first": starts[:possible], "last": last[:possible]}
-        )
+    def tables_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, begins, ends in _whole_groups(batches, group):
+            starts = rows["start"].to_numpy(np.float64)
+            found = [_sum_up(starts[b:e], gap) for b, e in zip(begins, ends)]
+            times = [len(f) for f, _ in found]
+            yield rows[group].iloc[np.repeat(begins, times)].assign(
+                first=np.concatenate([f for f, _ in found]), last=np.concatenate([x for _, x in found])
+            )
 
     doubles = [T.StructField("first", T.DoubleType()), T.StructField("last", T.DoubleType())]
     tables = (
         blocked.select(*group, "start")
-        .groupBy(*group)
-        .applyInPandas(sum_up, T.StructType([*key_fields, block, *doubles]))
+        .repartition(*group)
+        .sortWithinPartitions(*group, "start")
+        .mapInPandas(tables_of, T.StructType([*key_fields, block, *doubles]))
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, before, at = [], [], None
-        for number, table in pdf.sort_values(["_block", "first"]).groupby("_block"):
-            blocks.append(number)
-            before.append(at)
-            firsts, lasts = table["first"].to_numpy(), table["last"].to_numpy()
-            entry = 0 if at is None else _next(firsts, at, gap)
-            if entry < len(firsts):
-                at = float(lasts[entry])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "_block": blocks, "_before": before})
-
-    carried = tables.groupBy(*keys).applyInPandas(
-        chain, T.StructType([*key_fields, block, T.StructField("_before", T.DoubleType())])
+    def chains_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, begins, ends in _whole_groups(batches, keys):
+            blocks, firsts, lasts = (rows[c].to_numpy() for c in ("_block", "first", "last"))
+            found = [_chain(blocks[b:e], firsts[b:e], lasts[b:e], gap) for b, e in zip(begins, ends)]
+            times = [len(n) for n, _ in found]
+            yield rows[keys].iloc[np.repeat(begins, times)].assign(
+                _block=np.concatenate([n for n, _ in found]),
+                _before=np.array([x for _, known in found for x in known], dtype=np.float64),
+            )
+
+    carried = (
+        tables.repartition(*keys)
+        .sortWithinPartitions(*keys, "_block", "first")
+        .mapInPandas(chains_of, T.StructType([*key_fields, block, T.StructField("_before", T.DoubleType())]))
     )
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "seq"])
-        starts = pdf["start"].to_numpy(np.float64)
-        opening = np.empty(len(starts))
-        known = pdf["_before"].iloc[0]
-        at, i = (starts[0], 0) if pd.isna(known) else (known, 0)
-        while i < len(starts):
-            following = _next(starts, at, gap)
-            opening[i:following] = at
-            if following < len(starts):
-                at = starts[following]
-            i = max(following, i)
-            if following >= len(starts):
-                break
-        return pdf[columns].assign(para_start=opening)
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, begins, ends in _whole_groups(batches, group):
+            starts, known = rows["start"].to_numpy(np.float64), rows["_before"].to_numpy(np.float64)
+            opening = np.concatenate([_openings(starts[b:e], known[b], gap) for b, e in zip(begins, ends)])
+            yield rows[columns].assign(para_start=opening)
 
     out = T.StructType([*segments.schema.fields, T.StructField("para_start", T.DoubleType())])
-    return blocked.join(carried, group).groupBy(*group).applyInPandas(finish, out)
+    return (
+        blocked.join(carried, group)
+        .repartition(*group)
+        .sortWithinPartitions(*group, "start", "seq")
+        .mapInPandas(finished, out)
+    )
 
 
 def paragraphs(opened: DataFrame, keys: list[str]) -> DataFrame:

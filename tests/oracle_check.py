@@ -7,6 +7,7 @@ sys.path.insert(0, "/root/repo")
 
 import duckdb  # noqa: E402
 
+TIMES = {}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -28,6 +29,7 @@ def normal(rows, columns):
 def compare(frame, con, sql):
     """None when equal, else a short description of the difference."""
     got_rows = [tuple(r) for r in frame.collect()]
+    TIMES["spark"] = time.time()
     want = con.execute(sql)
     want_columns = [d[0] for d in want.description]
     want_types = {d[0]: str(d[1]) for d in want.description}
@@ -74,5 +76,6 @@ if __name__ == "__main__":
         except Exception as exc:  # report and go on
             status = f"ERROR {type(exc).__name__}: {str(exc)[:1500]}"
         bad += status.startswith(("DIFF", "ERROR"))
-        print(f"{name:28s} {time.time() - start:6.2f}s {status}", flush=True)
+        spark_time = TIMES.pop("spark", time.time()) - start
+        print(f"{name:28s} {time.time() - start:6.2f}s spark {spark_time:6.2f}s {status}", flush=True)
     print("bad:", bad)
