@@ -10,11 +10,12 @@ from cardloom.functions import text as tx
 from cardloom.functions import vectors as vec
 from cardloom.operators import retrieval as r
 from cardloom import fixed_values as fixed
+from cardloom.scale import spread
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = tx.tokens(F.col("text"))
-    return t.table(spark, folder, "documents").select(
+    return spread(t.table(spark, folder, "documents")).select(
         "doc_id",
         F.size(found).cast("bigint").alias("n_tokens"),
         F.size(F.array_distinct(found)).cast("bigint").alias("n_distinct"),

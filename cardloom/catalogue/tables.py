@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
+from cardloom.scale import spread
 
 COURSES = ("en", "fr", "de", "es")
 
@@ -24,7 +25,7 @@ def cards(spark: SparkSession, folder: str) -> DataFrame:
     flagged = table(spark, folder, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("flag"))
     parts = F.split("text", "\n")
     return (
-        table(spark, folder, "documents")
+        spread(table(spark, folder, "documents"))
         .join(flagged, "doc_id", "left")
         .select(
             F.col("doc_id").cast("string").alias("id"),

@@ -66,7 +66,12 @@ RETRY_ATTEMPTS, RETRY_MAX_SECONDS = 4, 30
 
 # --- text segmentation -------------------------------------------------------
 LINE_BREAK = "\r\n|[\n\r\u000B\f\u001C\u001D\u001E\u0085  ]"
-EDGE_SPACE = "(?U)^[\\s\u001C-\u001F]+|[\\s\u001C-\u001F]+$"
+OTHER_BREAK = "[\r\u000B\f\u001C\u001D\u001E\u0085  ]"
+WHITE_SPACE = (
+    "\t\n\u000B\f\r\u001C\u001D\u001E\u001F \u0085          "
+    "       　"
+)
+CJK = "[一-鿿]"
 PAGE_MARK = r"(?U)<!--\s*page\s+(\d+)\s*-->"
 CHAPTER_HEADING = (
     r"(?iUd)^\s*(?:#{1,6}\s*)?(?:"
@@ -115,6 +120,11 @@ PUBLISHER = (
     r"pearson|published by|printed in|isbn\s*[:0-9xX-]|"
     r"^\s*(copyright|©|\(c\))\b"
 )
+# every PUBLISHER match holds one of these in lower case, or a letter whose case folding leaves ASCII
+PUBLISHER_HINTS = (
+    "reserved", "permission", "access", "scratch", "premium", "redeem", "pearson", "published", "printed", "isbn",
+    "copyright", "©", "(c)", "ſ", "ı", "\u0130", "\u212A",
+)
 PAGE_NUMBER = r"(?Ud)^\s*[-–—]?\s*[0-9]{1,4}\s*[-–—]?\s*$"
 PAGE_NUMBER_ZH = r"(?Ud)^\s*第\s*[0-9]{1,4}\s*页\s*$"
 READABLE = r"[一-鿿A-Za-z0-9]"

@@ -15,7 +15,7 @@ from cardloom import fixed_values as fixed
 # row's text through the Arrow function below, all other rows stay in the JVM.
 _NFKC_STABLE = (
     "^[\\u0000-\\u009F\\u00A1-\\u00A7\\u00A9\\u00AB-\\u00AE\\u00B0\\u00B1\\u00B6\\u00B7\\u00BB"
-    "\\u00BF-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010\\u2012-\\u2016\\u2018-\\u201F"
+    "\\u00BF-\\u012F\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u2010\\u2012-\\u2016\\u2018-\\u201F"
     "\\u3001-\\u3029\\u4E00-\\u9FFF]*$"
 )
 
@@ -25,29 +25,35 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-def nfkc(text: Column) -> Column:
-    """NFKC form; only rows that may change are shipped to Python (the others travel as nulls)."""
-    changing = F.when(~text.rlike(_NFKC_STABLE), text)
-    return F.coalesce(_nfkc(changing), text)
+def folded(text: Column) -> Column:
+    """Lower case, then NFKC.
+
+    Only rows that NFKC may change are shipped to Python; the others travel
+    as nulls and keep their JVM value.
+    """
+    changing = F.when(~text.rlike(_NFKC_STABLE), F.lower(text))
+    return F.coalesce(_nfkc(changing), F.lower(text))
 
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text, fixed.EDGE_SPACE, "")
+    return F.btrim(text, F.lit(fixed.WHITE_SPACE))
 
 
 def lines(text: Column) -> Column:
     """Array of lines; a final line break opens no further line and '' has none."""
-    parts = F.split(text, fixed.LINE_BREAK, -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    ).otherwise(parts)
+    plain = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    exotic = F.regexp_replace(text, f"(?:{fixed.LINE_BREAK})\\z", "")
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(text.rlike(fixed.OTHER_BREAK), F.split(exotic, fixed.LINE_BREAK, -1))
+        .otherwise(F.split(plain, "\n", -1))
+    )
 
 
 def tokens(text: Column, normalise: bool = True) -> Column:
     """Multiset of tokens: ASCII runs in order, then per CJK run its character pairs (or the lone character)."""
-    lowered = F.lower(text)
-    clean = nfkc(lowered) if normalise else lowered
+    clean = folded(text) if normalise else F.lower(text)
     words = F.regexp_extract_all(clean, F.lit("([A-Za-z0-9]+)"), F.lit(1))
     runs = F.regexp_extract_all(clean, F.lit("([一-鿿]+)"), F.lit(1))
     pairs = F.flatten(

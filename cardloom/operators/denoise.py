@@ -7,6 +7,8 @@ reassembled from exploded lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,17 @@ from cardloom.functions.text import lines, strip
 NOISE, CHROME, STORY, KEPT = "noise", "chrome", "story", ""
 
 
+def _publisher(line: Column, low: Column) -> Column:
+    """The publisher rule behind a cheap look for the words it needs (``low`` is the lower-case line)."""
+    hinted = reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in fixed.PUBLISHER_HINTS])
+    return hinted & line.rlike(fixed.PUBLISHER)
+
+
 def line_category(line: Column) -> Column:
-    """'' keeps the line; otherwise why it goes: noise, chrome or story.  First matching rule decides."""
+    """'' keeps the line; otherwise why it goes: noise, chrome or story.  First matching rule decides.
+
+    Rules written in Chinese are tried only on lines that hold a CJK character.
+    """
 
     def judged(pair: Column) -> Column:
         raw, bare = pair["raw"], pair["bare"]
@@ -27,18 +38,16 @@ def line_category(line: Column) -> Column:
             | raw.rlike(fixed.KEEP_HEADING)
             | raw.rlike(fixed.KEEP_LIST)
         )
-        wording = (
-            bare.rlike(fixed.PLACEHOLDER)
-            | bare.rlike(fixed.CLOSING_WORDS)
-            | bare.rlike(fixed.CLOSING_LINE)
-            | bare.rlike(fixed.NAVIGATION_LINE)
-            | bare.rlike(fixed.PUBLISHER)
-        )
         form = (
-            bare.rlike(fixed.ADDRESS_START)
+            bare.rlike(fixed.CLOSING_LINE)
+            | bare.rlike(fixed.NAVIGATION_LINE)
+            | bare.rlike(fixed.ADDRESS_START)
             | bare.rlike(fixed.PAGE_NUMBER)
-            | bare.rlike(fixed.PAGE_NUMBER_ZH)
             | ((F.length(bare) <= fixed.SYMBOL_MAX_CHARS) & ~bare.rlike(fixed.READABLE))
+            | _publisher(bare, pair["low"])
+        )
+        chinese_form = (
+            bare.rlike(fixed.CLOSING_WORDS) | bare.rlike(fixed.PLACEHOLDER) | bare.rlike(fixed.PAGE_NUMBER_ZH)
         )
         biography = (
             (F.length(bare) <= fixed.STORY_MAX_CHARS)
@@ -48,13 +57,16 @@ def line_category(line: Column) -> Column:
         return (
             F.when(protected, F.lit(KEPT))
             .when((bare == "") | bare.rlike(fixed.DECORATION), F.lit(NOISE))
-            .when(wording | form, F.lit(CHROME))
+            .when(form, F.lit(CHROME))
+            .when(~bare.rlike(fixed.CJK), F.lit(KEPT))
+            .when(chinese_form, F.lit(CHROME))
             .when(biography, F.lit(STORY))
             .otherwise(F.lit(KEPT))
         )
 
-    # binds the trimmed line once for all rules
-    return F.transform(F.array(F.struct(line.alias("raw"), strip(line).alias("bare"))), judged)[0]
+    # binds the trimmed and the lower-case line once for all rules
+    bound = F.struct(line.alias("raw"), strip(line).alias("bare"), F.lower(line).alias("low"))
+    return F.transform(F.array(bound), judged)[0]
 
 
 def classified(text: Column) -> Column:
@@ -78,7 +90,8 @@ def denoise(df: DataFrame, text: str = "text", fall_back: bool = True) -> DataFr
     ``fall_back`` is the chapter rule: a chapter that would end up empty keeps
     its text and reports nothing removed.
     """
-    marked = df.withColumn("_lines", classified(F.col(text)))
+    # a generator output is computed once however often it is used, also by filters on the result
+    marked = df.select("*", F.explode(F.array(classified(F.col(text)))).alias("_lines"))
     removed = lambda x: x["category"] != KEPT
     stats = marked.withColumns(
         {
