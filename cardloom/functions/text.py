@@ -100,4 +100,12 @@ def cut(text: Column, limit: int, tail: str) -> Column:
 
 def exact_round(value: Column, places: int) -> Column:
     """Round half to even on the exact binary value, so 2.675 gives 2.67 and 0.125 gives 0.12."""
-    return F.regexp_replace(F.format_number(value, places), ",", "").cast("double")
+    formatted = F.regexp_replace(F.format_number(value, places), ",", "").cast("double")
+    if places == 0:
+        return formatted
+    # the number formatter misjudges halves of the last place itself, so those are compared directly
+    unit = float(f"1e-{places}")
+    half = float(f"5e-{places + 1}")
+    up = F.abs(value) >= half if round(half, places) > 0 else F.abs(value) > half
+    tiny = F.when(up, F.lit(unit)).otherwise(F.lit(0.0)) * F.signum(value)
+    return F.when(F.abs(value) < unit, tiny).otherwise(formatted)

@@ -203,11 +203,11 @@ def _frame(course: str, questions: _Questions, kept: dict) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "qid": questions.qids[kept["q"]],
-            "course": course,
+            "course": np.full(len(kept["q"]), course, dtype=object),
             "card_id": kept["card_id"],
             "ord": kept["ord"],
             "reference_only": kept["reference_only"],
-            "lexical": pd.Series(kept["lexical"]).astype(object).where(~np.isnan(kept["lexical"]), None),
+            "lexical": np.where(np.isnan(kept["lexical"]), None, kept["lexical"].astype(object)),
             "cosine": kept["cosine"],
         }
     )
@@ -274,6 +274,10 @@ def _by_broadcast(questions: DataFrame, cards: DataFrame, limits: _Limits) -> Da
     return _scoring_columns(cards).mapInPandas(score, _result_schema(questions))
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+
+
 def _by_blocks(
     questions: DataFrame,
     cards: DataFrame,
@@ -288,21 +292,19 @@ def _by_blocks(
         "qid",
         "question",
         F.pmod(F.xxhash64("qid"), F.lit(question_blocks)).alias("question_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(card_blocks - 1))).cast("bigint").alias("card_block"),
+        F.explode(_numbers(card_blocks)).alias("card_block"),
     )
     right = (
         _scoring_columns(cards)
         .withColumn("card_block", F.pmod(F.xxhash64("ord"), F.lit(card_blocks)))
-        .withColumn(
-            "question_block", F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1))).cast("bigint")
-        )
+        .withColumn("question_block", F.explode(_numbers(question_blocks)))
     )
     keys = ["course", "card_block", "question_block"]
     columns = [c.split()[0] for c in _result_schema(questions).split(", ")]
 
     def score(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or offered.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: np.array([], dtype=object) for c in columns})
         codes = vec.TokenCodes()
         side = _Questions(asked["qid"].tolist(), asked["question"].fillna("").tolist(), codes)
         return _frame(asked["course"].iloc[0], side, _best(side, _card_batch(offered, codes), limits, None))

@@ -1,5 +1,7 @@
 """Session defaults and the shared checkpoint folder."""
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cardloom-checkpoint-"))
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per context; Arrow functions import it there."""
+    context = spark.sparkContext
+    if getattr(context, "_cardloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="cardloom-package-"), "cardloom")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "cardloom"))
+    context._cardloom_shipped = True
