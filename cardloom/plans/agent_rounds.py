@@ -45,7 +45,7 @@ def run(
 ) -> DataFrame:
     """``questions``: qid, course, question  ->  answer, rounds, tool_calls, seen_topics, read_cards, forced_final."""
     texts = F.array().cast("array<string>")
-    pre = find(questions, cards, k)
+    pre = checkpointed(find(questions, cards, k))
     offered = questions.join(render.previews(pre, ["qid"]), "qid", "left").join(
         pre.groupBy("qid").agg(F.collect_set("topic").alias("seen")), "qid", "left"
     )
@@ -85,8 +85,10 @@ def _round(state: DataFrame, cards: DataFrame, model: Callable[[dict], str], k:
     done = state.filter(F.col("answer").isNotNull())
     waiting = state.filter(F.col("answer").isNull())
     replies = checkpointed(_replies(waiting, model, True))
-    calls = replies.select("qid", F.posexplode("r.calls").alias("call_no", "call")).join(
-        waiting.select("qid", "course"), "qid"
+    calls = checkpointed(
+        replies.select("qid", F.posexplode("r.calls").alias("call_no", "call")).join(
+            waiting.select("qid", "course"), "qid"
+        )
     )
     searches = calls.filter(F.col("call.name") == fixed.TOOL_SEARCH).select(
         F.concat_ws("#", F.col("qid").cast("string"), F.col("call_no").cast("string")).alias("sid"),
@@ -133,7 +135,7 @@ def _round(state: DataFrame, cards: DataFrame, model: Callable[[dict], str], k:
 def _search(searches: DataFrame, cards: DataFrame, k: int) -> DataFrame:
     """Search calls: the kind filter is applied to the first 2k hits, then cut to k."""
     asked = searches.select(F.col("sid").alias("qid"), "course", "question")
-    hits = find(asked, cards, 2 * k)
+    hits = checkpointed(find(asked, cards, 2 * k))  # scored once, few rows
     wanted = searches.select("sid", "wanted", F.col("qid").alias("asker"), "call_no")
     of_call = hits.withColumnRenamed("qid", "sid").join(wanted, "sid")
     plain = of_call.filter(F.col("wanted").isNull() & (F.col("rank") <= k))

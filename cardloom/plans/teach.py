@@ -23,6 +23,7 @@ from cardloom.operators import progress as pg
 from cardloom.operators import render
 from cardloom.operators import retrieval as rt
 from cardloom.plans.ask import find
+from cardloom.session import checkpointed
 
 
 def classified(turns: DataFrame, hints: DataFrame | None = None) -> DataFrame:
@@ -46,7 +47,8 @@ def course_hits(turns: DataFrame, cards: DataFrame, profiles: DataFrame, k: int
     bias = asked.select("qid", "user_id").join(profiles.select("user_id", "kind_bias"), "user_id", "left").select(
         "qid", F.coalesce("kind_bias", F.lit(fixed.BIAS_BALANCED)).alias("kind_bias")
     )
-    return rt.rerank_by_bias(hits.join(bias, "qid"), F.col("kind_bias"))
+    # few rows with several readers; scoring all cards happens once
+    return checkpointed(rt.rerank_by_bias(hits.join(bias, "qid"), F.col("kind_bias")))
 
 
 def memory_hits(turns: DataFrame, memory: DataFrame, profiles: DataFrame, k: int = fixed.MEMORY_METHODS) -> DataFrame:
@@ -54,7 +56,7 @@ def memory_hits(turns: DataFrame, memory: DataFrame, profiles: DataFrame, k: int
     known = profiles.filter("turn_count > 0").select("user_id")
     asked = turns.filter("wants_memory").join(known, "user_id", "left_semi")
     bucket = pf.bucket_course(F.col("user_id"), F.lit(fixed.BUCKETS[0]))
-    return find(asked.select("qid", bucket.alias("course"), "question"), memory, k, use_vector=False)
+    return checkpointed(find(asked.select("qid", bucket.alias("course"), "question"), memory, k, use_vector=False))
 
 
 def composed(
@@ -78,7 +80,8 @@ def composed(
     )
     mode = intents.turn_mode(F.col("intent"), F.col("n_methods"), F.col("top_score"))
     system, user = render.teach_prompt()
-    return joined.withColumn("mode", mode).withColumns({"system": system, "user": user})
+    # read by the answers, the study log and the event sequence
+    return checkpointed(joined.withColumn("mode", mode).withColumns({"system": system, "user": user}))
 
 
 def answered(prepared: DataFrame, model: Callable[[dict], str] | None = ex.echo_answer) -> DataFrame:
