@@ -35,6 +35,11 @@ def folded(text: Column) -> Column:
     return F.coalesce(_nfkc(changing), F.lower(text))
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, also when ``use`` reads it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space at both ends."""
     return F.btrim(text, F.lit(fixed.WHITE_SPACE))

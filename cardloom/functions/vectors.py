@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -59,36 +59,40 @@ def token_list(text: str) -> list[str]:
     return found
 
 
-class TokenCodes:
-    """Bounded cache from a token to its signed bucket, one per task."""
+class TokenCodes(dict):
+    """Bounded cache from a token to ``2 * bucket + positive``, one per task."""
 
-    def __init__(self, limit: int = 500_000) -> None:
-        self._known: dict[str, int] = {}
-        self._limit = limit
+    limit = 500_000
 
-    def __call__(self, token: str) -> int:
-        code = self._known.get(token)
-        if code is None:
-            value = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
-            code = value % fixed.VECTOR_DIM * 2 + (value >> 8 & 1)
-            if len(self._known) >= self._limit:
-                self._known.clear()
-            self._known[token] = code
+    def __missing__(self, token: str) -> int:
+        value = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
+        if len(self) >= self.limit:
+            self.clear()
+        code = self[token] = value % fixed.VECTOR_DIM * 2 + (value >> 8 & 1)
         return code
 
 
-def count_matrix(texts, codes: TokenCodes) -> np.ndarray:
+def count_matrix(texts, codes: TokenCodes, tokens_at_once: int = 2_000_000) -> np.ndarray:
     """Rows of signed token counts, one row per text; exact integers held in float64."""
     out = np.zeros((len(texts), fixed.VECTOR_DIM))
+    first, lists, held = 0, [], 0
+
+    def flush(stop: int) -> None:
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        code = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=held)
+        cell = np.repeat(np.arange(len(lists)), sizes) * fixed.VECTOR_DIM + (code >> 1)
+        sums = np.bincount(cell, (code & 1) * 2.0 - 1.0, len(lists) * fixed.VECTOR_DIM)
+        out[first:stop] = sums.reshape(len(lists), fixed.VECTOR_DIM)
+
     for row, text in enumerate(texts):
-        if not text:
-            continue
-        counts = Counter(token_list(text))
-        if not counts:
-            continue
-        code = np.fromiter((codes(t) for t in counts), dtype=np.int64, count=len(counts))
-        times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        out[row] = np.bincount(code >> 1, np.where(code & 1, times, -times), fixed.VECTOR_DIM)
+        found = token_list(text) if text else []
+        lists.append(found)
+        held += len(found)
+        if held >= tokens_at_once:
+            flush(row + 1)
+            first, lists, held = row + 1, [], 0
+    if lists:
+        flush(len(texts))
     return out
 
 

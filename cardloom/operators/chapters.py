@@ -25,19 +25,18 @@ def split_pages(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
     No marker: one page numbered 1.  Text before the first marker and blank
     pages are dropped; if all are blank the whole text is page 1.
     """
-    parts = F.split(text, fixed.PAGE_MARK, -1)
     numbers = F.regexp_extract_all(F.col(text), F.lit(fixed.PAGE_MARK), F.lit(1))
+    bodies = F.split(text, fixed.PAGE_MARK, -1)
+    marked = F.arrays_zip(numbers.alias("page_no"), F.slice(bodies, 2, F.greatest(F.size(numbers), F.lit(0))).alias("text"))
     pages = F.filter(
         F.transform(
-            numbers,
-            lambda n, i: F.struct(n.cast("int").alias("page_no"), strip(F.get(F.col("_parts"), i + 1)).alias("text")),
+            marked, lambda p: F.struct(p["page_no"].cast("int").alias("page_no"), strip(p["text"]).alias("text"))
         ),
         lambda p: p["text"] != "",
     )
     whole = F.array(F.struct(F.lit(1).alias("page_no"), F.col(text).alias("text")))
     return (
-        df.withColumn("_parts", parts)
-        .withColumn("_pages", pages)
+        df.withColumn("_pages", pages)
         .withColumn("_pages", F.when(F.size("_pages") > 0, F.col("_pages")).otherwise(whole))
         .select(*keep, F.posexplode("_pages").alias("page_ord", "_page"))
         .select(*keep, F.col("page_ord").cast("bigint").alias("page_ord"), "_page.page_no", "_page.text")
@@ -62,17 +61,14 @@ def segments(pages: DataFrame, source: str = "source") -> DataFrame:
     heads = F.filter(
         F.transform("_lines", lambda x, i: F.when(x["name"].isNotNull(), i + 1)), lambda p: p.isNotNull()
     )
-    bounded = marked.withColumn("_starts", F.concat(F.array(F.lit(0)), heads)).withColumn(
-        "_cuts", F.concat(F.col("_starts"), F.array(F.size("_lines") + 1))
-    )
+    begins, ends = F.concat(F.array(F.lit(0)), heads), F.concat(heads, F.array(F.size("_lines") + 1))
+    bounded = marked.withColumn("_spans", F.arrays_zip(begins.alias("begin"), ends.alias("end")))
     cut = F.transform(
-        "_starts",
-        lambda start, i: F.struct(
-            (start > 0).alias("head"),
-            F.when(start > 0, F.get(F.col("_lines"), start - 1)["name"]).alias("name"),
-            F.transform(
-                F.slice("_lines", start + 1, F.get(F.col("_cuts"), i + 1) - start - 1), lambda x: x["line"]
-            ).alias("body"),
+        "_spans",
+        lambda s: F.struct(
+            (s["begin"] > 0).alias("head"),
+            F.when(s["begin"] > 0, F.get(F.col("_lines"), s["begin"] - 1)["name"]).alias("name"),
+            F.transform(F.slice("_lines", s["begin"] + 1, s["end"] - s["begin"] - 1), lambda x: x["line"]).alias("body"),
         ),
     )
     rows = bounded.select(source, "page_ord", "page_no", F.posexplode(cut).alias("seg", "_s"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
-from cardloom.functions.text import lines, strip
+from cardloom.functions.text import bind, lines, strip
 
 NOISE, CHROME, STORY, KEPT = "noise", "chrome", "story", ""
 
@@ -66,7 +66,7 @@ def line_category(line: Column) -> Column:
 
     # binds the trimmed and the lower-case line once for all rules
     bound = F.struct(line.alias("raw"), strip(line).alias("bare"), F.lower(line).alias("low"))
-    return F.transform(F.array(bound), judged)[0]
+    return bind(bound, judged)
 
 
 def classified(text: Column) -> Column:

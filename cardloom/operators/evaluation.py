@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.text import exact_round
+from cardloom.functions.text import bind, exact_round
 
 
 def covered_topics(topics: Column, expected: Column) -> Column:
     """Expected topics that occur, ignoring case, as substrings of the joined topics."""
-    joined = F.lower(F.array_join(topics, " "))
-    return F.filter(expected, lambda e: F.contains(joined, F.lower(e)))
+    sides = F.struct(F.lower(F.array_join(topics, " ")).alias("text"), expected.alias("wanted"))
+    return bind(sides, lambda s: F.filter(s["wanted"], lambda e: F.contains(s["text"], F.lower(e))))
 
 
 def topics_in_rank_order(hits: DataFrame) -> DataFrame:

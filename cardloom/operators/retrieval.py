@@ -66,7 +66,7 @@ def _scoring_columns(cards: DataFrame) -> DataFrame:
         F.col("ord").cast("bigint").alias("ord"),
         F.col("kind").isin(*fixed.BOOSTED_KINDS).alias("boosted"),
         F.coalesce("reference_only", F.lit(False)).alias("reference_only"),
-        F.col("keywords"),
+        F.concat_ws(" ", "keywords").alias("keywords"),
         lexical_text().alias("lexical_text"),
         example_text().alias("example_text"),
     )
@@ -89,6 +89,7 @@ class _Questions:
             for token in found:
                 holders.setdefault(token, []).append(i)
         self.holders = {t: np.array(i) for t, i in holders.items()}
+        self.vocabulary = frozenset(holders)
 
     def __len__(self) -> int:
         return len(self.qids)
@@ -167,10 +168,8 @@ def _score(questions: _Questions, cards: _Cards, limits: _Limits) -> dict[str, n
     cosine = cards.document @ questions.matrix / np.outer(doc_norm, questions.norms)
     hits = np.zeros(cosine.shape)
     for row, found in enumerate(cards.keyword_tokens):
-        for token in found:
-            holder = questions.holders.get(token)
-            if holder is not None:
-                hits[row, holder] += 1
+        for token in found & questions.vocabulary:
+            hits[row, questions.holders[token]] += 1
     near = cards.lexical @ questions.matrix / np.outer(lex_norm, questions.norms)
     boost = np.where(cards.boosted, fixed.KIND_BOOST, 0.0)[:, None]
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -216,10 +215,8 @@ def _frame(course: str, questions: _Questions, kept: dict) -> pd.DataFrame:
 def _card_batch(pdf: pd.DataFrame, codes: vec.TokenCodes) -> _Cards:
     lexical = vec.count_matrix(pdf["lexical_text"].tolist(), codes)
     extra = vec.count_matrix(pdf["example_text"].tolist(), codes)
-    tokens = [
-        {t for k in (keywords if keywords is not None else ()) if k for t in vec.token_list(k)}
-        for keywords in pdf["keywords"]
-    ]
+    # a blank separates tokens, so joined keywords have the tokens of the single ones
+    tokens = [set(vec.token_list(k)) if k else set() for k in pdf["keywords"]]
     return _Cards(
         pdf["card_id"].to_numpy(object),
         pdf["ord"].to_numpy(np.int64),
