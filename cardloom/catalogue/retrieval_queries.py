@@ -44,7 +44,7 @@ def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
 def _hybrid(spark, folder, k, columns=("topic", "kind", "chapter")):
     questions, cards = t.questions(spark, folder), t.cards(spark, folder)
     small = r.questions_fit(questions)
-    return r.attach_cards(r.hybrid_topk(questions, cards, k, small=small), cards, list(columns), small)
+    return r.attach_cards(r.hybrid_topk(questions, cards, k, small=small), cards, list(columns), small, k)
 
 
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:

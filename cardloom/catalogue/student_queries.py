@@ -11,7 +11,7 @@ from cardloom.operators import draw
 from cardloom.operators import profiles as pf
 from cardloom.operators import progress as pg
 from cardloom.operators import sessions as ss
-from cardloom.scale import time_block
+from cardloom.scale import sized_block, time_block
 
 UNITS = 10_000
 
@@ -151,7 +151,8 @@ def session_state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def current_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return ss.current_sessions(_actions(spark, folder))
+    actions = _actions(spark, folder)
+    return ss.current_sessions(actions, sized_block(actions, ["user_id", "sid"], F.col("seq").cast("double")))
 
 
 def daily_draw(spark: SparkSession, folder: str) -> DataFrame:

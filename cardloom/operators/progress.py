@@ -63,7 +63,7 @@ def progress_curve(log: DataFrame, block: Column | None = None, units: int = DEP
     """
     named = log.withColumn("chapter", named_chapter())
     if block is None:
-        named = named.repartition(*_STUDENT)  # serves both passes with one shuffle
+        named = named.repartition("user_id")  # serves both passes with one shuffle
     earlier = running(named, [*_STUDENT, "chapter"], _ORDER, {"_before": ("max_before", F.col("depth_units"))}, block)
     rise = F.greatest(F.col("depth_units") - F.coalesce("_before", F.lit(0)), F.lit(0))
     totals = running(

@@ -30,6 +30,7 @@ from cardloom.scale import top_per_key
 
 MAX_BROADCAST_QUESTIONS = 10_000
 MAX_BROADCAST_CHARS = 8_000_000
+MAX_BROADCAST_HITS = 500_000
 QUESTIONS_PER_BLOCK = 2_000
 CARDS_PER_BLOCK = 50_000
 SCORE_CELLS = 4_000_000
@@ -38,7 +39,7 @@ MAX_PRUNED_COURSES = 500
 # ---- card texts -------------------------------------------------------------
 
 
-def lexical_text(_: DataFrame | None = None) -> Column:
+def lexical_text() -> Column:
     """Text behind the lexical cosine."""
     return F.concat_ws(
         " ",
@@ -413,10 +414,16 @@ def hybrid_topk(
     )
 
 
-def attach_cards(hits: DataFrame, cards: DataFrame, columns: list[str], small: bool) -> DataFrame:
-    """Join card payload after ranking.  ``small``: hits come from a measured question set, k rows each."""
+def attach_cards(hits: DataFrame, cards: DataFrame, columns: list[str], small: bool, k: int | None = None) -> DataFrame:
+    """Join card payload after ranking.
+
+    ``small`` says that the questions were measured to fit the broadcast bound.
+    With k hits each there are at most ``MAX_BROADCAST_HITS`` rows to
+    broadcast; otherwise Spark chooses the join.
+    """
     payload = cards.select("course", F.col("id").alias("card_id"), *columns)
-    return payload.join(F.broadcast(hits) if small else hits, ["course", "card_id"])
+    few = small and MAX_BROADCAST_QUESTIONS * (k or fixed.DEFAULT_TOP_K) <= MAX_BROADCAST_HITS
+    return payload.join(F.broadcast(hits) if few else hits, ["course", "card_id"])
 
 
 def rerank_by_bias(hits: DataFrame, bias: str | Column) -> DataFrame:

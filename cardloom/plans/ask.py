@@ -18,7 +18,7 @@ PAYLOAD = [c for c in CARD_COLUMNS if c not in ("id", "course")]
 def find(questions: DataFrame, cards: DataFrame, k: int | None = None, use_vector: bool = True) -> DataFrame:
     """Hits with rank, score and the whole card."""
     small = rt.questions_fit(questions)
-    return rt.attach_cards(rt.hybrid_topk(questions, cards, k, use_vector, small), cards, PAYLOAD, small)
+    return rt.attach_cards(rt.hybrid_topk(questions, cards, k, use_vector, small), cards, PAYLOAD, small, k)
 
 
 def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from cardloom.session import checkpointed
+
 BLOCK = "_block"
 ROWS_PER_BLOCK = 1_000_000
 
@@ -130,3 +132,26 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """Position of every row in the order of ``by``, counted from 0.
+
+    Rows are range-partitioned and sorted, written to the checkpoint folder
+    with their place in the partition, and shifted by the sizes of the
+    partitions before.  No task sees more than its own range.
+    """
+    placed = checkpointed(
+        df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_start") + inside)
+        .select(*df.columns, name)
+    )

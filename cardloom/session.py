@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "car
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardloom import fixed_values as fixed
 from cardloom.functions.text import lines
 from cardloom.operators import chapters as ch
+from cardloom.scale import ranked
 
 
 def _stem(path: Column) -> Column:
@@ -35,7 +36,7 @@ def read_texts(spark: SparkSession, path: str | list[str], course: str) -> DataF
 def read_markdown_tree(spark: SparkSession, folder: str, course: str) -> DataFrame:
     """All ``*.md`` below a folder as one page stream ``(source, page_ord, page_no, text)``.
 
-    ``page_ord`` is built from the sorted path rank (a broadcast list of paths) and the page position.
+    ``page_ord`` is built from the rank of the path and the page position.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")
@@ -43,14 +44,19 @@ def read_markdown_tree(spark: SparkSession, folder: str, course: str) -> DataFra
         .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
-    paths = sorted(p["path"] for p in files.select("path").distinct().collect())
-    if not paths:
+    names = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.md")
+        .load(folder)
+        .select(F.col("_metadata.file_path").alias("path"))
+    )
+    if names.isEmpty():
         raise FileNotFoundError(f"no Markdown file below {folder}")
-    ranks = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, file_ord bigint")
-    pages = ch.split_pages(files.join(F.broadcast(ranks), "path"), ["file_ord"])
+    pages = ch.split_pages(files.join(ranked(names, "path", "file_ord"), "path"), ["file_ord"])
     return pages.select(
         F.lit(course).alias("source"),
-        (F.col("file_ord") * F.lit(1_000_000) + F.col("page_ord")).alias("page_ord"),
+        (F.shiftleft(F.col("file_ord"), 24) + F.col("page_ord")).alias("page_ord"),
         "page_no",
         "text",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cardloom.operators import profiles as pf
 from cardloom.operators import progress as pg
 from cardloom.operators import sessions as ss
-from cardloom.scale import time_block, top_per_key
+from cardloom.scale import ranked, time_block, top_per_key
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -92,6 +92,12 @@ def test_time_block_is_measured(spark):
     assert plain == sorted(map(tuple, pg.progress_curve(df, block).collect()))
 
 
+def test_ranked(spark):
+    df = spark.range(1000).select(F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("string")).alias("path")).distinct()
+    got = {r["path"]: r["i"] for r in ranked(df.repartition(7), "path", "i").collect()}
+    assert got == {p: i for i, p in enumerate(sorted(got))}
+
+
 def test_salted_top(spark):
     df = spark.range(5000).withColumn("k", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")))
     order = [F.desc("id")]
