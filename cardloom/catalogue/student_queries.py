@@ -11,6 +11,7 @@ from cardloom.operators import draw
 from cardloom.operators import profiles as pf
 from cardloom.operators import progress as pg
 from cardloom.operators import sessions as ss
+from cardloom.plans.documents import progress_documents as progress_docs
 from cardloom.scale import sized_block, time_block
 
 UNITS = 10_000
@@ -55,6 +56,24 @@ def radar_topn(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("user_id", F.col("rank").cast("bigint").alias("rank"), "name", "depth_units")
 
 
+def progress_documents(spark: SparkSession, folder: str) -> DataFrame:
+    log = t.study_log(spark, folder)
+    docs = progress_docs(log, "2024-01-15", time_block(log, ["user_id", "course"], "ts"), UNITS)
+    last = F.element_at("curve", -1)
+    return docs.select(
+        "user_id",
+        "percent",
+        "questions",
+        F.size("chapters").cast("bigint").alias("n_chapters"),
+        F.size("curve").cast("bigint").alias("n_curve"),
+        last["pct"].alias("last_pct"),
+        last["ts"].alias("last_ts"),
+        F.size("daily").cast("bigint").alias("n_days"),
+        F.aggregate("daily", F.lit(0).cast("bigint"), lambda a, d: a + d["questions"]).alias("questions_in_days"),
+        "today_questions",
+    )
+
+
 def _boxed(spark, folder):
     answers = t.reviews(spark, folder)
     return pg.review_boxes(answers, time_block(answers, ["user_id", "card_id"], "ts"))
@@ -245,6 +264,19 @@ SELECT user_id, count(*) FILTER (strftime(ts, '%Y-%m-%d') = '2024-01-15') AS tod
     + """
 SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, chapter) AS rank, chapter AS name, m AS depth_units
   FROM (SELECT user_id, chapter, max(d) AS m FROM lg GROUP BY ALL)) WHERE rank <= 3""",
+    "progress_documents": "WITH"
+    + _CURVE
+    + """,
+tl AS (SELECT * FROM (SELECT *, max(q) OVER (PARTITION BY user_id) AS mq FROM cv) WHERE q > mq - 500),
+dy AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM tl GROUP BY ALL),
+dd AS (SELECT user_id, count(*) AS n_days, CAST(sum(n) AS BIGINT) AS questions_in_days FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM dy) WHERE r <= 14 GROUP BY user_id),
+cc AS (SELECT user_id, count(DISTINCT chapter) AS n_chapters FROM lg GROUP BY user_id)
+SELECT tl.user_id, arg_max(pct, q) AS percent, max(q) AS questions, max(n_chapters) AS n_chapters,
+  count(*) FILTER (q > mq - 300) AS n_curve, arg_max(pct, q) AS last_pct, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ts,
+  max(n_days) AS n_days, max(questions_in_days) AS questions_in_days,
+  count(*) FILTER (strftime(ts, '%Y-%m-%d') = '2024-01-15') AS today_questions
+FROM tl JOIN dd USING (user_id) JOIN cc USING (user_id) GROUP BY tl.user_id""",
     "review_boxes": "WITH" + _REVIEWS + "SELECT user_id, card_id, seq, CAST(box AS BIGINT) AS box FROM bx",
     "current_boxes": "WITH"
     + _REVIEWS
@@ -324,6 +356,7 @@ QUERIES = {
         daily_rollup,
         today_questions,
         radar_topn,
+        progress_documents,
         review_boxes,
         current_boxes,
         review_stats,

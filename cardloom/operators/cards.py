@@ -102,9 +102,10 @@ def flag_reference(cards: DataFrame) -> DataFrame:
     return cards.withColumn("reference_only", is_reference_noise())
 
 
-def flag_preview(cards: DataFrame) -> DataFrame:
-    """Cards that flagging would change."""
-    return cards.filter(~F.coalesce("reference_only", F.lit(False)) & is_reference_noise())
+def flag_preview(cards: DataFrame, show: int | None = None) -> DataFrame:
+    """Cards that flagging would change; ``show`` lists only so many (20 on screen)."""
+    found = cards.filter(~F.coalesce("reference_only", F.lit(False)) & is_reference_noise())
+    return found.limit(show) if show else found
 
 
 def summary_line() -> Column:

@@ -36,6 +36,10 @@ def recall_by_tag(results: DataFrame) -> DataFrame:
     return results.rollup("tag").agg(F.count("*").alias("questions"), F.avg("recall").alias("recall"))
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    results.write.mode("overwrite").json(path)
+
+
 def quiz_coverage(questions: DataFrame, hits: DataFrame) -> DataFrame:
     """Questions in all and those whose best hit scores above 0."""
     best = hits.filter("rank = 1").select("qid", "score")

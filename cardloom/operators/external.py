@@ -122,3 +122,30 @@ def convert_slices(slices: DataFrame, convert: Callable[[list[str]], dict[str, s
         return pdf[["batch_no", stem]].assign(md_content=[done.get(s) for s in pdf[stem]])
 
     return slices.groupBy("batch_no", F.xxhash64(F.regexp_replace(stem, r"-\d+$", ""))).applyInPandas(run, schema)
+
+
+def first_that_works(*calls: Callable[[dict], str]) -> Callable[[dict], str]:
+    """Try one source after the other, as for part lists; the last failure is raised."""
+
+    def tried(row: dict) -> str:
+        for call in calls[:-1]:
+            try:
+                return call(row)
+            except Exception:  # the next source is the answer to any failure
+                continue
+        return calls[-1](row)
+
+    return tried
+
+
+SEGMENTS = "array<struct<start: double, end: double, text: string>>"
+
+
+def recognised_segments(parts: DataFrame, recognise: Callable[[dict], str], keys: list[str]) -> DataFrame:
+    """Speech recognition per part: ``recognise`` returns ``[{start, end, text}, ...]`` as JSON."""
+    told = call_rows(parts, with_retries(recognise), "_segments")
+    rows = told.select(*keys, F.posexplode(F.from_json("_segments", SEGMENTS)).alias("seq", "_s"))
+    text = F.trim("_s.text")
+    return rows.select(
+        *keys, F.col("seq").cast("bigint").alias("seq"), "_s.start", "_s.end", text.alias("text")
+    ).filter(F.col("text") != "")

@@ -24,6 +24,36 @@ from cardloom.operators import retrieval as rt
 from cardloom.plans.ask import find
 from cardloom.session import checkpointed
 
+TOOLS = [
+    {
+        "type": "function",
+        "function": {
+            "name": fixed.TOOL_SEARCH,
+            "description": "Search the course's cards; returns short views with id, topic, kind, chapter and score.",
+            "parameters": {
+                "type": "object",
+                "properties": {
+                    "query": {"type": "string", "description": "Words to look for"},
+                    "kind": {"type": "string", "enum": list(fixed.KINDS), "description": "Only cards of this kind"},
+                },
+                "required": ["query"],
+            },
+        },
+    },
+    {
+        "type": "function",
+        "function": {
+            "name": fixed.TOOL_READ,
+            "description": "Read one whole card.",
+            "parameters": {
+                "type": "object",
+                "properties": {"card_id": {"type": "string", "description": "An id that a search returned"}},
+                "required": ["card_id"],
+            },
+        },
+    },
+]
+
 _MESSAGE = "array<struct<role: string, content: string>>"
 _REPLY = "answer string, calls array<struct<name: string, arguments: struct<query: string, kind: string, card_id: string>>>"
 

@@ -40,6 +40,15 @@ def classified(turns: DataFrame, hints: DataFrame | None = None) -> DataFrame:
     ).drop("_intent", "_wants")
 
 
+def model_intents(turns: DataFrame, model: Callable[[dict], str]) -> DataFrame:
+    """Hints from a model that answers ``{"intent": ..., "wants_memory": ...}``; unreadable answers fall back to the rules."""
+    told = ex.call_rows(turns.select("qid", "question"), ex.with_retries(model), "_told")
+    parsed = F.from_json("_told", "intent string, wants_memory boolean")
+    return told.select("qid", parsed.alias("_p")).filter(F.col("_p.intent").isNotNull()).select(
+        "qid", "_p.intent", F.coalesce("_p.wants_memory", F.lit(True)).alias("wants_memory")
+    )
+
+
 def course_hits(turns: DataFrame, cards: DataFrame, profiles: DataFrame, k: int | None = None) -> DataFrame:
     """Course cards of the course questions, reordered by each student's bias."""
     asked = turns.filter(~intents.is_general(F.col("intent")) & (F.coalesce("course", F.lit("")) != ""))

@@ -62,6 +62,14 @@ def read_markdown_tree(spark: SparkSession, folder: str, course: str) -> DataFra
     )
 
 
+def write_chapters(chapters: DataFrame, path: str) -> None:
+    """Chapter texts below ``course=<name>/file=<safe chapter name>``, for a look at the split."""
+    name = F.substring(F.regexp_replace("chapter", fixed.FILE_UNSAFE, "_"), 1, fixed.FILE_NAME_CHARS)
+    chapters.select("course", name.alias("file"), F.col("text").alias("value")).write.mode("overwrite").partitionBy(
+        "course", "file"
+    ).text(path)
+
+
 def slice_plan(df: DataFrame, total: str | Column, size: int | Column) -> DataFrame:
     """Page slices ``(slice_no, first_page, last_page)``, zero-based and inclusive; none for totals or sizes <= 0."""
     total = F.col(total) if isinstance(total, str) else total

@@ -7,6 +7,7 @@ from cardloom.operators import cards as cd
 from cardloom.operators import external as ex
 from cardloom.plans import ingest
 from cardloom.sources import cards as src
+from cardloom.sources import documents as docs
 
 
 def raw(**fields):
@@ -152,3 +153,21 @@ def test_stand_in_extraction_matches_loop(spark):
                 break
             start += 400
     assert [(r["id"], r["topic"]) for r in got] == want
+
+
+def test_fallbacks_and_recognition(spark):
+    def broken(row):
+        raise RuntimeError("blocked")
+
+    assert ex.first_that_works(broken, lambda row: "second")({}) == "second"
+    parts = spark.createDataFrame([(1, "a"), (2, "b")], "part_no int, title string")
+    heard = lambda row: json.dumps([{"start": 0.5, "end": 2.0, "text": f" {row['title']} "}, {"start": 2.0, "end": 3.0, "text": " "}])
+    got = [tuple(r) for r in ex.recognised_segments(parts, heard, ["part_no"]).orderBy("part_no").collect()]
+    assert got == [(1, 0, 0.5, 2.0, "a"), (2, 0, 0.5, 2.0, "b")]
+
+
+def test_converted_slices(spark):
+    slices = spark.createDataFrame([("book-1", 1), ("book-2", 1), ("book-3", 2)], "stem string, batch_no long")
+    results = ex.convert_slices(slices, lambda stems: {s: f"# {s}" for s in stems if s != "book-2"})
+    checked = {r["stem"]: (r["md_content"], r["error"]) for r in docs.checked_results(slices, results, ["stem"]).collect()}
+    assert checked == {"book-1": ("# book-1", None), "book-2": (None, "missing result"), "book-3": ("# book-3", None)}

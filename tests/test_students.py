@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cardloom.operators import profiles as pf
 from cardloom.operators import progress as pg
 from cardloom.operators import sessions as ss
+from cardloom.plans import documents
 from cardloom.scale import ranked, time_block, top_per_key
 
 T0 = dt.datetime(2024, 1, 1)
@@ -196,3 +197,23 @@ def test_session_actions(spark):
         assert current == {"u": "a", "v": "default", "w": "default"}
     state = {(r["user_id"], r["sid"]): r["cleared_seq"] for r in ss.session_state(df).collect()}
     assert ("u", "a") in state and state["u", "a"] == 5 and ("u", "b") not in state and ("v", "default") in state
+
+
+def test_documents(spark, tmp_path):
+    log = spark.createDataFrame(study_rows(), STUDY)
+    docs = {r["user_id"]: r for r in documents.progress_documents(log, "2024-01-03").collect()}
+    hot = docs["hot"]
+    mine = [r for r in study_rows() if r[0] == "hot"]
+    assert hot["questions"] == len(mine) == hot["curve"][-1]["q"] and hot["percent"] == hot["curve"][-1]["pct"]
+    assert set(hot["chapters"]) == {"x", "y", "z", "(未分章)"} and hot["chapters"]["x"]["depth_max"] == 1.0
+    assert hot["today_questions"] == sum(r[4].date() == dt.date(2024, 1, 3) for r in mine) and hot["daily"][-1]["day"] == "2024-01-13"
+    people = pf.default_profiles(spark.createDataFrame([("hot",), ("new",)], "user_id string"))
+    reviews = spark.createDataFrame([("hot", "A", True, T0, 1)], REVIEWS)
+    memory = spark.createDataFrame([("用户·hot·知识",)], "course string")
+    full = {r["user_id"]: r for r in documents.profile_documents(people, log, reviews, memory).collect()}
+    assert full["hot"]["memory_buckets"]["知识"] == 1 and full["new"]["memory_buckets"]["知识"] == 0
+    assert full["hot"]["course_progress"]["c"]["questions"] == len(mine) and full["hot"]["reviews_stats"]["boxes"] == 1
+    documents.write_profiles(people.withColumn("level", F.lit("高级")), str(tmp_path / "p"))
+    (tmp_path / "p" / "broken.json").write_text("{not json", encoding="utf-8")
+    users = spark.createDataFrame([("hot",), ("third",)], "user_id string")
+    assert {r["user_id"]: r["level"] for r in documents.read_profiles(spark, str(tmp_path / "p"), users).collect()} == {"hot": "高级", "third": "初级"}
