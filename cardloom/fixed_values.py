@@ -49,7 +49,7 @@ TOPICS_CAP, MISTAKES_CAP, GENERAL_NOTES_CAP, GENERAL_NOTE_CHARS = 12, 12, 20, 30
 EXPRESSION_CHARS, EXPRESSION_TIP_CHARS = 200, 120
 MEMORY_TOPIC_CHARS, MEMORY_HASH_CHARS = 80, 10
 DAILY_DAYS = 14
-RADAR_CHAPTERS = 8
+RADAR_CHAPTERS, RADAR_LABEL_CHARS = 8, 9
 TOP_BOX = 5
 NOISE_PREVIEW = 20
 JOB_LOG_CAP, JOB_LOG_VIEW, JOB_LOG_TAIL = 400, 120, 40

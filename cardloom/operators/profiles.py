@@ -13,7 +13,7 @@ from cardloom.functions.text import strip
 from cardloom.scale import top_per_key
 
 
-def capped_list(items: DataFrame, cap: int) -> DataFrame:
+def capped_list(items: DataFrame, cap: int, trim: bool = True) -> DataFrame:
     """``items``: user_id, seq, pos, item  ->  user_id, place, item.
 
     Items join the list when absent from it; after each ``seq`` (one turn)
@@ -23,7 +23,8 @@ def capped_list(items: DataFrame, cap: int) -> DataFrame:
     by an aggregate.  The rule is sequential for the others: their rows
     stream in order through a task that holds ``cap`` items per user.
     """
-    clean = items.withColumn("item", strip(F.col("item"))).filter(F.coalesce("item", F.lit("")) != "")
+    item = strip(F.col("item")) if trim else F.col("item")
+    clean = items.withColumn("item", item).filter(F.coalesce("item", F.lit("")) != "")
     first_seen = clean.groupBy("user_id", "item").agg(F.min(F.struct("seq", "pos")).alias("_first"))
     sizes = first_seen.groupBy("user_id").agg(F.count("*").alias("_n"))
     short = first_seen.join(sizes.filter(F.col("_n") <= cap), "user_id")
@@ -71,7 +72,7 @@ def as_list(placed: DataFrame, name: str) -> DataFrame:
 def general_notes(items: DataFrame) -> DataFrame:
     """Everyday topics, 30 characters each, newest 20."""
     short = items.withColumn("item", F.substring(strip(F.col("item")), 1, fixed.GENERAL_NOTE_CHARS))
-    return capped_list(short, fixed.GENERAL_NOTES_CAP)
+    return capped_list(short, fixed.GENERAL_NOTES_CAP, trim=False)
 
 
 def expression_notes(notes: DataFrame, limit: int = fixed.EXPRESSION_CHARS) -> DataFrame:
@@ -124,6 +125,12 @@ def preamble() -> Column:
     )
 
 
+def default_preamble() -> str:
+    """Preamble of an empty profile."""
+    style = "、".join(k for k, on in fixed.DEFAULT_STYLE.items() if on)
+    return " ".join([fixed.PREAMBLE_LEVEL % fixed.DEFAULT_LEVEL, fixed.PREAMBLE_STYLE % style])
+
+
 def default_profiles(users: DataFrame) -> DataFrame:
     texts = F.array().cast("array<string>")
     flags = [F.lit(x) for pair in fixed.DEFAULT_STYLE.items() for x in pair]

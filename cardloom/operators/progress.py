@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
-from cardloom.functions.text import exact_round
+from cardloom.functions.text import cut, exact_round
 from cardloom.scale import running, top_per_key
 
 DEPTH_UNITS = 1_000_000
@@ -108,7 +108,8 @@ def radar_chapters(progress: DataFrame, top: int = fixed.RADAR_CHAPTERS) -> Data
     """Deepest chapters per student; parts ``name·i`` count as one chapter."""
     base = F.regexp_replace("chapter", fixed.PART_SEPARATOR + r"\d+$", "")
     deepest = progress.groupBy(*_STUDENT, base.alias("name")).agg(F.max("depth_max_units").alias("depth_units"))
-    return top_per_key(deepest, _STUDENT, [F.desc("depth_units"), F.asc("name")], top)
+    best = top_per_key(deepest, _STUDENT, [F.desc("depth_units"), F.asc("name")], top)
+    return best.withColumn("label", cut(F.col("name"), fixed.RADAR_LABEL_CHARS, "…"))
 
 
 # ---- spaced review ----------------------------------------------------------

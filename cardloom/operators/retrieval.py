@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardloom import fixed_values as fixed
 from cardloom.functions import vectors as vec
@@ -379,9 +380,13 @@ def hybrid_topk(
     k: int | None = None,
     use_vector: bool = True,
     small: bool | None = None,
+    vector_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Fused top-k per question.
 
+    ``vector_hits`` (qid, card_id, cosine; reference-only cards included)
+    replaces the hashed vector channel by another embedding's best cards.
+
     Keeping the k best lexical and the max(3k, 10) best vector cards is exact:
     a card in neither list is behind k cards in the lexical order, and each of
     those scores at least as much after fusion.  Equal scores keep the card
@@ -390,7 +395,10 @@ def hybrid_topk(
     """
     k = k if k and k > 0 else fixed.DEFAULT_TOP_K
     n = max(fixed.VECTOR_OVERFETCH * k, fixed.MIN_VECTOR_HITS) if use_vector else 0
-    found = candidates(questions, cards, k, n, small)
+    if vector_hits is None or not use_vector:
+        found = candidates(questions, cards, k, n, small)
+    else:
+        found = _with_given_vectors(questions, cards, vector_hits, k, n, small)
     usable = found.filter(~F.col("reference_only"))
     vector = F.when(F.col("vector_rank").isNotNull(), F.greatest(F.lit(0.0), F.col("cosine")))
     fused = usable.withColumn("vector", vector).withColumn(
@@ -414,6 +422,48 @@ def hybrid_topk(
     )
 
 
+def pair_lexical(pairs: DataFrame) -> DataFrame:
+    """Lexical score of given pairs: columns of the scoring view plus ``question``; null where the gate drops it."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("lexical", T.DoubleType())])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = vec.TokenCodes()
+        for pdf in batches:
+            asked = vec.count_matrix(pdf["question"].tolist(), codes)
+            offered = vec.count_matrix(pdf["lexical_text"].tolist(), codes)
+            near = np.einsum("ij,ij->i", asked, offered) / (vec.norms(offered) * vec.norms(asked))
+            words = [set(vec.token_list(q or "")) for q in pdf["question"]]
+            hits = np.array([len(w & set(vec.token_list(k or ""))) for w, k in zip(words, pdf["keywords"])], dtype=float)
+            sizes = np.array([len(w) for w in words], dtype=float)
+            boost = np.where(pdf["boosted"].to_numpy(bool), fixed.KIND_BOOST, 0.0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                value = fixed.KEYWORD_WEIGHT * (hits / sizes) + fixed.COSINE_WEIGHT * near + boost
+            gate = (sizes > 0) & ~pdf["reference_only"].to_numpy(bool) & (value > 0)
+            yield pdf.assign(lexical=np.where(gate, value.astype(object), None))
+
+    return pairs.mapInPandas(score, schema)
+
+
+def _with_given_vectors(
+    questions: DataFrame, cards: DataFrame, vector_hits: DataFrame, k: int, n: int, small: bool | None
+) -> DataFrame:
+    """Rows like those of ``candidates``, with the vector side given from outside."""
+    small = questions_fit(questions) if small is None else small
+    given = top_per_key(
+        vector_hits.select("qid", "card_id", "cosine").join(questions.select("qid", "course", "question"), "qid"),
+        ["qid"],
+        [F.desc("cosine"), F.asc("card_id")],
+        n,
+        rank="vector_rank",
+    )
+    few = small and MAX_BROADCAST_QUESTIONS * n <= MAX_BROADCAST_HITS
+    pairs = _scoring_columns(cards).join(F.broadcast(given) if few else given, ["course", "card_id"])
+    columns = ["qid", "course", "card_id", "ord", "reference_only", "lexical", "lexical_rank", "cosine", "vector_rank"]
+    near = pair_lexical(pairs).withColumn("lexical_rank", F.lit(None).cast("int")).select(*columns)
+    words = candidates(questions, cards, k, 0, small).join(given.select("qid", "card_id"), ["qid", "card_id"], "left_anti")
+    return near.unionByName(words.select(*columns))
+
+
 def attach_cards(hits: DataFrame, cards: DataFrame, columns: list[str], small: bool, k: int | None = None) -> DataFrame:
     """Join card payload after ranking.
 

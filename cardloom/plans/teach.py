@@ -42,11 +42,18 @@ def classified(turns: DataFrame, hints: DataFrame | None = None) -> DataFrame:
 
 def model_intents(turns: DataFrame, model: Callable[[dict], str]) -> DataFrame:
     """Hints from a model that answers ``{"intent": ..., "wants_memory": ...}``; unreadable answers fall back to the rules."""
-    told = ex.call_rows(turns.select("qid", "question"), ex.with_retries(model), "_told")
-    parsed = F.from_json("_told", "intent string, wants_memory boolean")
-    return told.select("qid", parsed.alias("_p")).filter(F.col("_p.intent").isNotNull()).select(
-        "qid", "_p.intent", F.coalesce("_p.wants_memory", F.lit(True)).alias("wants_memory")
+    told = ex.call_rows(turns.select("qid", "user_id", "seq", "question"), ex.with_retries(model), "_told")
+    parsed = F.from_json(
+        "_told",
+        "intent string, wants_memory boolean, stuck_topics array<string>, mistakes array<string>, expression_note string",
     )
+    found = told.select("qid", "user_id", "seq", parsed.alias("_p")).filter(F.col("_p.intent").isNotNull())
+    return found.select("qid", "user_id", "seq", "_p.*").withColumn("wants_memory", F.coalesce("wants_memory", F.lit(True)))
+
+
+def list_items(hints: DataFrame, field: str) -> DataFrame:
+    """``stuck_topics`` or ``mistakes`` of the hints as rows for ``profiles.capped_list``."""
+    return hints.select("user_id", "seq", F.posexplode(field).alias("pos", "item"))
 
 
 def course_hits(turns: DataFrame, cards: DataFrame, profiles: DataFrame, k: int | None = None) -> DataFrame:
@@ -79,12 +86,14 @@ def composed(
     )
     first_chapter = hits.filter("rank = 1").select("qid", F.col("chapter").alias("first_chapter"))
     told = profiles.select("user_id", "turn_count", pf.preamble().alias("preamble"))
+    unknown = {"preamble": pf.default_preamble(), "turn_count": 0}  # students without a profile yet
     joined = (
         turns.join(all_text, "qid", "left")
         .join(soft, "qid", "left")
         .join(memory, "qid", "left")
         .join(first_chapter, "qid", "left")
         .join(told, "user_id", "left")
+        .na.fill(unknown)
         .join(contexts, ["user_id", "sid"], "left")
     )
     mode = intents.turn_mode(F.col("intent"), F.col("n_methods"), F.col("top_score"))

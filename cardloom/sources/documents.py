@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
-from cardloom.functions.text import lines
+from cardloom.functions.text import lines, strip
 from cardloom.operators import chapters as ch
 from cardloom.scale import ranked
 
@@ -25,7 +25,7 @@ def read_texts(spark: SparkSession, path: str | list[str], course: str) -> DataF
     )
     first = F.get(lines(F.col("text")), 0)
     heading = first.rlike(fixed.CHAPTER_HEADING)
-    name = F.when(F.coalesce(heading, F.lit(False)), F.trim(F.regexp_extract(first, fixed.CHAPTER_HEADING, 1))).otherwise(
+    name = F.when(F.coalesce(heading, F.lit(False)), strip(F.regexp_extract(first, fixed.CHAPTER_HEADING, 1))).otherwise(
         F.url_decode(F.regexp_replace(_stem(F.col("path")), r"\+", "%2B"))
     )
     return files.select(

@@ -209,6 +209,12 @@ def test_teach(spark):
     assert kept == {"u": "知识", "v": "知识", "x": "通识"}
     assert pf.memory_cards(teach.memory_entries(answers, extractor)).select("id").distinct().count() == 3
     offline = {r["user_id"]: r["answer"] for r in teach.answered(prepared, None).collect()}
+    strangers = teach.composed(asked, hits, remembered, people.limit(0), ss.chat_context(earlier))
+    assert strangers.filter("system IS NULL OR user IS NULL").isEmpty()
+    hints = teach.model_intents(turns, lambda row: json.dumps({"intent": "复习", "stuck_topics": ["死锁", ""]}) if row["qid"] == 1 else "?")
+    asked_again = {r["qid"]: r["intent"] for r in teach.classified(turns, hints).collect()}
+    assert asked_again[1] == "复习" and asked_again[3] == "闲聊"
+    assert [r["item"] for r in pf.capped_list(teach.list_items(hints, "stuck_topics"), 12).collect()] == ["死锁"]
     assert offline["u"].startswith("（离线降级") and offline["w"] == "（离线且未命中任何教材方法）"
     stream = teach.turn_events(prepared, hits, answers).orderBy("qid", "event_no").collect()
     assert [json.loads(r["event"])["type"] for r in stream if r["qid"] == 1] == ["intent", "methods", "done"]

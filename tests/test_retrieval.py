@@ -164,3 +164,12 @@ def test_daily_draw(spark):
     again = [r["id"] for r in draw.daily_draw(pool.coalesce(1), ["course"], 5, "s").collect()]
     assert sorted(ids) == sorted(again) and len(set(ids)) == 5
     assert draw.daily_draw(pool, ["course"], 500).count() == 20
+
+
+def test_given_vectors_take_the_place_of_hashed_ones(spark):
+    cards = h.cards_df(spark, library(60))
+    questions = asked(spark, [(i, "数学", q) for i, q in enumerate(QUESTIONS)])
+    own = rt.candidates(questions, cards, 0, 15).select("qid", "card_id", "cosine")
+    plain = {(r["qid"], r["rank"]): r["score"] for r in rt.hybrid_topk(questions, cards, 5).collect()}
+    given = {(r["qid"], r["rank"]): r["score"] for r in rt.hybrid_topk(questions, cards, 5, vector_hits=own).collect()}
+    assert plain == given and plain

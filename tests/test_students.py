@@ -139,6 +139,7 @@ def test_expression_notes(spark):
 def test_preamble(spark):
     users = spark.createDataFrame([("u",)], "user_id string")
     plain = pf.default_profiles(users).select(pf.preamble().alias("p")).first()["p"]
+    assert plain == pf.default_preamble()
     assert plain == "你是面对一位初级水平学生的一对一助教。 讲解风格：推导、易错点。"
     items = lambda xs: spark.createDataFrame([("u", i, 0, x) for i, x in enumerate(xs)], "user_id string, seq long, pos long, item string")
     lists = {
