@@ -30,7 +30,7 @@ def split_pages(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
     marked = F.arrays_zip(numbers.alias("page_no"), F.slice(bodies, 2, F.greatest(F.size(numbers), F.lit(0))).alias("text"))
     pages = F.filter(
         F.transform(
-            marked, lambda p: F.struct(p["page_no"].cast("int").alias("page_no"), strip(p["text"]).alias("text"))
+            marked, lambda p: F.struct(p["page_no"].try_cast("int").alias("page_no"), strip(p["text"]).alias("text"))
         ),
         lambda p: p["text"] != "",
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
 from cardloom.functions.text import strip
-from cardloom.scale import top_per_key
+from cardloom.scale import clustered, top_per_key
 
 
 def capped_list(items: DataFrame, cap: int, trim: bool = True) -> DataFrame:
@@ -32,11 +32,7 @@ def capped_list(items: DataFrame, cap: int, trim: bool = True) -> DataFrame:
         "user_id", F.col("place").cast("bigint").alias("place"), "item"
     )
     long_rows = clean.join(sizes.filter(F.col("_n") > cap).select("user_id"), "user_id", "left_semi")
-    ordered = (
-        long_rows.select("user_id", "seq", "pos", "item")
-        .repartition("user_id")
-        .sortWithinPartitions("user_id", "seq", "pos")
-    )
+    ordered = clustered(long_rows.select("user_id", "seq", "pos", "item"), ["user_id"], ["seq", "pos"])
     user_type = items.schema["user_id"].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -177,7 +177,7 @@ def badge(kind: Column) -> Column:
 
 def card_number(card_id: Column) -> Column:
     """Numeric tail of an id, so that card 1000 follows card 999."""
-    return F.regexp_extract(card_id, r"(\d+)$", 1).cast("bigint")
+    return F.regexp_extract(card_id, r"(\d+)$", 1).try_cast("bigint")
 
 
 def _card_rows(cards: DataFrame, text: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from cardloom import fixed_values as fixed
 from cardloom.functions.text import clock, clock_seconds, strip
+from cardloom.scale import clustered
 from cardloom.schema import SUBTITLES
 
 ANCHOR_BLOCK_SECONDS = 86_400.0
@@ -23,7 +24,7 @@ def read_subtitles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Caption files ``p<N>.<lang>.json3`` as ``(part_no, name, raw)``."""
     name = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1))
     return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(name, r"^p(\d+)\.", 1).cast("int").alias("part_no"), name.alias("name"), F.col("value").alias("raw")
+        F.regexp_extract(name, r"^p(\d+)\.", 1).try_cast("int").alias("part_no"), name.alias("name"), F.col("value").alias("raw")
     )
 
 
@@ -167,11 +168,8 @@ def paragraph_starts(
             )
 
     doubles = [T.StructField("first", T.DoubleType()), T.StructField("last", T.DoubleType())]
-    tables = (
-        blocked.select(*group, "start")
-        .repartition(*group)
-        .sortWithinPartitions(*group, "start")
-        .mapInPandas(tables_of, T.StructType([*key_fields, block, *doubles]))
+    tables = clustered(blocked.select(*group, "start"), group, ["start"]).mapInPandas(
+        tables_of, T.StructType([*key_fields, block, *doubles])
     )
 
     def chains_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,10 +182,8 @@ def paragraph_starts(
                 _before=np.array([x for _, known in found for x in known], dtype=np.float64),
             )
 
-    carried = (
-        tables.repartition(*keys)
-        .sortWithinPartitions(*keys, "_block", "first")
-        .mapInPandas(chains_of, T.StructType([*key_fields, block, T.StructField("_before", T.DoubleType())]))
+    carried = clustered(tables, keys, ["_block", "first"]).mapInPandas(
+        chains_of, T.StructType([*key_fields, block, T.StructField("_before", T.DoubleType())])
     )
 
     def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,12 +193,7 @@ def paragraph_starts(
             yield rows[columns].assign(para_start=opening)
 
     out = T.StructType([*segments.schema.fields, T.StructField("para_start", T.DoubleType())])
-    return (
-        blocked.join(carried, group)
-        .repartition(*group)
-        .sortWithinPartitions(*group, "start", "seq")
-        .mapInPandas(finished, out)
-    )
+    return clustered(blocked.join(carried, group), group, ["start", "seq"]).mapInPandas(finished, out)
 
 
 def paragraphs(opened: DataFrame, keys: list[str]) -> DataFrame:

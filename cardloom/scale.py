@@ -155,3 +155,14 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
         .withColumn(name, F.col("_start") + inside)
         .select(*df.columns, name)
     )
+
+
+def clustered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """All rows of a key in one partition, sorted by key and ``order``, for functions over sorted streams.
+
+    The shuffle is on a hash of the keys on purpose.  A repartition by the
+    keys themselves is dropped when a join below already has that
+    partitioning, and the adaptive skew join may then split a key over
+    several tasks, which a partition function would not notice.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)

@@ -131,6 +131,7 @@ def test_render_methods(spark):
 
 
 def test_card_views(spark):
+    assert one(spark, render.card_number(F.lit("课|章|012"))) == 12 and one(spark, render.card_number(F.lit("记忆|知识|abcdef"))) is None
     df = h.cards_df(spark, [FULL]).withColumn("card_id", F.col("id")).withColumn("score", F.lit(0.12345)).withColumn("rank", F.lit(1))
     seen = json.loads(render.previews(df, ["course"]).first()["preview"])
     assert seen == {"hits": [{"id": "数学|一|001", "topic": "洛必达", "kind": "方法", "chapter": "一", "score": 0.123, "applicability": "0/0 型"}]}

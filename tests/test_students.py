@@ -218,3 +218,47 @@ def test_documents(spark, tmp_path):
     (tmp_path / "p" / "broken.json").write_text("{not json", encoding="utf-8")
     users = spark.createDataFrame([("hot",), ("third",)], "user_id string")
     assert {r["user_id"]: r["level"] for r in documents.read_profiles(spark, str(tmp_path / "p"), users).collect()} == {"hot": "高级", "third": "初级"}
+
+
+@pytest.fixture
+def eager_skew_join(spark):
+    """Settings under which the adaptive skew join splits even small hot keys."""
+    wanted = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_user_under_skew_join(spark, eager_skew_join):
+    """A split hot key must not split the fold: one list of at most ``cap`` items per user."""
+    base = spark.range(40_000).repartition(8)
+    items = base.select(
+        F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") % 20).alias("user_id"), F.col("id").alias("seq"),
+        F.lit(0).alias("pos"), F.concat(F.lit("t"), (F.col("id") * 7 % 40).cast("string")).alias("item"),
+    )
+    got = {}
+    for r in pf.capped_list(items, 12).collect():
+        got.setdefault(r["user_id"], []).append((r["place"], r["item"]))
+    want = {}
+    for r in sorted(items.collect(), key=lambda r: r["seq"]):
+        held = want.setdefault(r["user_id"], [])
+        if r["item"] not in held:
+            held.append(r["item"])
+            del held[:-12]
+    assert {u: [i for _, i in sorted(v)] for u, v in got.items()} == want
+
+
+def test_blocks_under_skew_join(spark, eager_skew_join):
+    df = spark.createDataFrame(study_rows(n=3000), STUDY).repartition(8)
+    block = time_block(df, ["user_id", "course"], "ts", rows_per_block=100)
+    assert sorted(map(tuple, pg.progress_curve(df).collect())) == sorted(map(tuple, pg.progress_curve(df, block).collect()))
