@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import language, mixing, packing, simhash, toxicity
+from cardloom.llm import language, mixing, packing, simhash, topk, toxicity, vectors
 from cardloom.llm.common import WORD, table
 from cardloom.session import ship_package
 
@@ -29,6 +29,14 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return queue.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -86,9 +94,27 @@ QUERIES = {
         "op1_language": op1_language,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
+        "op6_vectors": op6_vectors,
+        "op7_topk": op7_topk,
         "op8_toxicity": op8_toxicity,
         "op10_packing": op10_packing,
     }.items()
 }
 
-ORACLE = {"op4_mixing": _OP4}
+_OP7 = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), terms AS (
+  SELECT vec_id, unnest(v) AS w, unnest(range(len(v))) AS i FROM usable
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.w * d.w) AS BIGINT) AS score
+  FROM terms q JOIN terms d ON q.i = d.i AND q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, d.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE = {"op4_mixing": _OP4, "op7_topk": _OP7}

@@ -21,3 +21,8 @@ def fold(doc_id: Column, folds: int) -> Column:
 def hash_order(doc_id: Column) -> Column:
     """A shuffle order that any engine can compute: the md5 of the id as text."""
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def renamed_apart(df: DataFrame) -> DataFrame:
+    """The same columns as new attributes, for a co-group of two tables that come from one."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
