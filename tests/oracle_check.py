@@ -38,7 +38,7 @@ def compare(frame, con, sql):
     expected, columns = normal(want_rows, want_columns)
     if got_columns != columns:
         return f"columns {got_columns} != {columns}"
-    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
     for name, kind in frame.dtypes:
         if kinds.get(kind, kind) != want_types[name].replace("NUMBER", "?") and kind in kinds:
             want_kind = want_types[name]
