@@ -216,9 +216,10 @@ def _leaves(capacity: int):
 
 def _inner(capacity: int, last: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True)
-        if not len(rows):
+        held = [frame for frame in frames if len(frame)]
+        if not held:
             return
+        rows = pd.concat(held, ignore_index=True)
         for node, own in rows.groupby("parent"):
             own = own.sort_values(["node", "bin", "offset"], kind="stable", ignore_index=True)
             own["bin"] = own.groupby(["node", "bin"], sort=True).ngroup()
