@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import language, mixing, packing, simhash, topk, toxicity, vectors
+from cardloom.llm import chat, html, language, mixing, packing, quality, simhash, topk, toxicity, vectors
 from cardloom.llm.common import WORD, table
 from cardloom.session import ship_package
 
@@ -20,6 +20,19 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = chat.preference_pairs(chat.from_conversations(table(spark, folder, "conversations")))
+    as_text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"),
+        "prompt",
+        "chosen",
+        "rejected",
+        as_text("chosen_spans").alias("chosen_spans"),
+        as_text("rejected_spans").alias("rejected_spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -29,6 +42,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return queue.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op6_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
 
@@ -41,10 +58,50 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+_OP2 = """
+WITH lasts AS (
+  SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+), said AS (
+  SELECT c.conv_id, c.turn, coalesce(c.role, '') AS role, coalesce(c.text, '') AS c_text,
+         CASE WHEN c.role = 'assistant' AND c.turn = l.last
+              THEN coalesce(array_to_string(list_reverse(string_split(c.text, ' ')), ' '), '') ELSE coalesce(c.text, '') END AS r_text
+  FROM conversations c JOIN lasts l USING (conv_id) WHERE c.turn <= l.last
+), sides AS (
+  SELECT conv_id, list({'role': role, 'text': c_text} ORDER BY turn, role, c_text) AS c,
+         list({'role': role, 'text': r_text} ORDER BY turn, role, r_text) AS r
+  FROM said GROUP BY conv_id
+), cut AS (
+  SELECT conv_id, c, r, list_max(list_filter(range(0, len(c) + 1), lambda i: c[1:i] = r[1:i])) AS same FROM sides
+), parts AS (
+  SELECT conv_id, c[1:same] AS p, c[same + 1:len(c)] AS c, r[same + 1:len(r)] AS r FROM cut
+), spans AS (
+  SELECT conv_id, side, string_agg(CASE WHEN role = 'assistant' THEN (before + head) || '-' || (before + head + body) END, ',' ORDER BY i) AS spans
+  FROM (
+    SELECT *, coalesce(sum(head + body) OVER (PARTITION BY conv_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (
+      SELECT conv_id, side, i, turns[i].role AS role, 13 + len(turns[i].role) AS head, len(turns[i].text) + 11 AS body
+      FROM (SELECT *, unnest(range(1, len(turns) + 1)) AS i
+            FROM (SELECT conv_id, 'c' AS side, c AS turns FROM parts UNION ALL SELECT conv_id, 'r', r FROM parts))
+    )
+  ) GROUP BY conv_id, side
+)
+SELECT conv_id,
+       coalesce(array_to_string(list_transform(p, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+       coalesce(array_to_string(list_transform(c, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS chosen,
+       coalesce(array_to_string(list_transform(r, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS rejected,
+       coalesce((SELECT s.spans FROM spans s WHERE s.conv_id = parts.conv_id AND s.side = 'c'), '') AS chosen_spans,
+       coalesce((SELECT s.spans FROM spans s WHERE s.conv_id = parts.conv_id AND s.side = 'r'), '') AS rejected_spans
+FROM parts
+"""
+
 _OP4 = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS turn,
@@ -92,11 +149,14 @@ QUERIES = {
     name: _shipped(query)
     for name, query in {
         "op1_language": op1_language,
+        "op2_chat": op2_chat,
         "op3_simhash": op3_simhash,
         "op4_mixing": op4_mixing,
+        "op5_html": op5_html,
         "op6_vectors": op6_vectors,
         "op7_topk": op7_topk,
         "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }.items()
 }
@@ -117,4 +177,4 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE = {"op4_mixing": _OP4, "op7_topk": _OP7}
+ORACLE = {"op2_chat": _OP2, "op4_mixing": _OP4, "op7_topk": _OP7}
