@@ -47,6 +47,7 @@ FLOOR = -2.0
 """Margin of a text without units."""
 _WINDOW = 32
 _CACHE = 300_000
+_AT_ONCE = 2000
 _SLOTS = 1 << 17
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -151,8 +152,8 @@ class Machine:
 
     def margins(self, found: list[str]) -> np.ndarray:
         out = np.full(len(found), self.bias)
-        for at in range(0, len(found), 50_000):
-            part = found[at : at + 50_000]
+        for at in range(0, len(found), 5 * _AT_ONCE):
+            part = found[at : at + 5 * _AT_ONCE]
             of, key, weight = occurrences(part)
             hit, row = self.lookup.find(key)
             out[at : at + len(part)] += np.bincount(of[hit], weights=weight[hit] * self.weights[row], minlength=len(part))
@@ -203,8 +204,8 @@ class Kernel:
 
     def __call__(self, names: list[str]) -> np.ndarray:
         out = np.zeros((len(names), self.maps.shape[1]), np.float32)
-        for at in range(0, len(names), 20_000):
-            of, key, weight = occurrences(names[at : at + 20_000])
+        for at in range(0, len(names), _AT_ONCE):
+            of, key, weight = occurrences(names[at : at + _AT_ONCE])
             hit, row = self.lookup.find(key)
             order = np.argsort(of[hit], kind="stable")
             own = of[hit][order]
@@ -230,8 +231,8 @@ def fit(found: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_
     innocent = np.flatnonzero((clean > 0) & ~sure)
     alike = Kernel([found[i] for i in best])
     near = np.zeros(len(found))
-    for at in range(0, len(found), 20_000):
-        near[at : at + 20_000] = alike(found[at : at + 20_000]).max(axis=1, initial=0)
+    for at in range(0, len(found), _AT_ONCE):
+        near[at : at + _AT_ONCE] = alike(found[at : at + _AT_ONCE]).max(axis=1, initial=0)
     room = LANDMARKS - len(best)
     confusing = innocent[np.argsort(-near[innocent] * np.log1p(clean[innocent]), kind="stable")][: room * 2 // 3]
     common = innocent[np.argsort(-clean[innocent], kind="stable")][: room // 3]
