@@ -34,6 +34,8 @@ END = 0
 NEARLY_FULL = 0.995
 FAN_IN = 8
 CARRY = 4096
+LEAST_ITEMS = 4_000
+"""Small partitions are joined, without a shuffle, to leaves of about so many items."""
 LEAF_ITEMS = 100_000
 """Items that a leaf packs at once; a larger partition is packed in several goes."""
 
@@ -235,7 +237,8 @@ def packed(made: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> D
     than ``capacity`` ids.  Sequence ids are round, node and bin in one long.
     """
     leaves = checkpointed(made)
-    width = max(1, leaves.rdd.getNumPartitions())
+    width = max(1, min(leaves.rdd.getNumPartitions(), -(-leaves.count() // LEAST_ITEMS)))
+    leaves = leaves.coalesce(width)
     with_places = leaves.selectExpr(  # pandas has no null in a long
         "coalesce(doc_id, 0L) AS doc_id", "doc_id IS NULL AS no_id", "piece", "start", "length", "ids_crc32", "0L AS node", "0L AS bin", "0L AS offset", "false AS done"
     )
