@@ -37,7 +37,7 @@ LENGTH, SPAN, DECAY = 4, 6, 0.6
 TRAIN_DOCS = 3000
 MAX_UNITS = 150_000
 LANDMARKS = 192
-NEGATIVES = 6000
+NEGATIVES = 12_000
 ROUNDS = 3
 RIDGE = 0.2
 CLEAN_WEIGHT = 6.0
