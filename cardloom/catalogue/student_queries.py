@@ -88,6 +88,10 @@ def current_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return pg.review_stats(t.reviews(spark, folder))
+
+
+def review_stats_recent(spark: SparkSession, folder: str) -> DataFrame:
     return pg.review_stats(t.reviews(spark, folder), 50)
 
 
@@ -102,8 +106,10 @@ def weak_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expression_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes that repeat, some of them ending in the separator."""
+    k = F.get_json_object("props", "$.k")
     notes = t.table(spark, folder, "events").select(
-        "user_id", F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), F.get_json_object("props", "$.k")).alias("note")
+        "user_id", F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), k, F.when(k.endswith("3"), F.lit("；")).otherwise(F.lit(""))).alias("note")
     )
     return pf.expression_notes(notes)
 
@@ -129,13 +135,58 @@ def memory_counts(spark: SparkSession, folder: str) -> DataFrame:
     return pf.memory_counts(users, memory_cards(spark, folder).select("course", "id").distinct())
 
 
+def _chat_actions(spark, folder):
+    """Actions on the chat sessions, fixed by their number: opened with a name, cleared, deleted, opened and never used."""
+    c = F.col("conv_id")
+    own = c.cast("string")
+    kinds = [
+        (c % 5 == 0, "new", own, F.concat(F.lit("Named "), own), -1),
+        (c % 7 == 0, "clear", own, None, 2),
+        (c % 11 == 0, "delete", own, None, 100),
+        (c % 13 == 0, "new", F.concat(F.lit("e"), own), F.when(c % 2 == 0, "会话 1").otherwise("Empty"), 1),
+        (c % 17 == 0, "delete", F.lit(fixed.DEFAULT_SESSION), None, 3),
+    ]
+    made = [
+        F.when(
+            when,
+            F.struct(
+                (c % 10).alias("user_id"),
+                (c * 10 + i).alias("seq"),
+                F.lit(action).alias("action"),
+                sid.alias("sid"),
+                (F.lit(None).cast("string") if title is None else title).alias("title"),
+                F.timestamp_seconds(c * 3600 + seconds).alias("ts"),
+            ),
+        )
+        for i, (when, action, sid, title, seconds) in enumerate(kinds)
+    ]
+    convs = t.table(spark, folder, "conversations").select("conv_id").distinct()
+    return convs.select(F.explode(F.array_compact(F.array(*made))).alias("a")).select("a.*")
+
+
+def chat_context_acted(spark: SparkSession, folder: str) -> DataFrame:
+    text = ss.chat_context(t.turns(spark, folder), actions=_chat_actions(spark, folder))
+    return text.select("user_id", "sid", F.length("context").cast("bigint").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+def chat_history_acted(spark: SparkSession, folder: str) -> DataFrame:
+    return ss.history(t.turns(spark, folder), actions=_chat_actions(spark, folder)).select("user_id", "sid", "turn")
+
+
+def session_list_acted(spark: SparkSession, folder: str) -> DataFrame:
+    listed = ss.session_list(t.turns(spark, folder), actions=_chat_actions(spark, folder))
+    return listed.select(
+        "user_id", "sid", "title", "count", F.unix_timestamp("created").alias("created"), F.unix_timestamp("updated").alias("updated")
+    )
+
+
 def chat_context(spark: SparkSession, folder: str) -> DataFrame:
     text = ss.chat_context(t.turns(spark, folder))
     return text.select("user_id", "sid", F.length("context").cast("bigint").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
 def chat_history(spark: SparkSession, folder: str) -> DataFrame:
-    kept = ss.history(t.turns(spark, folder), 2)
+    kept = ss.history(t.turns(spark, folder), 2, shorten=True)
     return kept.select("user_id", "sid", "turn", F.length("question").cast("bigint").alias("n_question"), F.length("answer").cast("bigint").alias("n_answer"))
 
 
@@ -213,6 +264,18 @@ tt AS (
 ),
 ti AS (SELECT user_id, sid, CASE WHEN q1 IS NULL THEN '新会话' ELSE substr(q1, 1, 14) || CASE WHEN length(q1) > 14 THEN '…' ELSE '' END END AS title FROM tt)
 """
+_CHAT_ACTIONS = """
+cv AS (SELECT DISTINCT conv_id AS c FROM conversations),
+ac AS (
+  SELECT c % 10 AS user_id, c * 10 AS seq, 'new' AS action, CAST(c AS VARCHAR) AS sid, 'Named ' || c AS title, c * 3600 - 1 AS ts FROM cv WHERE c % 5 = 0
+  UNION ALL SELECT c % 10, c * 10 + 1, 'clear', CAST(c AS VARCHAR), NULL, c * 3600 + 2 FROM cv WHERE c % 7 = 0
+  UNION ALL SELECT c % 10, c * 10 + 2, 'delete', CAST(c AS VARCHAR), NULL, c * 3600 + 100 FROM cv WHERE c % 11 = 0
+  UNION ALL SELECT c % 10, c * 10 + 3, 'new', 'e' || c, CASE WHEN c % 2 = 0 THEN '会话 1' ELSE 'Empty' END, c * 3600 + 1 FROM cv WHERE c % 13 = 0
+  UNION ALL SELECT c % 10, c * 10 + 4, 'delete', 'default', NULL, c * 3600 + 3 FROM cv WHERE c % 17 = 0
+),
+ed AS (SELECT user_id, sid, max(ts) AS ended FROM ac WHERE action = 'clear' OR (action = 'delete' AND sid <> 'default') GROUP BY ALL),
+sv AS (SELECT tn.* FROM tn LEFT JOIN ed ON ed.user_id = tn.user_id AND ed.sid = tn.sid WHERE ended IS NULL OR tn.ts > ended)
+"""
 _MEMORY = """
 en AS (
   SELECT conv_id % 10 AS user_id, ['知识','思维习惯','技巧选择','语义表意','通识'][(turn % 5 + 1)::INT] AS bucket,
@@ -255,7 +318,7 @@ FROM (SELECT user_id, chapter, count(*) AS n, max(d) AS m FROM lg GROUP BY ALL)
     + _CURVE
     + """,
 dy AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS questions, coalesce(arg_max(pct, q) FILTER (pct <> 0), 0) AS pct
-  FROM (SELECT *, max(q) OVER (PARTITION BY user_id) AS mq FROM cv) WHERE q > mq - 500 GROUP BY ALL)
+  FROM cv GROUP BY ALL)
 SELECT user_id, day, questions, pct FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM dy) WHERE r <= 14""",
     "today_questions": """
 SELECT user_id, count(*) FILTER (strftime(ts, '%Y-%m-%d') = '2024-01-15') AS today_questions FROM events GROUP BY user_id""",
@@ -267,7 +330,7 @@ SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
     "progress_documents": "WITH"
     + _CURVE
     + """,
-tl AS (SELECT * FROM (SELECT *, max(q) OVER (PARTITION BY user_id) AS mq FROM cv) WHERE q > mq - 500),
+tl AS (SELECT *, max(q) OVER (PARTITION BY user_id) AS mq FROM cv),
 dy AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM tl GROUP BY ALL),
 dd AS (SELECT user_id, count(*) AS n_days, CAST(sum(n) AS BIGINT) AS questions_in_days FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS r FROM dy) WHERE r <= 14 GROUP BY user_id),
@@ -284,6 +347,12 @@ FROM tl JOIN dd USING (user_id) JOIN cc USING (user_id) GROUP BY tl.user_id""",
     "review_stats": "WITH"
     + _REVIEWS
     + """,
+bc AS (SELECT user_id, count(DISTINCT card_id) AS boxes FROM rv GROUP BY user_id)
+SELECT user_id, count(*) AS total, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok) AS wrong,
+  CAST(printf('%.2f', count(*) FILTER (ok)::DOUBLE / count(*)) AS DOUBLE) AS accuracy, max(boxes) AS boxes FROM rv JOIN bc USING (user_id) GROUP BY user_id""",
+    "review_stats_recent": "WITH"
+    + _REVIEWS
+    + """,
 la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) AS r FROM rv) WHERE r <= 50),
 bc AS (SELECT user_id, count(DISTINCT card_id) AS boxes FROM rv GROUP BY user_id)
 SELECT user_id, count(*) AS total, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok) AS wrong,
@@ -293,8 +362,9 @@ WITH it AS (SELECT user_id, list(['topic ' || CAST(json_extract_string(props, '$
 f AS (SELECT user_id, list_reduce(l, lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x)[-12:] END) AS kept FROM it)
 SELECT user_id, generate_subscripts(kept, 1) AS place, unnest(kept) AS item FROM f""",
     "expression_notes": """
-WITH it AS (SELECT user_id, list(event_type || ' ' || json_extract_string(props, '$.k') ORDER BY event_id) AS l FROM events GROUP BY user_id)
-SELECT user_id, list_reduce(l, lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE substr(acc || '；' || x, 1, 200) END) AS expression_notes FROM it""",
+WITH nt AS (SELECT user_id, event_id, event_type || ' ' || json_extract_string(props, '$.k') || CASE WHEN json_extract_string(props, '$.k') LIKE '%3' THEN '；' ELSE '' END AS note FROM events),
+it AS (SELECT user_id, list_prepend('', list(note ORDER BY event_id)) AS l FROM nt GROUP BY user_id)
+SELECT user_id, list_reduce(l, lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE substr(trim(acc || '；' || x, '；'), 1, 200) END) AS expression_notes FROM it""",
     "memory_cards": "WITH" + _MEMORY + " SELECT ord, id, course, kind, topic_md5, keywords_md5 FROM mc",
     "memory_counts": "WITH"
     + _MEMORY
@@ -314,20 +384,52 @@ SELECT user_id, sid, length(c) AS n_chars, md5(c) AS context_md5 FROM cx""",
     + """
 SELECT user_id, sid, turn, least(length(question), 2000) AS n_question, least(length(coalesce(answer, '')), 8000) AS n_answer
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY turn DESC) AS r FROM tn) WHERE r <= 2""",
+    "chat_context_acted": "WITH"
+    + _TURNS
+    + ","
+    + _CHAT_ACTIONS
+    + """,
+la AS (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY turn DESC) AS r FROM sv),
+cx AS (SELECT user_id, sid, '【近期对话 · 仅供衔接上下文，切勿把其中内容当作本次新提问】' || chr(10) || string_agg('学生问：' || substr(question, 1, 300) || chr(10) || '助教答：' || substr(coalesce(answer, ''), 1, 500), chr(10) || chr(10) ORDER BY turn) AS c
+  FROM la WHERE r <= 5 GROUP BY ALL)
+SELECT user_id, sid, length(c) AS n_chars, md5(c) AS context_md5 FROM cx""",
+    "chat_history_acted": "WITH"
+    + _TURNS
+    + ","
+    + _CHAT_ACTIONS
+    + """
+SELECT user_id, sid, turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sid ORDER BY turn DESC) AS r FROM sv) WHERE r <= 12""",
+    "session_list_acted": "WITH"
+    + _TURNS
+    + ","
+    + _CHAT_ACTIONS
+    + """,
+tt AS (SELECT user_id, sid, arg_min(replace(trim(question, ' ' || chr(9) || chr(10)), chr(10), ' '), turn)
+    FILTER (trim(question, ' ' || chr(9) || chr(10)) <> '') AS q1, count(*) AS n, min(ts) AS first, max(ts) AS last FROM sv GROUP BY ALL),
+st AS (SELECT user_id, sid, max(seq) FILTER (action = 'new') AS made, max(seq) FILTER (action = 'delete') AS gone,
+  max(ts) FILTER (action = 'new') AS opened, arg_max(title, seq) FILTER (action = 'new') AS title FROM ac GROUP BY ALL),
+op AS (SELECT user_id, sid, opened, title FROM st WHERE sid <> 'default' AND coalesce(made, -1) > coalesce(gone, -1)
+  UNION ALL SELECT DISTINCT user_id, 'default', NULL::BIGINT, '默认会话' FROM (SELECT user_id FROM tn UNION SELECT user_id FROM ac))
+SELECT coalesce(tt.user_id, op.user_id) AS user_id, coalesce(tt.sid, op.sid) AS sid,
+  coalesce(CASE WHEN op.title LIKE '会话 %' OR op.title = '默认会话' OR op.title IS NULL THEN coalesce(CASE WHEN tt.sid IS NULL THEN NULL
+      WHEN q1 IS NULL THEN '新会话' ELSE substr(q1, 1, 14) || CASE WHEN length(q1) > 14 THEN '…' ELSE '' END END, op.title) ELSE op.title END, '新会话') AS title,
+  coalesce(n, 0) AS count, coalesce(opened, first) AS created, coalesce(last, opened) AS updated
+FROM tt FULL JOIN op ON op.user_id = tt.user_id AND op.sid = tt.sid""",
     "session_titles": "WITH" + _TURNS + "," + _TITLE + "SELECT user_id, sid, title FROM ti",
     "session_list": "WITH"
     + _TURNS
     + ","
     + _TITLE
     + """
-SELECT tn.user_id, tn.sid, title, least(count(*), 12) AS count, min(ts) AS created, max(ts) AS updated
+SELECT tn.user_id, tn.sid, title, count(*) AS count, min(ts) AS created, max(ts) AS updated
 FROM tn JOIN ti ON ti.user_id = tn.user_id AND ti.sid = tn.sid GROUP BY ALL""",
     "session_state": "WITH"
     + _ACTIONS
     + """,
 st AS (SELECT user_id, sid, max(seq) FILTER (action = 'new') AS made, max(seq) FILTER (action = 'delete') AS gone,
   max(seq) FILTER (action = 'clear') AS cleared_seq FROM ac GROUP BY ALL)
-SELECT user_id, sid, cleared_seq FROM st WHERE sid = 'default' OR coalesce(made, -1) > coalesce(gone, -1)""",
+SELECT user_id, sid, cleared_seq FROM st WHERE sid = 'default' OR coalesce(made, -1) > coalesce(gone, -1)
+UNION ALL SELECT DISTINCT user_id, 'default', NULL::BIGINT FROM ac WHERE user_id NOT IN (SELECT user_id FROM st WHERE sid = 'default')""",
     "current_sessions": "WITH"
     + _ACTIONS
     + """,
@@ -360,12 +462,16 @@ QUERIES = {
         review_boxes,
         current_boxes,
         review_stats,
+        review_stats_recent,
         weak_topics,
         expression_notes,
         memory_cards,
         memory_counts,
         chat_context,
         chat_history,
+        chat_context_acted,
+        chat_history_acted,
+        session_list_acted,
         session_titles,
         session_list,
         session_state,

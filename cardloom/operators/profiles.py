@@ -74,24 +74,33 @@ def general_notes(items: DataFrame) -> DataFrame:
 def expression_notes(notes: DataFrame, limit: int = fixed.EXPRESSION_CHARS) -> DataFrame:
     """``notes``: user_id, seq, note  ->  user_id, expression_notes.
 
-    Notes are appended unless already contained, up to ``limit`` characters.
-    A full text changes no more, and a text of ``limit`` characters contains
-    fewer than limit * limit different notes, so the first that many distinct
-    notes of a user decide the result.
+    A note is appended in ``seq`` order unless the text contains it; separators
+    at the ends are dropped, and the text is cut to ``limit`` characters.
+    Notes stream sorted through tasks that hold one user's text at a time, so
+    neither their number nor copies among them matter.
     """
-    distinct = (
-        notes.filter(F.coalesce("note", F.lit("")) != "").groupBy("user_id", "note").agg(F.min("seq").alias("seq"))
-    )
-    early = top_per_key(distinct, ["user_id"], [F.asc("seq"), F.asc("note")], limit * limit, rank="_r")
+    given = notes.filter(F.coalesce("note", F.lit("")) != "").select("user_id", "seq", "note")
+    ordered = clustered(given, ["user_id"], ["seq", "note"])
+    user_type = notes.schema["user_id"].dataType.simpleString()
 
-    def added(text: Column, note: Column) -> Column:
-        joined = F.regexp_replace(F.concat(text, F.lit("；"), note), "^；+|；+$", "")
-        return F.when(F.contains(text, note), text).otherwise(F.substring(joined, 1, limit))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, text, begun = None, "", False
 
-    ordered = F.array_sort(F.collect_list(F.struct("_r", "note")))
-    return early.groupBy("user_id").agg(
-        F.aggregate(ordered, F.lit(""), lambda text, x: added(text, x["note"])).alias("expression_notes")
-    )
+        def finished() -> pd.DataFrame:
+            return pd.DataFrame({"user_id": [user], "expression_notes": [text]})
+
+        for pdf in batches:
+            for next_user, note in zip(pdf["user_id"], pdf["note"]):
+                if not begun or next_user != user:
+                    if begun:
+                        yield finished()
+                    user, text, begun = next_user, "", True
+                if note not in text:
+                    text = f"{text}；{note}".strip("；")[:limit]
+        if begun:
+            yield finished()
+
+    return ordered.mapInPandas(fold, f"user_id {user_type}, expression_notes string")
 
 
 def preamble() -> Column:

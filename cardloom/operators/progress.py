@@ -86,10 +86,13 @@ def curve_tail(curve: DataFrame, cap: int = fixed.CURVE_CAP) -> DataFrame:
     return top_per_key(curve, _STUDENT, [F.desc("q")], cap, rank="_r", salt=F.col("q")).drop("_r")
 
 
-def daily_rollup(curve: DataFrame, days: int = fixed.DAILY_DAYS, cap: int = fixed.CURVE_CAP) -> DataFrame:
-    """Questions and last non-zero percentage per day, newest ``days`` days, from the capped curve."""
-    tail = curve_tail(curve, cap)
-    per_day = tail.groupBy(*_STUDENT, F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+def daily_rollup(curve: DataFrame, days: int = fixed.DAILY_DAYS, cap: int | None = None) -> DataFrame:
+    """Questions and last non-zero percentage per day, newest ``days`` days.
+
+    ``cap`` looks at the last so many questions of a student only, as a store
+    that keeps no more would; by default all count.
+    """
+    per_day = (curve if cap is None else curve_tail(curve, cap)).groupBy(*_STUDENT, F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("questions"),
         F.coalesce(
             F.max_by(F.when(F.col("pct") != 0, F.col("pct")), F.when(F.col("pct") != 0, F.col("q"))),
@@ -99,9 +102,10 @@ def daily_rollup(curve: DataFrame, days: int = fixed.DAILY_DAYS, cap: int = fixe
     return top_per_key(per_day, _STUDENT, [F.desc("day")], days, rank="_r").drop("_r")
 
 
-def today_questions(curve: DataFrame, today: str, cap: int = fixed.CURVE_CAP) -> DataFrame:
+def today_questions(curve: DataFrame, today: str, cap: int | None = None) -> DataFrame:
+    """Questions of one day; ``cap`` as in ``daily_rollup``."""
     day = F.date_format("ts", "yyyy-MM-dd")
-    return curve_tail(curve, cap).groupBy(*_STUDENT).agg(F.count_if(day == today).alias("today_questions"))
+    return (curve if cap is None else curve_tail(curve, cap)).groupBy(*_STUDENT).agg(F.count_if(day == today).alias("today_questions"))
 
 
 def radar_chapters(progress: DataFrame, top: int = fixed.RADAR_CHAPTERS) -> DataFrame:
@@ -130,9 +134,10 @@ def current_boxes(boxed: DataFrame) -> DataFrame:
     return boxed.groupBy("user_id", "card_id").agg(F.max_by("box", F.struct("ts", "seq")).alias("box"))
 
 
-def review_stats(reviews: DataFrame, cap: int = fixed.REVIEW_LOG_CAP) -> DataFrame:
-    """Totals over the last ``cap`` answers of a user; boxed cards count over all answers."""
-    log = top_per_key(reviews, ["user_id"], [F.desc("ts"), F.desc("seq")], cap, rank="_r", salt=F.col("seq"))
+def review_stats(reviews: DataFrame, cap: int | None = None) -> DataFrame:
+    """Totals over all answers of a user, or over the last ``cap``; boxed cards always count over all."""
+    newest = [F.desc("ts"), F.desc("seq")]
+    log = reviews if cap is None else top_per_key(reviews, ["user_id"], newest, cap, rank="_r", salt=F.col("seq"))
     totals = log.groupBy("user_id").agg(
         F.count("*").alias("total"),
         F.count_if("ok").alias("correct"),

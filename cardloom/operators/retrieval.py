@@ -28,12 +28,14 @@ from cardloom import fixed_values as fixed
 from cardloom.functions import vectors as vec
 from cardloom.functions.text import exact_round
 from cardloom.scale import top_per_key
+from cardloom.session import checkpointed
 
 MAX_BROADCAST_QUESTIONS = 10_000
 MAX_BROADCAST_CHARS = 8_000_000
 MAX_BROADCAST_HITS = 500_000
 QUESTIONS_PER_BLOCK = 2_000
 CARDS_PER_BLOCK = 50_000
+CHARS_PER_BLOCK = 200_000_000
 SCORE_CELLS = 4_000_000
 MAX_PRUNED_COURSES = 500
 
@@ -273,8 +275,22 @@ def _by_broadcast(questions: DataFrame, cards: DataFrame, limits: _Limits) -> Da
     return _scoring_columns(cards).mapInPandas(score, _result_schema(questions))
 
 
-def _numbers(count: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
+def _numbers(count: Column) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
+
+
+def _course_blocks(
+    questions: DataFrame, cards: DataFrame, questions_per_block: int, cards_per_block: int, chars_per_block: int
+) -> DataFrame:
+    """(course, question_blocks, card_blocks) of courses that have both sides, from their own rows and characters."""
+    asked = questions.groupBy("course").agg(
+        F.ceil(F.greatest(F.count("*") / questions_per_block, F.sum(F.length("question")) / chars_per_block)).alias("question_blocks")
+    )
+    chars = F.length("lexical_text") + F.length("example_text")
+    offered = cards.groupBy("course").agg(
+        F.ceil(F.greatest(F.count("*") / cards_per_block, F.sum(chars) / chars_per_block)).alias("card_blocks")
+    )
+    return asked.join(offered, "course")
 
 
 def _by_blocks(
@@ -283,20 +299,27 @@ def _by_blocks(
     limits: _Limits,
     questions_per_block: int = QUESTIONS_PER_BLOCK,
     cards_per_block: int = CARDS_PER_BLOCK,
+    chars_per_block: int = CHARS_PER_BLOCK,
 ) -> DataFrame:
-    question_blocks = -(-max(questions.count(), 1) // questions_per_block)
-    card_blocks = -(-max(cards.count(), 1) // cards_per_block)
-    left = questions.select(
-        "course",
-        "qid",
-        "question",
-        F.pmod(F.xxhash64("qid"), F.lit(question_blocks)).alias("question_block"),
-        F.explode(_numbers(card_blocks)).alias("card_block"),
+    """Score in tasks of one block of a course's questions with one block of its cards.
+
+    Blocks are cut per course, so a course that fits one block is shuffled
+    once and never copied, and courses without questions are not shuffled at
+    all.  Of larger courses each side is copied once per block of the other.
+    """
+    scored = _scoring_columns(cards)
+    blocks = checkpointed(_course_blocks(questions, scored, questions_per_block, cards_per_block, chars_per_block))
+    left = (
+        questions.join(blocks, "course")
+        .withColumn("question_block", F.pmod(F.xxhash64("qid"), F.col("question_blocks")))
+        .withColumn("card_block", F.explode(_numbers(F.col("card_blocks"))))
+        .select("course", "qid", "question", "question_block", "card_block")
     )
     right = (
-        _scoring_columns(cards)
-        .withColumn("card_block", F.pmod(F.xxhash64("ord"), F.lit(card_blocks)))
-        .withColumn("question_block", F.explode(_numbers(question_blocks)))
+        scored.join(blocks, "course")
+        .withColumn("card_block", F.pmod(F.xxhash64("ord"), F.col("card_blocks")))
+        .withColumn("question_block", F.explode(_numbers(F.col("question_blocks"))))
+        .drop("card_blocks", "question_blocks")
     )
     keys = ["course", "card_block", "question_block"]
     columns = [c.split()[0] for c in _result_schema(questions).split(", ")]
@@ -322,28 +345,39 @@ def candidates(
 
     ``questions``: qid, course, question.  ``cards``: card columns and ``ord``.
     Vector ranks count reference-only cards too; the lexical channel keeps
-    scores above zero of other cards.
+    scores above zero of other cards.  Questions and cards without a course find nothing.
     """
     small = questions_fit(questions) if small is None else small
     way = _by_broadcast if small else _by_blocks
-    found = way(questions, cards, _Limits(lexical_k, vector_n))
-    by_lexical = Window.partitionBy("qid").orderBy(F.desc_nulls_last("lexical"), "ord")
-    by_vector = Window.partitionBy("qid").orderBy(F.desc("cosine"), "ord")
-    ranked = found.withColumn("lexical_rank", F.row_number().over(by_lexical)).withColumn(
-        "vector_rank", F.row_number().over(by_vector)
+    found = way(questions.filter("course IS NOT NULL"), cards.filter("course IS NOT NULL"), _Limits(lexical_k, vector_n))
+    # one row per channel, so that one salted cut per question and channel serves both
+    limits = {"lexical": lexical_k, "cosine": vector_n}
+    channels = [
+        F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("name"), F.col(name).alias("score")))
+        for name, limit in limits.items()
+        if limit
+    ]
+    asked = found.withColumn("_c", F.explode(F.array_compact(F.array(*channels))))
+    best = top_per_key(
+        asked.withColumn("_name", F.col("_c.name")),
+        ["qid", "_name"],
+        [F.desc("_c.score"), F.asc("ord")],
+        max(lexical_k, vector_n),
+        rank="_rank",
+        salt=F.col("card_id"),
     )
-    in_lexical = F.col("lexical").isNotNull() & (F.col("lexical_rank") <= lexical_k)
-    in_vector = F.col("vector_rank") <= vector_n
-    return ranked.filter(in_lexical | in_vector).select(
-        "qid",
-        "course",
-        "card_id",
-        "ord",
-        "reference_only",
-        "lexical",
-        F.when(in_lexical, F.col("lexical_rank")).alias("lexical_rank"),
-        "cosine",
-        F.when(in_vector, F.col("vector_rank")).alias("vector_rank"),
+    rank = lambda name: F.max(
+        F.when((F.col("_name") == name) & (F.col("_rank") <= limits[name]), F.col("_rank"))
+    )
+    return (
+        best.groupBy("qid", "course", "card_id", "ord", "reference_only")
+        .agg(
+            F.max("lexical").alias("lexical"),
+            rank("lexical").alias("lexical_rank"),
+            F.max("cosine").alias("cosine"),
+            rank("cosine").alias("vector_rank"),
+        )
+        .filter("lexical_rank IS NOT NULL OR vector_rank IS NOT NULL")
     )
 
 
@@ -455,6 +489,7 @@ def _with_given_vectors(
         [F.desc("cosine"), F.asc("card_id")],
         n,
         rank="vector_rank",
+        salt=F.col("card_id"),
     )
     few = small and MAX_BROADCAST_QUESTIONS * n <= MAX_BROADCAST_HITS
     pairs = _scoring_columns(cards).join(F.broadcast(given) if few else given, ["course", "card_id"])
@@ -557,7 +592,7 @@ def dense_topk(
             found = one if found is None else found.unionByName(one)
     else:
         found = _dense_slice(queries, rows, n)
-    return top_per_key(found, ["qid"], [F.desc("cosine"), F.asc("ord")], n).select(
+    return top_per_key(found, ["qid"], [F.desc("cosine"), F.asc("ord")], n, salt=F.col("ord")).select(
         "qid", "rank", "ord", F.greatest(F.lit(0.0), F.col("cosine")).alias("score")
     )
 

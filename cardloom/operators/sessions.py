@@ -16,9 +16,29 @@ from cardloom.scale import running, top_per_key
 _SESSION = ["user_id", "sid"]
 
 
-def history(turns: DataFrame, cap: int = fixed.HISTORY_CAP) -> DataFrame:
-    """Last ``cap`` turns per session with stored lengths cut."""
-    kept = top_per_key(turns, _SESSION, [F.desc("turn")], cap, rank="age", salt=F.col("turn"))
+def surviving_turns(turns: DataFrame, actions: DataFrame) -> DataFrame:
+    """Turns that actions leave: later than the last clear or delete of their session.
+
+    Turns and actions are compared by ``ts``; at equal times the action comes
+    later.  A session that was deleted and used again keeps what was said since.
+    """
+    ended = F.col("action").isin("clear", "delete") & ~((F.col("action") == "delete") & (F.col("sid") == fixed.DEFAULT_SESSION))
+    last = actions.filter(ended).groupBy(*_SESSION).agg(F.max("ts").alias("_ended"))
+    return (
+        turns.join(last, _SESSION, "left")
+        .filter(F.col("_ended").isNull() | (F.col("ts") > F.col("_ended")))
+        .select(*turns.columns)
+    )
+
+
+def history(
+    turns: DataFrame, cap: int = fixed.HISTORY_CAP, shorten: bool = False, actions: DataFrame | None = None
+) -> DataFrame:
+    """Last ``cap`` turns per session; ``shorten`` cuts the texts to the stored lengths for display."""
+    said = turns if actions is None else surviving_turns(turns, actions)
+    kept = top_per_key(said, _SESSION, [F.desc("turn")], cap, rank="age", salt=F.col("turn"))
+    if not shorten:
+        return kept
     return kept.withColumns(
         {
             "question": F.substring(F.coalesce("question", F.lit("")), 1, fixed.STORED_QUESTION_CHARS),
@@ -27,9 +47,10 @@ def history(turns: DataFrame, cap: int = fixed.HISTORY_CAP) -> DataFrame:
     )
 
 
-def chat_context(turns: DataFrame, n: int = fixed.CONTEXT_TURNS) -> DataFrame:
-    """Text of the last ``n`` turns per session, oldest first."""
-    last = top_per_key(turns, _SESSION, [F.desc("turn")], n, rank="age", salt=F.col("turn"))
+def chat_context(turns: DataFrame, n: int = fixed.CONTEXT_TURNS, actions: DataFrame | None = None) -> DataFrame:
+    """Text of the last ``n`` turns per session, oldest first; ``actions`` clear and delete what was said before."""
+    said = turns if actions is None else surviving_turns(turns, actions)
+    last = top_per_key(said, _SESSION, [F.desc("turn")], n, rank="age", salt=F.col("turn"))
     row = F.concat(
         F.lit(fixed.CONTEXT_QUESTION),
         F.substring(F.coalesce("question", F.lit("")), 1, fixed.CONTEXT_QUESTION_CHARS),
@@ -84,14 +105,45 @@ def session_titles(turns: DataFrame, given: DataFrame | None = None) -> DataFram
     )
 
 
-def session_list(turns: DataFrame, cap: int = fixed.HISTORY_CAP) -> DataFrame:
-    """Sessions per user, newest first, with the kept number of turns."""
-    listed = turns.groupBy(*_SESSION).agg(
-        F.least(F.count("*"), F.lit(cap).cast("bigint")).alias("count"),
-        F.min("ts").alias("created"),
-        F.max("ts").alias("updated"),
+def session_list(turns: DataFrame, cap: int | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """Sessions per user with title, number of turns and times.
+
+    With ``actions`` a session is listed if it was opened or used since its
+    last delete, sessions without turns included, and so is every user's
+    default session; a given title names it unless it is a placeholder.
+    ``created`` and ``updated`` are null where nothing has happened yet.
+    ``cap`` shows no more turns than a capped history keeps.
+    """
+    said = turns if actions is None else surviving_turns(turns, actions)
+    listed = said.groupBy(*_SESSION).agg(
+        F.count("*").alias("count"), F.min("ts").alias("_first"), F.max("ts").alias("_last")
     )
-    return listed.join(session_titles(turns), _SESSION)
+    if actions is None:
+        sessions = listed.join(session_titles(said), _SESSION).withColumns({"created": F.col("_first"), "updated": F.col("_last")})
+    else:
+        state = _states(actions).select(*_SESSION, "title", "_opened", "_alive")
+        users = turns.select("user_id").union(actions.select("user_id")).distinct()
+        default = users.select("user_id", F.lit(fixed.DEFAULT_SESSION).alias("sid"))
+        opened = state.filter("_alive").unionByName(
+            default.join(state.filter("_alive"), _SESSION, "left_anti"), allowMissingColumns=True
+        )
+        unnamed = F.when(F.col("sid") == fixed.DEFAULT_SESSION, fixed.DEFAULT_SESSION_TITLE).otherwise(fixed.NEW_SESSION_TITLE)
+        named = opened.select(*_SESSION, F.coalesce("title", unnamed).alias("title"))
+        titles = session_titles(said, named.filter(F.col("title") != fixed.NEW_SESSION_TITLE))
+        sessions = (
+            listed.join(opened.select(*_SESSION, "_opened"), _SESSION, "full_outer")
+            .join(titles, _SESSION, "left")
+            .withColumns(
+                {
+                    "title": F.coalesce("title", F.lit(fixed.NEW_SESSION_TITLE)),
+                    "count": F.coalesce("count", F.lit(0).cast("bigint")),
+                    "created": F.coalesce("_opened", "_first"),
+                    "updated": F.coalesce("_last", "_opened"),
+                }
+            )
+        )
+    shown = F.col("count") if cap is None else F.least("count", F.lit(cap).cast("bigint"))
+    return sessions.select(*_SESSION, shown.alias("count"), "created", "updated", "title")
 
 
 def new_session_id(title: Column, ts: Column) -> Column:
@@ -111,15 +163,24 @@ def _alive(sid: Column, made: Column, gone: Column) -> Column:
     return (sid == fixed.DEFAULT_SESSION) | (F.coalesce(made, F.lit(-1)) > F.coalesce(gone, F.lit(-1)))
 
 
-def session_state(actions: DataFrame) -> DataFrame:
-    """Sessions that exist after all actions, with the time of the last clear (null = never)."""
+def _states(actions: DataFrame) -> DataFrame:
+    """Every session that an action names, with ``_alive``, the last clear and what opened it."""
+    at = lambda name, value: F.max(F.when(F.col("action") == name, F.col(value)))
     state = actions.groupBy(*_SESSION).agg(
-        F.max(F.when(F.col("action") == "new", F.col("seq"))).alias("_made"),
-        F.max(F.when(F.col("action") == "delete", F.col("seq"))).alias("_gone"),
-        F.max(F.when(F.col("action") == "clear", F.col("seq"))).alias("cleared_seq"),
+        at("new", "seq").alias("_made"),
+        at("delete", "seq").alias("_gone"),
+        at("clear", "seq").alias("cleared_seq"),
+        *([at("new", "ts").alias("_opened")] if "ts" in actions.columns else []),
         F.max_by("title", F.when(F.col("action") == "new", F.col("seq"))).alias("title"),
     )
-    return state.filter(_alive(F.col("sid"), F.col("_made"), F.col("_gone"))).drop("_made", "_gone")
+    return state.withColumn("_alive", _alive(F.col("sid"), F.col("_made"), F.col("_gone")))
+
+
+def session_state(actions: DataFrame) -> DataFrame:
+    """Sessions that exist after all actions, with the last clear (null = never); every user has the default session."""
+    users = actions.select("user_id").distinct().withColumn("sid", F.lit(fixed.DEFAULT_SESSION))
+    known = _states(actions).filter("_alive").select(*_SESSION, "cleared_seq", "title")
+    return known.unionByName(users.join(known, _SESSION, "left_anti"), allowMissingColumns=True)
 
 
 def current_sessions(actions: DataFrame, block: Column | None = None) -> DataFrame:

@@ -36,21 +36,21 @@ def progress_documents(
 ) -> DataFrame:
     """Percentage, chapters, newest curve points, newest days and today's questions per student and course.
 
-    Only the capped tail of the curve (at most 500 points per student) is collected.
+    Counts are over the whole log; only the newest curve points of a student are collected.
     """
-    tail = checkpointed(pg.curve_tail(pg.progress_curve(log, block, units)))
-    shown = top_per_key(tail, _STUDENT, [F.desc("q")], fixed.CURVE_API_CAP, rank="_r")
+    whole = checkpointed(pg.progress_curve(log, block, units))
+    shown = top_per_key(whole, _STUDENT, [F.desc("q")], fixed.CURVE_API_CAP, rank="_r", salt=F.col("q"))
     curve = shown.groupBy(*_STUDENT).agg(
         _in_order("q", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "pct").alias("curve")
     )
-    days = pg.daily_rollup(tail).groupBy(*_STUDENT).agg(_in_order("day", "questions", "pct").alias("daily"))
+    days = pg.daily_rollup(whole).groupBy(*_STUDENT).agg(_in_order("day", "questions", "pct").alias("daily"))
     return (
         pg.course_percent(log, units)
         .drop("chapters")
         .join(_chapters(log, units), _STUDENT)
         .join(curve, _STUDENT)
         .join(days, _STUDENT)
-        .join(pg.today_questions(tail, today), _STUDENT)
+        .join(pg.today_questions(whole, today), _STUDENT)
     )
 
 

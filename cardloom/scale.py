@@ -10,6 +10,8 @@ course is then spread over as many tasks as it has blocks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,13 +75,15 @@ def running(
 ) -> DataFrame:
     """Running ``sum``, ``max`` and ``max_before`` (current row left out) per key in ``order``.
 
-    ``block`` must never decrease in ``order`` within a key.  Keys must not be null.
+    ``block`` must never decrease in ``order`` within a key.  Null keys are keys
+    of their own; rows without a block (a null position) come first, as nulls
+    do in ``order``, and form a block of their own.
     """
     if block is None:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: _running(op, e, window) for n, (op, e) in values.items()})
 
-    blocked = df.withColumn(BLOCK, block)
+    blocked = df.withColumn(BLOCK, F.coalesce(block.cast("double"), F.lit(float("-inf"))))
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     rows = blocked.withColumns({n: _running(op, e, inside) for n, (op, e) in values.items()})
     sums = blocked.groupBy(*keys, BLOCK).agg(
@@ -91,7 +95,9 @@ def running(
         BLOCK,
         *[_AGGREGATES[op](f"_sum_{n}").over(before).alias(f"_carry_{n}") for n, (op, _) in values.items()],
     )
-    joined = rows.join(carry, [*keys, BLOCK])
+    own = carry.withColumnsRenamed({k: f"_key_{k}" for k in (*keys, BLOCK)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in (*keys, BLOCK)]
+    joined = rows.join(own, reduce(and_, same))
     return joined.withColumns(
         {n: _merged(op, F.col(f"_carry_{n}"), F.col(n)) for n, (op, _) in values.items()}
     ).select(*df.columns, *values)

@@ -1,6 +1,7 @@
 """Session defaults and the shared checkpoint folder."""
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -17,6 +18,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "car
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -26,11 +28,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "car
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary one is set.
+    Where a session on one machine names none, as in tests, a temporary one is
+    set.  On a cluster that is an error: executors would write to disks of their own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cardloom-checkpoint-"))
     return df.checkpoint()
 

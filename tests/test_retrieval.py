@@ -68,6 +68,32 @@ def test_block_path_gives_the_same(spark):
     assert {q: min(v) for q, v in best.items()} == {q: min(v) for q, v in direct.items()}
 
 
+def test_null_courses_find_nothing_either_way(spark):
+    rows = library(20) + [dict(c, course=None) for c in library(5, 9)]
+    cards = h.cards_df(spark, rows)
+    questions = asked(spark, [(1, "数学", QUESTIONS[0]), (2, None, QUESTIONS[0])])
+    both = [sorted(map(tuple, rt.hybrid_topk(questions, cards, 3, small=s).collect())) for s in (True, False)]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {1}
+
+
+def test_courses_of_one_block_are_not_copied(spark):
+    """Many small courses: no card or question is written more than once to a shuffle of the block path."""
+    cards = h.cards_df(spark, [c for i in range(12) for c in library(6, i, f"课{i}")])
+    questions = asked(spark, [(i, f"课{i}", q) for i, q in enumerate(QUESTIONS)])
+    scored = rt._scoring_columns(cards)
+    blocks = {r["course"]: (r["question_blocks"], r["card_blocks"]) for r in rt._course_blocks(questions, scored, 4, 10, 10**6).collect()}
+    assert blocks == {f"课{i}": (1, 1) for i in range(len(QUESTIONS))}
+    cut = rt._course_blocks(questions, scored, 4, 2, 10**6).collect()
+    assert {r["card_blocks"] for r in cut} == {3}
+    assert {r["card_blocks"] > 3 for r in rt._course_blocks(questions, scored, 4, 10, 20).collect()} == {True}
+
+
+def test_each_channel_is_cut_before_the_shuffle(spark):
+    hits = rt.candidates(asked(spark, [(1, "数学", "极限")]), h.cards_df(spark, library(30)), 3, 10, True)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
 def test_partitioning_changes_nothing(spark):
     cards = h.cards_df(spark, library(70))
     questions = asked(spark, [(i, "数学", q) for i, q in enumerate(QUESTIONS)])

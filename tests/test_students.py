@@ -93,6 +93,22 @@ def test_time_block_is_measured(spark):
     assert plain == sorted(map(tuple, pg.progress_curve(df, block).collect()))
 
 
+def test_nulls_do_not_depend_on_blocks(spark):
+    """Null users, courses and times keep their rows and values, whether a key is blocked or not."""
+    rows = study_rows(n=60) + [(None, "c", "x", 5, T0, 1000), (None, "c", "x", 9, T0, 1001), ("a", None, "y", 5, T0, 1002)]
+    rows += [("hot", "c", "x", 7, None, 1003), ("hot", "c", None, 7, None, 1004)]
+    df = spark.createDataFrame(rows, STUDY).repartition(3)
+    block = time_block(df, ["user_id", "course"], "ts", rows_per_block=5)
+    plain = sorted(map(str, pg.progress_curve(df).collect()))
+    assert len(plain) == len(rows) and plain == sorted(map(str, pg.progress_curve(df, block).collect()))
+    answers = spark.createDataFrame(
+        [(u, c, s % 3 > 0, t, s) for u, _, c, _, t, s in rows], "user_id string, card_id string, ok boolean, ts timestamp, seq long"
+    )
+    block = time_block(answers, ["user_id", "card_id"], "ts", rows_per_block=5)
+    plain = sorted(map(str, pg.review_boxes(answers).collect()))
+    assert len(plain) == len(rows) and plain == sorted(map(str, pg.review_boxes(answers, block).collect()))
+
+
 def test_ranked(spark):
     df = spark.range(1000).select(F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(100_003)).cast("string")).alias("path")).distinct()
     got = {r["path"]: r["i"] for r in ranked(df.repartition(7), "path", "i").collect()}
@@ -136,6 +152,12 @@ def test_expression_notes(spark):
     assert got == {"u": text}
 
 
+def test_expression_notes_that_end_in_the_separator(spark):
+    notes = [("u", 0, "abc；"), ("u", 1, "abc；"), ("u", 2, "x"), ("v", 0, "；"), ("v", 1, "y"), (None, 0, "z")]
+    got = {r["user_id"]: r["expression_notes"] for r in pf.expression_notes(spark.createDataFrame(notes, "user_id string, seq long, note string")).collect()}
+    assert got == {"u": "abc；abc；x", "v": "y", None: "z"}
+
+
 def test_preamble(spark):
     users = spark.createDataFrame([("u",)], "user_id string")
     plain = pf.default_profiles(users).select(pf.preamble().alias("p")).first()["p"]
@@ -200,6 +222,30 @@ def test_session_actions(spark):
     assert ("u", "a") in state and state["u", "a"] == 5 and ("u", "b") not in state and ("v", "default") in state
 
 
+def test_actions_reach_context_history_and_list(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    turns = [("u", s, i, f"{s}{i}", "x", at(i)) for s in ("a", "b", "c", "default") for i in range(1, 6)]
+    steps = [
+        ("u", 1, "new", "a", "Mine", at(0)), ("u", 2, "clear", "a", None, at(3)), ("u", 3, "delete", "b", None, at(9)),
+        ("u", 4, "new", "e", "会话 2", at(4)), ("u", 5, "delete", "c", None, at(2)), ("u", 6, "new", "c", "会话 3", at(2.5)),
+        ("u", 7, "delete", "default", None, at(9)), ("w", 1, "switch", "default", None, at(1)),
+    ]
+    turns = spark.createDataFrame(turns, TURNS)
+    actions = spark.createDataFrame(steps, "user_id string, seq long, action string, sid string, title string, ts timestamp")
+    kept = {}
+    for r in ss.history(turns, actions=actions).collect():
+        kept.setdefault(r["sid"], set()).add(r["turn"])
+    assert kept == {"a": {4, 5}, "c": {3, 4, 5}, "default": {1, 2, 3, 4, 5}}
+    text = {r["sid"]: r["context"] for r in ss.chat_context(turns, actions=actions).collect()}
+    assert set(text) == set(kept) and "a3" not in text["a"] and "a4" in text["a"]
+    listed = {(r["user_id"], r["sid"]): (r["title"], r["count"]) for r in ss.session_list(turns, actions=actions).collect()}
+    assert listed == {
+        ("u", "a"): ("Mine", 2), ("u", "c"): ("c3", 3), ("u", "e"): ("会话 2", 0), ("u", "default"): ("default1", 5), ("w", "default"): ("默认会话", 0),
+    }
+    state = {(r["user_id"], r["sid"]) for r in ss.session_state(actions).collect()}
+    assert state == {("u", "a"), ("u", "c"), ("u", "e"), ("u", "default"), ("w", "default")}
+
+
 def test_documents(spark, tmp_path):
     log = spark.createDataFrame(study_rows(), STUDY)
     docs = {r["user_id"]: r for r in documents.progress_documents(log, "2024-01-03").collect()}
