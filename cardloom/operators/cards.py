@@ -127,12 +127,14 @@ def last_per_id(incoming: DataFrame, ordinal: str = "ord") -> DataFrame:
     )
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, ordinal: str = "ord") -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, ordinal: str = "ord", end: int | None = None) -> DataFrame:
     """Union by (course, id): incoming wins, first-seen position is kept, new cards go to the end.
 
+    ``end`` is the last position taken, for callers that pass a part of the table.
+
     One full outer join of two sides with unique keys; the result carries ``is_new``.
     """
-    end = existing.agg(F.max(ordinal)).first()[0]
+    end = existing.agg(F.max(ordinal)).first()[0] if end is None else end
     offset = 0 if end is None else end + 1
     rest = [c for c in existing.columns if c not in (*_KEY, ordinal)]
     old = existing.select(*_KEY, F.struct(*rest).alias("_old"), F.col(ordinal).alias("_old_ord"))

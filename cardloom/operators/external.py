@@ -29,6 +29,14 @@ class Transient(Exception):
     """Raised by a callable for a failure worth retrying (rate limit, timeout, 5xx)."""
 
 
+def raise_for_status(status: int, text: str = "") -> None:
+    """For callables that speak HTTP: transient failures as ``Transient``, other failures as an error."""
+    if status in fixed.TRANSIENT_STATUS:
+        raise Transient(f"status {status}: {text}")
+    if status >= 400:
+        raise RuntimeError(f"status {status}: {text}")
+
+
 def with_retries(
     call: Callable[[dict], str],
     attempts: int = fixed.RETRY_ATTEMPTS,
@@ -69,15 +77,34 @@ def with_json_repair(call: Callable[[dict], str], tries: int = 3) -> Callable[[d
     return repaired
 
 
-def call_rows(df: DataFrame, call: Callable[[dict], str], result: str, partitions: int | None = None) -> DataFrame:
-    """Adds ``result`` = ``call(row)``.  ``partitions`` sets how many calls run at once."""
-    schema = T.StructType([*df.schema.fields, T.StructField(result, T.StringType())])
+def call_rows(
+    df: DataFrame,
+    call: Callable[[dict], str],
+    result: str,
+    partitions: int | None = None,
+    error: str | None = None,
+) -> DataFrame:
+    """Adds ``result`` = ``call(row)``.  ``partitions`` sets how many calls run at once.
+
+    With ``error`` a call that fails leaves a null result and its reason in
+    that column, and the job goes on; without it the failure ends the job.
+    """
+    added = [result, *([error] if error else [])]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.StringType()) for name in added]])
     columns = df.columns
 
+    def outcome(row: dict) -> tuple[str | None, str | None]:
+        try:
+            return call(row), None
+        except Exception as exc:  # a row's failure is data
+            if not error:
+                raise
+            return None, f"{type(exc).__name__}: {exc}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = pdf.to_dict("records")
-            yield pdf[columns].assign(**{result: [call(r) for r in rows]})
+            told = [outcome(r) for r in pdf.to_dict("records")]
+            yield pdf[columns].assign(**{name: [t[i] for t in told] for i, name in enumerate(added)})
 
     return (df.repartition(partitions) if partitions else df).mapInPandas(run, schema)
 
@@ -113,13 +140,26 @@ def items(answers: DataFrame, answer: str, array: str) -> DataFrame:
 def convert_slices(slices: DataFrame, convert: Callable[[list[str]], dict[str, str]], stem: str = "stem") -> DataFrame:
     """Run a converter once per request batch; ``convert`` maps the stems of a batch to Markdown.
 
-    A batch holds few slices by construction, so a group stays small.
+    A batch holds few slices by construction, so a group stays small.  A
+    transient failure is tried again; a batch that fails for good leaves null
+    Markdown and its ``call_error``, and the other batches go on.
     """
-    schema = T.StructType([slices.schema["batch_no"], slices.schema[stem], T.StructField("md_content", T.StringType())])
+    schema = T.StructType(
+        [
+            slices.schema["batch_no"],
+            slices.schema[stem],
+            T.StructField("md_content", T.StringType()),
+            T.StructField("call_error", T.StringType()),
+        ]
+    )
+    tried = with_retries(lambda row: convert(row["stems"]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = convert(pdf[stem].tolist())
-        return pdf[["batch_no", stem]].assign(md_content=[done.get(s) for s in pdf[stem]])
+        try:
+            done, problem = tried({"stems": pdf[stem].tolist()}), None
+        except Exception as exc:  # a batch's failure is data
+            done, problem = {}, f"{type(exc).__name__}: {exc}"
+        return pdf[["batch_no", stem]].assign(md_content=[done.get(s) for s in pdf[stem]], call_error=problem)
 
     return slices.groupBy("batch_no", F.xxhash64(F.regexp_replace(stem, r"-\d+$", ""))).applyInPandas(run, schema)
 

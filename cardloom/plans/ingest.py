@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
@@ -13,6 +13,7 @@ from cardloom.operators import chapters as ch
 from cardloom.operators import denoise as dn
 from cardloom.operators import external as ex
 from cardloom.operators import transcripts as tr
+from cardloom.scale import ranked
 from cardloom.session import checkpointed
 from cardloom.sources.cards import CardTable
 
@@ -28,19 +29,35 @@ def chapter_chunks(chapters: DataFrame, size: int = fixed.CHUNK_CHARS) -> DataFr
     return ch.chunks(chapters.select("course", "chapter", "chapter_ord", "text"), size=size)
 
 
+def answers(
+    chunks: DataFrame, model: Callable[[dict], str] = ex.sample_cards, calls_at_once: int | None = None
+) -> DataFrame:
+    """Chunks with the model's ``answer``, or with ``call_error`` where every try failed."""
+    return ex.call_rows(chunks, ex.with_json_repair(ex.with_retries(model)), "answer", calls_at_once, "call_error")
+
+
+def failed_chunks(answered: DataFrame) -> DataFrame:
+    """Chunks without an answer and why; ask again with these alone."""
+    return answered.filter(F.col("call_error").isNotNull()).drop("answer")
+
+
 def extract(
     chunks: DataFrame,
     model: Callable[[dict], str] = ex.sample_cards,
     calls_at_once: int | None = None,
     own_names: bool = False,
 ) -> DataFrame:
-    """Parsed model items with ``card`` and ``error``.
+    """Parsed model items of the chunks; see ``parsed_items``."""
+    return parsed_items(answers(chunks, model, calls_at_once), own_names)
+
+
+def parsed_items(answered: DataFrame, own_names: bool = False) -> DataFrame:
+    """Model items with ``card`` and ``error``; failed chunks have none.
 
     Course and chapter come from the chunk; ``own_names`` keeps the names the
     model put into its items instead.
     """
-    asked = ex.call_rows(chunks, ex.with_json_repair(ex.with_retries(model)), "answer", calls_at_once)
-    found = ex.items(asked, "answer", "cards").withColumnsRenamed({"course": "_course", "chapter": "_chapter"})
+    found = ex.items(answered.drop("call_error"), "answer", "cards").withColumnsRenamed({"course": "_course", "chapter": "_chapter"})
     parsed = cd.parse_cards(found, course=F.col("_course"), chapter=F.col("_chapter"))
     if not own_names:
         parsed = parsed.withColumn(
@@ -54,12 +71,8 @@ def to_cards(parsed: DataFrame) -> DataFrame:
 
     ``parsed`` is read twice (chapter sizes, then cards), so store the model's answers first.
     """
-    place = (
-        F.shiftleft(F.col("chapter_ord").cast("bigint"), 32)
-        + F.shiftleft(F.col("chunk_no").cast("bigint"), 14)
-        + F.col("item_no")
-    )
-    rows = cd.valid_cards(parsed, place.alias("ord"))
+    place = F.struct("chapter_ord", "chunk_no", "item_no")
+    rows = ranked(cd.valid_cards(parsed, place.alias("_place")), "_place", "ord").drop("_place")
     return cd.flag_reference(cd.dedup_and_number(rows))
 
 
@@ -70,29 +83,47 @@ def ingest(
     clean: bool = True,
     chunk_chars: int = fixed.CHUNK_CHARS,
     calls_at_once: int | None = None,
+    failures_path: str | None = None,
 ) -> int:
-    """``chapters``: course, chapter, chapter_ord, text.  Returns the number of new cards."""
+    """``chapters``: course, chapter, chapter_ord, text.  Returns the number of new cards.
+
+    Chunks that the model could not answer do not end the run; they are
+    written as JSON to ``failures_path``.
+    """
     ready = prepared(chapters, clean)
-    answers = checkpointed(extract(chapter_chunks(ready, chunk_chars), model, calls_at_once))
-    return store.save(to_cards(answers))
+    answered = checkpointed(answers(chapter_chunks(ready, chunk_chars), model, calls_at_once))
+    if failures_path:
+        failed_chunks(answered).write.mode("overwrite").json(failures_path)
+    return store.save(to_cards(checkpointed(parsed_items(answered))))
+
+
+_PART = ["course", "video", "part_no"]
 
 
-def video_chapters(segments: DataFrame, parts: DataFrame, course: Column) -> DataFrame:
-    """``segments``: part_no, seq, start, end, text.  ``parts``: part_no, title  ->  chapters per part."""
-    opened = tr.paragraph_starts(segments, ["part_no"])
-    text = tr.transcript_text(tr.paragraphs(opened, ["part_no"]), ["part_no"])
+def video_chapters(segments: DataFrame, parts: DataFrame) -> DataFrame:
+    """``segments``: course, video, part_no, seq, start, end, text.  ``parts``: course, video, part_no, title.
+
+    Gives a chapter per part of every video; ``chapter_ord`` is the part number.
+    """
+    opened = tr.paragraph_starts(segments, _PART)
+    text = tr.transcript_text(tr.paragraphs(opened, _PART), _PART)
     return dn.large_enough(
-        text.join(parts.select("part_no", "title"), "part_no").select(
-            course.alias("course"),
+        text.join(parts.select(*_PART, "title"), _PART).select(
+            "course",
             tr.part_chapter(F.col("part_no"), F.col("title")).alias("chapter"),
             F.col("part_no").cast("bigint").alias("chapter_ord"),
+            "video",
             "part_no",
             "text",
         )
     )
 
 
-def video_cards(cards: DataFrame, chapters: DataFrame, video: str) -> DataFrame:
-    """Cards of video chapters with page and jump link."""
-    numbered = cards.join(chapters.select("course", "chapter", "part_no"), ["course", "chapter"])
-    return tr.attach_source(numbered, F.lit(video), F.col("part_no")).drop("part_no")
+def video_cards(cards: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Cards of video chapters with page and jump link.
+
+    ``cards`` carry the ``video`` they come from, as a course may hold several
+    videos with chapters of the same name.
+    """
+    numbered = cards.join(chapters.select("course", "video", "chapter", "part_no"), ["course", "video", "chapter"])
+    return tr.attach_source(numbered, F.col("video"), F.col("part_no")).drop("part_no", "video")

@@ -42,7 +42,9 @@ def classified(turns: DataFrame, hints: DataFrame | None = None) -> DataFrame:
 
 def model_intents(turns: DataFrame, model: Callable[[dict], str]) -> DataFrame:
     """Hints from a model that answers ``{"intent": ..., "wants_memory": ...}``; unreadable answers fall back to the rules."""
-    told = ex.call_rows(turns.select("qid", "user_id", "seq", "question"), ex.with_retries(model), "_told")
+    told = ex.call_rows(
+        turns.select("qid", "user_id", "seq", "question"), ex.with_retries(model), "_told", error="_failed"
+    ).drop("_failed")
     parsed = F.from_json(
         "_told",
         "intent string, wants_memory boolean, stuck_topics array<string>, mistakes array<string>, expression_note string",
@@ -103,12 +105,18 @@ def composed(
 
 
 def answered(prepared: DataFrame, model: Callable[[dict], str] | None = ex.echo_answer) -> DataFrame:
-    """Answers; without a model the rendered cards stand in and ``offline`` is set."""
+    """Answers; without a model, or where its calls fail, the rendered cards stand in and ``offline`` is set."""
     if model is None:
         return prepared.withColumn("answer", render.offline_answer(F.col("methods_text"))).withColumn(
             "offline", F.lit(True)
         )
-    return ex.call_rows(prepared, ex.with_retries(model), "answer").withColumn("offline", F.lit(False))
+    told = ex.call_rows(prepared, ex.with_retries(model), "_answer", error="_failed")
+    failed = F.col("_failed").isNotNull()
+    return told.select(
+        *prepared.columns,
+        F.when(failed, render.offline_answer(F.col("methods_text"))).otherwise(F.col("_answer")).alias("answer"),
+        failed.alias("offline"),
+    )
 
 
 def study_events(prepared: DataFrame) -> DataFrame:
@@ -139,7 +147,7 @@ def memory_entries(answers: DataFrame, extractor: Callable[[dict], str]) -> Data
     asked = answers.filter(~F.col("offline") & (F.col("intent") != fixed.CHAT)).select(
         "user_id", "seq", "question", "answer", "mode"
     )
-    told = ex.call_rows(asked, ex.with_json_repair(ex.with_retries(extractor)), "extracted")
+    told = ex.call_rows(asked, ex.with_json_repair(ex.with_retries(extractor)), "extracted", error="_failed").drop("_failed")
     entry = F.from_json(
         "raw_json", "bucket string, topic string, content string, examples array<string>, keywords array<string>"
     )
@@ -153,7 +161,7 @@ def memory_entries(answers: DataFrame, extractor: Callable[[dict], str]) -> Data
         "_e.content",
         F.when(~general, F.col("_e.examples")).alias("examples"),
         F.when(~general, F.col("_e.keywords")).alias("keywords"),
-        (F.col("seq") * 1000 + F.col("item_no")).alias("ord"),
+        F.struct("seq", "item_no").alias("ord"),
     ).filter(
         F.when(F.col("bucket") == fixed.GENERAL_BUCKET, F.trim(F.coalesce("topic", F.lit(""))) != "").otherwise(
             F.col("bucket").isin(*fixed.BUCKETS)

@@ -4,6 +4,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +32,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Where a session on one machine names none, as in tests, a temporary one is
     set.  On a cluster that is an error: executors would write to disks of their own.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cardloom-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def shared_table(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder, for a table that is written and read again."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ship_package(spark: SparkSession) -> None:

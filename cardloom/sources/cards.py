@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardloom import fixed_values as fixed
 from cardloom.functions.text import strip
 from cardloom.operators import cards as ops
-from cardloom.schema import CARD_COLUMNS, QUESTION
+from cardloom.scale import ranked
+from cardloom.schema import CARD, CARD_COLUMNS, QUESTION
 from cardloom.session import checkpointed
 
 
@@ -25,22 +27,44 @@ def safe_chapter_file(name: Column) -> Column:
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Parsed lines with ``card``, ``error``, ``file`` and ``ord``; blank lines are skipped.
 
-    ``ord`` rises in file order however the file was split: the start byte of
-    the split plus the row's position in its partition.  A row takes at least
-    one byte and a partition holds at most one split size of bytes, so no
-    position reaches into the next split of the file.
+    ``ord`` rises over the files in path order and over the lines of a file,
+    however the files are split: the bytes of all files before, plus the start
+    byte of the split, plus the row's position in its partition.  A row takes
+    at least one byte, and a partition's splits are read one after the other,
+    so the position counts from the first row of the split.
     """
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    files = (
+        spark.read.format("binaryFile")
+        .load(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("length"))
+        .select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("_start"))
+    )
     rows = spark.read.text(path).select(
         F.col("value").alias("raw_json"),
         F.col("_metadata.file_path").alias("file"),
-        (F.col("_metadata.file_block_start") + position).alias("ord"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    # one row per split: where its rows begin in the partition that reads it
+    splits = rows.groupBy("file", "_split").agg(F.min("_at").alias("_first")).join(files, "file")
+    placed = rows.join(F.broadcast(splits) if _few_files(spark, path) else splits, ["file", "_split"]).select(
+        "raw_json", "file", (F.col("_start") + F.col("_split") + F.col("_at") - F.col("_first")).alias("ord")
     )
-    return ops.parse_cards(rows.filter(strip(F.col("raw_json")) != ""))
+    return ops.parse_cards(placed.filter(strip(F.col("raw_json")) != ""))
+
+
+MAX_BROADCAST_SPLITS = 100_000
+
+
+def _few_files(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether the splits of the files, known from the scan's own partitions and files, are few enough to broadcast."""
+    scan = spark.read.text(path)
+    return len(scan.inputFiles()) + scan.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS
 
 
 def load_cards(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Valid cards of course files."""
+    """Valid cards of course files; ``ord`` is their place over all files."""
     return ops.valid_cards(read_jsonl(spark, path), "ord")
 
 
@@ -56,13 +80,42 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 class CardTable:
-    """Parquet card table partitioned by course."""
+    """Parquet card table partitioned by course and, within a course, by a hash bucket of the id.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    ``buckets`` is fixed when the table is made; a batch rewrites only the
+    (course, bucket) partitions that its ids fall into.
+    """
+
+    MAX_PRUNED = 10_000
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _stored(self) -> DataFrame:
+        schema = T.StructType([*CARD.fields, T.StructField("ord", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).select(*CARD_COLUMNS, "ord")
+        return self._stored().select(*CARD_COLUMNS, "ord")
+
+    def touched(self, incoming: DataFrame) -> DataFrame:
+        """Stored rows, with ``bucket``, of the partitions that a batch falls into.
+
+        The batch's partitions, at most ``MAX_PRUNED``, reach the scan as
+        partition filters; a batch of more is joined.
+        """
+        parts = incoming.select("course", self._bucket().alias("bucket")).distinct()
+        known = parts.limit(self.MAX_PRUNED + 1).collect()
+        stored = self._stored()
+        if len(known) <= self.MAX_PRUNED:
+            stored = stored.filter(
+                F.col("course").isin(*{r["course"] for r in known}) & F.col("bucket").isin(*{r["bucket"] for r in known})
+            )
+            parts = F.broadcast(parts)
+        return stored.join(parts, ["course", "bucket"], "left_semi")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
 
     def exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -73,23 +126,28 @@ class CardTable:
         return self.read().select("course").distinct().orderBy("course")
 
     def save(self, incoming: DataFrame) -> int:
-        """Upsert; rewrites the touched courses only and returns how many ids were new.
+        """Upsert; rewrites the touched partitions only and returns how many ids were new.
 
-        The new rows of those courses are checkpointed before their partitions
-        are replaced, so the table never overwrites files it is still reading.
+        A batch's positions are ranked to dense numbers first and follow the
+        largest position of its courses, so they never run out.  The new rows
+        are checkpointed before their partitions are replaced, so the table
+        never overwrites files it is still reading.
         """
-        incoming = checkpointed(incoming.select(*CARD_COLUMNS, "ord"))
+        incoming = ranked(incoming.select(*CARD_COLUMNS, "ord"), "ord", "_place").drop("ord").withColumnRenamed("_place", "ord")
         if not self.exists():
-            merged = checkpointed(ops.last_per_id(incoming).withColumn("is_new", F.lit(True)))
+            merged = ops.last_per_id(incoming).withColumn("is_new", F.lit(True))
         else:
-            touched = self.read().join(incoming.select("course").distinct(), "course", "left_semi")
-            merged = checkpointed(ops.upsert(touched, incoming))
+            # only positions are read of the courses' other partitions
+            ends = self._stored().join(incoming.select("course").distinct(), "course", "left_semi")
+            end = ends.agg(F.max("ord")).first()[0]
+            merged = ops.upsert(self.touched(incoming).drop("bucket"), incoming, end=end)
+        merged = checkpointed(merged.withColumn("bucket", self._bucket()))
         (
             merged.drop("is_new")
-            .repartitionByRange("course", "ord")
+            .repartitionByRange("course", "bucket", "ord")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("course")
+            .partitionBy("course", "bucket")
             .parquet(self.path)
         )
         return merged.filter("is_new").count()

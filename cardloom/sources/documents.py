@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
@@ -36,7 +36,7 @@ def read_texts(spark: SparkSession, path: str | list[str], course: str) -> DataF
 def read_markdown_tree(spark: SparkSession, folder: str, course: str) -> DataFrame:
     """All ``*.md`` below a folder as one page stream ``(source, page_ord, page_no, text)``.
 
-    ``page_ord`` is built from the rank of the path and the page position.
+    ``page_ord`` counts on over the files in path order.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")
@@ -54,11 +54,11 @@ def read_markdown_tree(spark: SparkSession, folder: str, course: str) -> DataFra
     if names.isEmpty():
         raise FileNotFoundError(f"no Markdown file below {folder}")
     pages = ch.split_pages(files.join(ranked(names, "path", "file_ord"), "path"), ["file_ord"])
-    return pages.select(
-        F.lit(course).alias("source"),
-        (F.shiftleft(F.col("file_ord"), 24) + F.col("page_ord")).alias("page_ord"),
-        "page_no",
-        "text",
+    before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    counts = pages.groupBy("file_ord").agg(F.max("page_ord").alias("n"))
+    starts = counts.select("file_ord", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).alias("_start"))
+    return pages.join(starts, "file_ord").select(
+        F.lit(course).alias("source"), (F.col("_start") + F.col("page_ord")).alias("page_ord"), "page_no", "text"
     )
 
 
@@ -97,11 +97,13 @@ def remaining(slices: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def checked_results(slices: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """Slices with their converted Markdown and an ``error`` for a missing or empty answer."""
-    joined = slices.join(results.select(*keys, "md_content"), keys, "left")
+    told = ["call_error"] if "call_error" in results.columns else []
+    joined = slices.join(results.select(*keys, "md_content", *told), keys, "left")
+    missing = F.coalesce(*told, F.lit("missing result"))
     return joined.withColumn(
         "error",
-        F.when(F.col("md_content").isNull(), F.lit("missing result")).when(F.col("md_content") == "", F.lit("empty result")),
-    )
+        F.when(F.col("md_content").isNull(), missing).when(F.col("md_content") == "", F.lit("empty result")),
+    ).drop(*told)
 
 
 def choose_backend(requested: str, default: str = "auto", cloud_key: bool = False, local_tool: bool = False) -> str:

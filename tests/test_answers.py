@@ -102,12 +102,18 @@ def test_parts_and_links(spark):
 
 def test_video_chapters(spark):
     rows = [(p, i, 10.0 * i, 10.0 * i + 9, "讲解内容" * (5 if p == 1 else 1)) for p in (1, 2) for i in range(40)]
-    segments = spark.createDataFrame(rows, "part_no int, seq long, start double, end double, text string")
-    parts = spark.createDataFrame([(1, "开始"), (2, "短")], "part_no int, title string")
-    chapters = ingest.video_chapters(segments, parts, F.lit("课"))
-    assert [r["chapter"] for r in chapters.collect()] == ["P1 开始"]
+    rows = [("课", v, *r[:4], v + r[4]) for v in ("BV1", "BV2") for r in rows]
+    segments = spark.createDataFrame(rows, "course string, video string, part_no int, seq long, start double, end double, text string")
+    titles = [("课", v, p, t) for v in ("BV1", "BV2") for p, t in ((1, "开始"), (2, "短"))]
+    parts = spark.createDataFrame(titles, "course string, video string, part_no int, title string")
+    chapters = ingest.video_chapters(segments, parts)
+    found = {r["video"]: (r["chapter"], r["text"]) for r in chapters.collect()}
+    assert {v: c for v, (c, _) in found.items()} == {"BV1": "P1 开始", "BV2": "P1 开始"}
+    assert "BV2" not in found["BV1"][1] and "BV1" not in found["BV2"][1]
     cards = h.cards_df(spark, [h.card("1", "t", course="课", chapter="P1 开始", source_page="[00:50]")])
-    assert ingest.video_cards(cards, chapters, "BV1").first()["source_url"].endswith("p=1&t=50")
+    both = cards.withColumn("video", F.explode(F.array(F.lit("BV1"), F.lit("BV2"))))
+    links = sorted(r["source_url"] for r in ingest.video_cards(both, chapters).collect())
+    assert len(links) == 2 and "BV1" in links[0] and "BV2" in links[1] and links[0].endswith("p=1&t=50")
 
 
 # ---- rendering --------------------------------------------------------------

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 import helpers as h
@@ -71,6 +72,77 @@ def test_card_table(spark, tmp_path):
     assert store.read().filter("reference_only").count() == 1
 
 
+def test_save_reads_only_touched_partitions(spark, tmp_path):
+    store = src.CardTable(spark, str(tmp_path / "cards"), buckets=4)
+    rows = [h.card(f"{c}{i}", "t", course=c, ord=i) for c in ("数学", "物理", "7") for i in range(40)]
+    assert store.save(h.cards_df(spark, rows)) == 120
+    batch = h.cards_df(spark, [h.card("数学3", "new", ord=0)])
+    plan = store.touched(batch)._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :][:400]
+    assert "course" in filters and "数学" in filters and "bucket" in filters
+    assert 0 < store.touched(batch).count() < 40
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "cards").rglob("*.parquet")}
+    assert store.save(batch) == 0
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "cards").rglob("*.parquet")}
+    assert len(before.items() & kept.items()) >= len(before) * 3 // 4
+    assert store.read().count() == 120 and store.read().filter("course = '7'").count() == 40
+
+
+def test_positions_never_run_out(spark, tmp_path):
+    store = src.CardTable(spark, str(tmp_path / "cards"))
+    for batch in range(3):
+        rows = [h.card(f"b{batch}-{i}", "t", ord=(2_000_000_000 + i) << 32) for i in range(3)]
+        assert store.save(h.cards_df(spark, rows)) == 3
+    got = [r["id"] for r in store.read().orderBy("ord").collect()]
+    assert got == [f"b{b}-{i}" for b in range(3) for i in range(3)]
+    assert store.read().agg({"ord": "max"}).first()[0] < 100
+
+
+def test_jsonl_order_over_many_files(spark, tmp_path):
+    rows = [h.card(f"{i:05d}", "t", course=c, ord=n) for n, (c, i) in enumerate((c, i) for c in ("a", "b", "c") for i in range(3000))]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "700")
+    src.write_jsonl(h.cards_df(spark, rows).repartition(7), str(tmp_path / "out"))
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(list((tmp_path / "out").rglob("part-*"))) > 3
+    back = src.load_cards(spark, [str(p) for p in (tmp_path / "out").iterdir() if p.is_dir()])
+    assert back.select("ord").distinct().count() == 9000
+    assert [(r["course"], r["id"]) for r in back.orderBy("ord").collect()] == [(r["course"], r["id"]) for r in rows]
+
+
+def test_failures_are_data(spark, tmp_path):
+    chapters = spark.createDataFrame([("c", "good", 0, "x" * 400), ("c", "bad", 1, "y" * 400)], "course string, chapter string, chapter_ord long, text string")
+
+    def model(row):
+        if row["chapter"] == "bad":
+            return "never JSON"
+        return json.dumps({"cards": [{"id": "1", "topic": "t", "kind": "方法"}]})
+
+    told = ingest.answers(ingest.chapter_chunks(chapters), model)
+    assert {r["chapter"] for r in ingest.failed_chunks(told).collect()} == {"bad"}
+    assert "no JSON object" in ingest.failed_chunks(told).first()["call_error"]
+    assert [r["chapter"] for r in ingest.parsed_items(told).select("card.chapter").collect()] == ["good"]
+    store = src.CardTable(spark, str(tmp_path / "cards"))
+    assert ingest.ingest(chapters, store, model, clean=False, failures_path=str(tmp_path / "failed")) == 1
+    assert [r["chapter"] for r in spark.read.json(str(tmp_path / "failed")).collect()] == ["bad"]
+    with pytest.raises(ex.Transient):
+        ex.raise_for_status(503)
+    with pytest.raises(RuntimeError):
+        ex.raise_for_status(404)
+    ex.raise_for_status(200)
+
+
+def test_failed_batches_leave_the_others(spark):
+    slices = spark.createDataFrame([("a-1", 1), ("b-1", 2)], "stem string, batch_no long")
+
+    def convert(stems):
+        if stems == ["b-1"]:
+            raise ValueError("no such file")
+        return {s: "# x" for s in stems}
+
+    checked = docs.checked_results(slices, ex.convert_slices(slices, convert), ["stem"])
+    assert {r["stem"]: (r["md_content"], r["error"]) for r in checked.collect()} == {"a-1": ("# x", None), "b-1": (None, "ValueError: no such file")}
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     rows = [h.card(f"c{i}", f"t{i}", ord=i) for i in range(300)]
     src.write_jsonl(h.cards_df(spark, rows), str(tmp_path / "out"))
