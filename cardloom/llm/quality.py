@@ -37,11 +37,12 @@ BAD, GOOD, ABSTAIN = 0, 1, 2
 THRESHOLD = 0.5
 ROUNDS = 200
 _SHAPES = ((re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"))
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-_LETTER = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"!?()\-/]+")
+_TAILS = ".,;:!?"
 _CACHE = 300_000
 _BITS = 16
+_FIELD = 21
+_MOST = (1 << _FIELD) - 1
 
 
 def _vote(bad: bool, good: bool) -> int:
@@ -52,16 +53,38 @@ def _hash(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % WIDTH
 
 
+@lru_cache(maxsize=100_000)
+def _shape_hash(shape: str) -> int:
+    return _hash("s" + shape) << _BITS
+
+
 def _shape(word: str) -> str:
     for expression, mark in _SHAPES:
         word = expression.sub(mark, word)
     return word[:12]
 
 
-def _code(word: str) -> int:
-    """What is to know of a word, in one number: hash, hash of its shape, no letter or digit, ends a sentence."""
+def _word(word: str) -> tuple[int, int]:
+    """What is to know of a word, in two numbers.
+
+    The first has its hash, the hash of its shape, whether it lacks letters
+    and digits, and whether it ends a sentence; the second its symbols,
+    capitals and letters, each up to ``_MOST``.
+    """
+    own = _hash("w" + word.lower()) | (word[-1] in ".?!") << 2 * _BITS + 1
+    core = word.rstrip(_TAILS)
+    if core.isalpha():  # nearly all words: letters, perhaps with a mark behind
+        if core.islower():
+            return own | _shape_hash("a" + word[len(core) :][:11]), min(_MOST, len(core)) << 2 * _FIELD
+        if core[0].isupper() and core[1:].islower():
+            return own | _shape_hash("Aa" + word[len(core) :][:10]), 1 << _FIELD | min(_MOST, len(core)) << 2 * _FIELD
     bare = not any(map(str.isalnum, word))
-    return _hash("w" + word.lower()) | _hash("s" + _shape(word)) << _BITS | bare << 2 * _BITS | (word[-1] in ".?!") << 2 * _BITS + 1
+    symbols = sum(map(len, _SYMBOL.findall(word)))
+    capitals, letters = sum(map(str.isupper, word)), sum(map(str.isalpha, word))
+    return (
+        own | _shape_hash(_shape(word)) | bare << 2 * _BITS,
+        min(_MOST, symbols) | min(_MOST, capitals) << _FIELD | min(_MOST, letters) << 2 * _FIELD,
+    )
 
 
 class Reader:
@@ -69,6 +92,7 @@ class Reader:
 
     def __init__(self):
         self.cache: dict[str, int] = {}
+        self.sizes: dict[str, int] = {}
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
         """(codes of the distinct words, how often each comes, shares that the labellers and the scorer look at)."""
@@ -77,21 +101,23 @@ class Reader:
         cache = self.cache
         if len(cache) > _CACHE:
             cache.clear()
+            self.sizes.clear()
         for word in counts:
             if word not in cache:
-                cache[word] = _code(word)
+                cache[word], self.sizes[word] = _word(word)
         codes = np.fromiter(map(cache.__getitem__, counts), np.int64, len(counts))
+        sizes = np.fromiter(map(self.sizes.__getitem__, counts), np.int64, len(counts))
         times = np.fromiter(counts.values(), float, len(counts))
         n = max(1, len(words))
-        length = lambda expression: sum(map(len, expression.findall(text)))
+        length = lambda field: float((sizes >> field * _FIELD & _MOST) @ times)
         return (
             codes,
             times,
             {
                 "words": len(words),
                 "repeats": sum(map(str.__eq__, words, islice(words, 1, None))) / n,
-                "symbols": length(_SYMBOL) / max(1, len(text)),
-                "capitals": length(_UPPER) / max(1, length(_LETTER)),
+                "symbols": length(0) / max(1, len(text)),
+                "capitals": length(1) / max(1.0, length(2)),
                 "shouts": text.count("!") / n,
                 "bare": float(times[codes >> 2 * _BITS & 1 == 1].sum()) / n,
                 "top": float(times.max(initial=0)) / n,
@@ -211,10 +237,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> np.ndarray:
             )
 
     sample = texts.join(F.broadcast(drawn.dropDuplicates(["doc_id"])), "doc_id").select("turn", "text")
-    made = sample.mapInArrow(features, "turn string, pattern int, ids array<int>, vals array<float>").toPandas()
-    made = made.sort_values("turn", kind="stable")
-    rows = [(np.asarray(i, np.int64), np.asarray(v, float)) for i, v in zip(made["ids"], made["vals"])]
-    return fit(rows, np.array([known.get(p, 0.5) for p in made["pattern"]]))
+    schema = "turn string, pattern int, ids array<int>, vals array<float>"
+    made = sample.mapInArrow(features, schema).toArrow().sort_by("turn").combine_chunks()
+    # views into the columns, no second copy of the sample
+    columns = [made.column(name).combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32())) for name in ("ids", "vals")]
+    flat = [c.values.to_numpy(zero_copy_only=False) for c in columns]
+    ends = columns[0].offsets.to_numpy()
+    rows = [(flat[0][a:b], flat[1][a:b]) for a, b in zip(ends, ends[1:])]
+    return fit(rows, np.array([known.get(p, 0.5) for p in made.column("pattern").to_pylist()]))
 
 
 def quality(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
