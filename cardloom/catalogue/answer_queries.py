@@ -9,6 +9,7 @@ from cardloom import fixed_values as fixed
 from cardloom.catalogue import tables as t
 from cardloom.catalogue.card_queries import _part_cards
 from cardloom.catalogue.retrieval_queries import _hybrid, fused_sql
+from cardloom.catalogue.text_queries import CLEAN_SQL
 from cardloom.functions import text as tx
 from cardloom.operators import evaluation as ev
 from cardloom.operators import external as ex
@@ -233,6 +234,35 @@ def extracted_cards(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.to_cards(parsed).select("id", "course", "chapter", "topic", "kind", "reference_only")
 
 
+def _some_fail(row: dict) -> str:
+    if row["chapter_ord"] % 10 == 3:
+        return "no JSON"
+    return ex.sample_cards(row)
+
+
+def extraction_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that a model which answers some documents with nonsense leaves behind; the job goes on."""
+    chapters = spread(t.table(spark, folder, "documents")).select(
+        F.col("lang").alias("course"), F.col("source").alias("chapter"), F.col("doc_id").alias("chapter_ord"), "text"
+    )
+    told = checkpointed(ingest.answers(ingest.chapter_chunks(ingest.prepared(chapters)), _some_fail))
+    failed = ingest.failed_chunks(told).select(F.col("chapter_ord").alias("doc_id"), "chunk_no", F.lit("failed").alias("state"))
+    items = ingest.parsed_items(told).groupBy(F.col("chapter_ord").alias("doc_id"), "chunk_no")
+    return failed.unionByName(items.agg(F.lit("answered").alias("state")))
+
+
+_CHUNKS = """,
+ch AS (
+  SELECT doc_id, source, text, unnest(range(0, greatest(CAST(ceil((length(text) - 8000) / 7400.0) AS BIGINT), 0) + 1)) AS i
+  FROM cleaned WHERE length(text) >= 400
+),
+ck AS (SELECT doc_id, source, i + 1 AS chunk_no, substr(text, i * 7400 + 1, 8000) AS chunk FROM ch),
+se AS (
+  SELECT doc_id, source, chunk_no, trim(unnest(regexp_split_to_array(chunk, '[.!?\\n]+')), ' ' || chr(9) || chr(10)) AS s FROM ck
+),
+md AS (SELECT *, md5(s) AS h FROM se WHERE length(s) >= 8),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_no ORDER BY h) AS item FROM md)"""
+
 _ASKED = """
 qs AS (
   SELECT conv_id, turn, ['什么是 ', '请复习 ', '出几道题 ', 'hello ', '今天天气 ', '证明 ', '', '推荐一部好看的电影 '][((conv_id + turn) % 8 + 1)::INT] || text AS question
@@ -264,6 +294,25 @@ pc AS (
 )"""
 
 ORACLE = {
+    "extracted_cards": "WITH"
+    + CLEAN_SQL
+    + _CHUNKS
+    + """,
+it AS (
+  SELECT r.doc_id, d.lang AS course, r.source AS chapter, r.chunk_no, item, s AS topic,
+    ['概念','定理','方法','例题','易错点'][(list_sum(list_transform(string_split(h, ''), lambda c: strpos('0123456789abcdef', c) - 1)) % 5 + 1)::INT] AS kind
+  FROM rk r JOIN documents d ON d.doc_id = r.doc_id WHERE item <= 3
+),
+fi AS (SELECT *, row_number() OVER (PARTITION BY course, chapter, topic, kind ORDER BY doc_id, chunk_no, item) AS nth FROM it),
+nu AS (SELECT *, row_number() OVER (PARTITION BY course, chapter ORDER BY doc_id, chunk_no, item) AS n FROM fi WHERE nth = 1)
+SELECT course || '|' || chapter || '|' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS id,
+  course, chapter, topic, kind, regexp_matches(topic, '编排|建议(先|按|顺便|跳过)|先.{0,4}第?\\d+章') AS reference_only FROM nu""",
+    "extraction_failures": "WITH"
+    + CLEAN_SQL
+    + _CHUNKS
+    + """
+SELECT doc_id, chunk_no, 'failed' AS state FROM ck WHERE doc_id % 10 = 3
+UNION ALL SELECT DISTINCT doc_id, chunk_no, 'answered' FROM rk WHERE doc_id % 10 <> 3""",
     "recall_eval": "WITH"
     + fused_sql(5, 15)
     + _RECALL
@@ -402,5 +451,6 @@ QUERIES = {
         notes_outline,
         squashed_lines,
         extracted_cards,
+        extraction_failures,
     )
 }

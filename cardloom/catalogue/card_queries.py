@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
 from cardloom.catalogue import tables as t
 from cardloom.operators import cards as ops
-from cardloom.sources.cards import safe_chapter_file, safe_name
+from cardloom.scale import ranked
+from cardloom.session import shared_table
+from cardloom.sources.cards import CardTable, load_cards, safe_chapter_file, safe_name, write_jsonl
 
 _EMPTY = ("prerequisites", "error_notes")
 
@@ -142,6 +144,39 @@ def safe_names(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Cards of all courses written as JSON lines, one folder per course, and read back in their order."""
+    path = shared_table(spark, "jsonl")
+    write_jsonl(t.cards(spark, folder), path)
+    back = load_cards(spark, path)
+    place = ranked(back, "ord", "place").groupBy("course").agg(F.min("place").alias("first"))
+    return (
+        ranked(back, "ord", "place")
+        .join(place, "course")
+        .select("course", "id", "kind", F.size("steps").cast("bigint").alias("n_steps"), (F.col("place") - F.col("first")).alias("place"))
+    )
+
+
+def upsert_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored card table of three courses after a first batch and a second one that is saved twice."""
+    store = CardTable(spark, shared_table(spark, "cards"))
+    parts, lines = (
+        frame.withColumns(
+            {
+                "course": F.concat(F.lit("c"), (F.col("id").cast("bigint") % 3).cast("string")),
+                "ord": F.col("ord") * 10_000 + F.col("id").cast("bigint"),  # no ties
+            }
+        )
+        for frame in (_part_cards(spark, folder), _line_cards(spark, folder))
+    )
+    store.save(parts)
+    store.save(lines)
+    store.save(lines)
+    stored = store.read()
+    order = F.row_number().over(Window.partitionBy("course", "chapter").orderBy("ord"))  # a look at the order, per chapter
+    return stored.select("course", "id", "chapter", "topic", "kind", order.cast("bigint").alias("place"))
+
+
 _PART = """
 pc AS (
   SELECT CAST(p_partkey AS VARCHAR) AS id, p_type AS chapter, p_name AS topic,
@@ -175,6 +210,19 @@ SELECT coalesce(pc.id, nw.id) AS id, CASE WHEN nw.id IS NOT NULL THEN 'lines' EL
   coalesce(nw.topic, pc.topic) AS topic, CASE WHEN nw.id IS NOT NULL THEN '方法' ELSE pc.kind END AS kind,
   CAST(coalesce(pc.ord, nw.ord + (SELECT max(ord) + 1 FROM pc)) AS BIGINT) AS ord, pc.id IS NULL AS is_new
 FROM pc FULL OUTER JOIN nw ON pc.id = nw.id""",
+    "jsonl_roundtrip": """
+SELECT lang AS course, CAST(doc_id AS VARCHAR) AS id, ['概念','定理','方法','例题','易错点'][(doc_id % 5 + 1)::INT] AS kind,
+  greatest(len(string_split(text, chr(10))) - 2, 0) AS n_steps, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents""",
+    "upsert_twice": "WITH"
+    + _PART
+    + ","
+    + _LINE
+    + """,
+mg AS (SELECT coalesce(pc.id, nw.id) AS id, CASE WHEN nw.id IS NOT NULL THEN 'lines' ELSE pc.chapter END AS chapter,
+  coalesce(nw.topic, pc.topic) AS topic, CASE WHEN nw.id IS NOT NULL THEN '方法' ELSE pc.kind END AS kind, pc.ord AS o, nw.ord AS n
+FROM pc FULL OUTER JOIN nw ON pc.id = nw.id)
+SELECT 'c' || CAST(id AS BIGINT) % 3 AS course, id, chapter, topic, kind,
+  row_number() OVER (PARTITION BY CAST(id AS BIGINT) % 3, chapter ORDER BY o NULLS LAST, n, CAST(id AS BIGINT)) AS place FROM mg""",
     "upsert_new_count": "WITH"
     + _PART
     + ","
@@ -213,6 +261,8 @@ QUERIES = {
         dedup_renumber,
         upsert_cards,
         upsert_new_count,
+        jsonl_roundtrip,
+        upsert_twice,
         reference_noise,
         noise_preview,
         kind_filter,

@@ -11,6 +11,8 @@ from cardloom.functions import vectors as vec
 from cardloom.operators import retrieval as r
 from cardloom import fixed_values as fixed
 from cardloom.scale import spread
+from cardloom.session import shared_table
+from cardloom.sources.vectors import VectorTable
 
 
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,6 +121,45 @@ def vector_table(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _vector_store(spark: SparkSession, folder: str) -> VectorTable:
+    """A stored table that was first filled with other texts and then brought up to date card by card."""
+    cards = t.cards(spark, folder)
+    store = VectorTable(spark, shared_table(spark, "vectors"))
+    store.rebuild(cards.filter("ord % 3 > 0").withColumn("technique", F.lit("old")))
+    store.upsert(cards.filter("ord % 2 = 0"))
+    store.upsert(cards.filter("ord % 2 = 1"))
+    return store
+
+
+def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    return _vector_store(spark, folder).read().select(
+        r.collection_name(F.col("course")).alias("collection"),
+        F.col("card_id").alias("id"),
+        "kind",
+        "chapter",
+        F.aggregate("document_counts", F.lit(0).cast("bigint"), lambda a, w: a + F.abs(w)).alias("weight_abs"),
+        F.aggregate("document_counts", F.lit(0).cast("bigint"), lambda a, w: a + w.cast("bigint") * w).alias("norm_sq"),
+    )
+
+
+def hybrid_topk_stored(spark: SparkSession, folder: str) -> DataFrame:
+    questions, rows = t.questions(spark, folder), _vector_store(spark, folder).read()
+    hits = r.hybrid_topk(questions, rows, 5)
+    named = hits.join(rows.select("course", "card_id", "topic", "kind", "chapter"), ["course", "card_id"])
+    return named.select(
+        "qid",
+        "course",
+        F.col("rank").cast("bigint").alias("rank"),
+        "card_id",
+        "score",
+        tx.exact_round(F.col("lexical"), 4).alias("lexical"),
+        tx.exact_round(F.col("vector"), 4).alias("vector"),
+        "kind",
+        "chapter",
+        F.md5(F.col("topic").cast("binary")).alias("topic_md5"),
+    )
+
+
 CARD_SQL = """
 card AS (
   SELECT d.doc_id AS ord, CAST(d.doc_id AS VARCHAR) AS card_id, d.lang AS course, d.source AS chapter,
@@ -292,5 +333,9 @@ QUERIES = {
         hard_gate,
         memory_topk,
         vector_table,
+        vector_upsert,
+        hybrid_topk_stored,
     )
 }
+ORACLE["vector_upsert"] = ORACLE["vector_table"]
+ORACLE["hybrid_topk_stored"] = ORACLE["hybrid_topk"]

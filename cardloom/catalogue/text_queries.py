@@ -166,6 +166,8 @@ cleaned AS (
 )"""
 )
 
+CLEAN_SQL = _CLEAN
+
 _BOOK = """
 page AS (
   SELECT source, doc_id AS page_ord, CAST(doc_id % 1000 + 1 AS INT) AS page_no,

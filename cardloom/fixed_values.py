@@ -276,3 +276,16 @@ LOOP_FORCE_ANSWER = (
     "信息不足的部分用通用知识补足并注明。"
 )
 LOOP_NO_TEXT = "(agent 未返回文本)"
+
+# ---- mind-map page (fixed values: what the page's script reads) --------------
+
+MINDMAP_SCRIPT = "https://cdn.jsdelivr.net/npm/markmap-autoloader@0.18.10/dist/index.js"
+MINDMAP_CLASS = "markmap"
+MINDMAP_LANG = "zh"
+MINDMAP_TITLE = "%s · 思维导图"
+MINDMAP_OPTIONS = """---
+markmap:
+  maxWidth: 320
+  initialExpandLevel: 2
+  spacingVertical: 8
+---"""

@@ -225,9 +225,10 @@ def chunks(
     """Overlapping chunks, numbered from 1; the last one is the first to reach the end."""
     step = size - overlap
     count = F.greatest(F.ceil((F.length(text) - size) / F.lit(step)), F.lit(0))
-    return (
-        df.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), count)))
-        .withColumn("chunk", F.substring(F.col(text), (F.col("_i") * step + 1).cast("int"), F.lit(size)))
-        .withColumn("chunk_no", F.col("_i") + 1)
-        .drop("_i", text)
+    starts = F.sequence(F.lit(0).cast("bigint"), count)
+    # cut inside the row: an explode before the cut would copy the whole text to every chunk
+    cut = F.transform(starts, lambda i: F.substring(F.col(text), (i * step + 1).cast("int"), F.lit(size)))
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.posexplode(cut).alias("_i", "chunk")).select(
+        *rest, "chunk", (F.col("_i") + 1).cast("bigint").alias("chunk_no")
     )

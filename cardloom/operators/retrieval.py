@@ -63,7 +63,18 @@ def vector_document() -> Column:
     return F.concat_ws(" ", lexical_text(), example_text())
 
 
+COUNTED = ("course", "card_id", "ord", "boosted", "reference_only", "keyword_tokens", "lexical_counts", "document_counts")
+"""Columns of cards whose texts have become token counts; see ``counted_cards``."""
+
+
+def is_counted(cards: DataFrame) -> bool:
+    return set(COUNTED) <= set(cards.columns)
+
+
 def _scoring_columns(cards: DataFrame) -> DataFrame:
+    """What scoring needs of a card: its texts, or the counts of a stored vector table."""
+    if is_counted(cards):
+        return cards.select(*COUNTED)
     return cards.select(
         F.col("course"),
         F.col("id").alias("card_id"),
@@ -76,6 +87,41 @@ def _scoring_columns(cards: DataFrame) -> DataFrame:
     )
 
 
+def counted_cards(cards: DataFrame) -> DataFrame:
+    """Cards with texts reduced to keyword tokens and 256 signed counts, plus the vector document and its metadata."""
+    source = cards.filter("course IS NOT NULL").select(
+        "course",
+        F.col("id").alias("card_id"),
+        F.col("ord").cast("bigint").alias("ord"),
+        F.col("kind").isin(*fixed.BOOSTED_KINDS).alias("boosted"),
+        F.coalesce("reference_only", F.lit(False)).alias("reference_only"),
+        F.concat_ws(" ", "keywords").alias("keywords"),
+        lexical_text().alias("lexical_text"),
+        example_text().alias("example_text"),
+        vector_document().alias("document"),
+        "chapter",
+        "kind",
+        "topic",
+    )
+    schema = (
+        "course string, card_id string, ord bigint, boosted boolean, reference_only boolean, keyword_tokens array<string>, "
+        "lexical_counts array<int>, document_counts array<int>, document string, chapter string, kind string, topic string"
+    )
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = vec.TokenCodes()
+        for pdf in batches:
+            lexical = vec.count_matrix(pdf["lexical_text"].tolist(), codes).astype(np.int32)
+            extra = vec.count_matrix(pdf["example_text"].tolist(), codes).astype(np.int32)
+            yield pdf.drop(columns=["keywords", "lexical_text", "example_text"]).assign(
+                keyword_tokens=[sorted(set(vec.token_list(k))) if k else [] for k in pdf["keywords"]],
+                lexical_counts=list(lexical),
+                document_counts=list(lexical + extra),
+            )
+
+    return source.mapInPandas(count, schema)
+
+
 # ---- scoring inside a task --------------------------------------------------
 
 
@@ -217,6 +263,16 @@ def _frame(course: str, questions: _Questions, kept: dict) -> pd.DataFrame:
 
 
 def _card_batch(pdf: pd.DataFrame, codes: vec.TokenCodes) -> _Cards:
+    if "lexical_counts" in pdf:
+        return _Cards(
+            pdf["card_id"].to_numpy(object),
+            pdf["ord"].to_numpy(np.int64),
+            pdf["boosted"].to_numpy(bool),
+            pdf["reference_only"].to_numpy(bool),
+            [set(t) for t in pdf["keyword_tokens"]],
+            np.stack(pdf["lexical_counts"].to_list()).astype(np.float64),
+            np.stack(pdf["document_counts"].to_list()).astype(np.float64),
+        )
     lexical = vec.count_matrix(pdf["lexical_text"].tolist(), codes)
     extra = vec.count_matrix(pdf["example_text"].tolist(), codes)
     # a blank separates tokens, so joined keywords have the tokens of the single ones
@@ -286,7 +342,7 @@ def _course_blocks(
     asked = questions.groupBy("course").agg(
         F.ceil(F.greatest(F.count("*") / questions_per_block, F.sum(F.length("question")) / chars_per_block)).alias("question_blocks")
     )
-    chars = F.length("lexical_text") + F.length("example_text")
+    chars = F.lit(0) if is_counted(cards) else F.length("lexical_text") + F.length("example_text")
     offered = cards.groupBy("course").agg(
         F.ceil(F.greatest(F.count("*") / cards_per_block, F.sum(chars) / chars_per_block)).alias("card_blocks")
     )
@@ -343,7 +399,8 @@ def candidates(
 ) -> DataFrame:
     """Best ``lexical_k`` and best ``vector_n`` cards per question with both scores and both ranks.
 
-    ``questions``: qid, course, question.  ``cards``: card columns and ``ord``.
+    ``questions``: qid, course, question.  ``cards``: card columns and ``ord``,
+    or the rows of a stored vector table, whose texts need no counting.
     Vector ranks count reference-only cards too; the lexical channel keeps
     scores above zero of other cards.  Questions and cards without a course find nothing.
     """

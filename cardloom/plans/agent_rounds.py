@@ -190,7 +190,11 @@ def _read(calls: DataFrame, cards: DataFrame) -> DataFrame:
     wanted = calls.filter(F.col("call.name") == fixed.TOOL_READ).select(
         "qid", "call_no", "course", F.coalesce("call.arguments.card_id", F.lit("")).alias("wanted")
     )
-    found = cards.select("course", F.col("id").alias("wanted"), render.card_json().alias("json"))
+    # the asked cards first, few as they are; JSON is made of those only
+    asked = cards.withColumnRenamed("id", "wanted").join(
+        wanted.select("course", "wanted").distinct(), ["course", "wanted"], "left_semi"
+    )
+    found = asked.withColumnRenamed("wanted", "id").select("course", F.col("id").alias("wanted"), render.card_json().alias("json"))
     joined = wanted.join(found, ["course", "wanted"], "left")
     return joined.select(
         "qid",
