@@ -636,53 +636,81 @@ def dense_topk(
 ) -> DataFrame:
     """Exact cosine top-n over precomputed vectors.
 
-    ``queries``: qid, vector.  ``rows``: ord, vector.  More than
-    ``max_queries`` queries are processed in hashed slices, each of them bounded.
+    ``queries``: qid, vector.  ``rows``: ord, vector.  Up to ``max_queries``
+    queries are broadcast; more are compared with the rows block by block.
     """
-    total = queries.count()
-    slices = -(-max(total, 1) // max_queries)
-    if slices > 1:
-        part = F.pmod(F.xxhash64("qid"), F.lit(2 * slices))
-        found = None
-        for i in range(2 * slices):
-            one = _dense_slice(queries.filter(part == i), rows, n)
-            found = one if found is None else found.unionByName(one)
-    else:
-        found = _dense_slice(queries, rows, n)
+    small = queries.limit(max_queries + 1).count() <= max_queries
+    found = _dense_slice(queries, rows, n) if small else _dense_blocks(queries, rows, n)
     return top_per_key(found, ["qid"], [F.desc("cosine"), F.asc("ord")], n, salt=F.col("ord")).select(
         "qid", "rank", "ord", F.greatest(F.lit(0.0), F.col("cosine")).alias("score")
     )
 
 
+def _dense_best(qids: np.ndarray, matrix: np.ndarray, ords: np.ndarray, offered: np.ndarray, n: int, kept: dict | None) -> dict:
+    """Best ``n`` rows per query of one batch, merged with those kept so far."""
+    lengths = vec.norms(matrix)
+    step = max(64, SCORE_CELLS // max(len(qids), 1))
+    for start in range(0, len(ords), step):
+        block = offered[start : start + step]
+        cosine = block @ matrix.T / np.outer(vec.norms(block), lengths)
+        row, q = np.nonzero(_at_least_nth(cosine, n))
+        new = {"q": q, "ord": ords[start + row], "cosine": cosine[row, q], "lexical": np.full(len(q), np.nan)}
+        if kept is not None:
+            new = {k: np.concatenate([kept[k], new[k]]) for k in new}
+        kept = _trim(new, _Limits(0, n))
+    return kept
+
+
+def _dense_schema(queries: DataFrame) -> str:
+    return f"qid {queries.schema['qid'].dataType.simpleString()}, ord bigint, cosine double"
+
+
+def _dense_blocks(
+    queries: DataFrame,
+    rows: DataFrame,
+    n: int,
+    queries_per_block: int = QUESTIONS_PER_BLOCK,
+    rows_per_block: int = CARDS_PER_BLOCK,
+) -> DataFrame:
+    """One task per block of queries and block of rows; neither side passes through the driver."""
+    asked = F.lit(-(-max(queries.count(), 1) // queries_per_block))
+    offered = F.lit(-(-max(rows.count(), 1) // rows_per_block))
+    left = queries.select(
+        "qid", "vector", F.pmod(F.xxhash64("qid"), asked).alias("qb"), F.explode(_numbers(offered)).alias("rb")
+    )
+    right = rows.select(
+        F.col("ord").cast("bigint").alias("ord"),
+        F.col("vector").alias("vector"),
+        F.pmod(F.xxhash64("ord"), offered).alias("rb"),
+        F.explode(_numbers(asked)).alias("qb"),
+    )
+
+    def score(questions: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if questions.empty or block.empty:
+            return pd.DataFrame({"qid": [], "ord": [], "cosine": []})
+        qids = questions["qid"].to_numpy(object)
+        matrix, vectors = (np.stack(f["vector"].to_list()).astype(np.float64) for f in (questions, block))
+        kept = _dense_best(qids, matrix, block["ord"].to_numpy(np.int64), vectors, n, None)
+        return pd.DataFrame({"qid": qids[kept["q"]], "ord": kept["ord"], "cosine": kept["cosine"]})
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(score, _dense_schema(queries))
+
+
 def _dense_slice(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     asked = queries.select("qid", "vector").collect()
     shared = queries.sparkSession.sparkContext.broadcast(
         ([r["qid"] for r in asked], np.array([r["vector"] for r in asked], dtype=np.float64))
     )
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, ord bigint, cosine double"
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, matrix = shared.value
         kept = None
         if not len(qids):
             return
-        lengths = vec.norms(matrix)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            ords = pdf["ord"].to_numpy(np.int64)
-            offered = np.stack(pdf["vector"].to_list()).astype(np.float64)
-            step = max(64, SCORE_CELLS // len(qids))
-            for start in range(0, len(ords), step):
-                block = offered[start : start + step]
-                cosine = block @ matrix.T / np.outer(vec.norms(block), lengths)
-                row, q = np.nonzero(_at_least_nth(cosine, n))
-                new = {"q": q, "ord": ords[start + row], "cosine": cosine[row, q]}
-                new["lexical"] = np.full(len(q), np.nan)
-                if kept is not None:
-                    new = {k: np.concatenate([kept[k], new[k]]) for k in new}
-                kept = _trim(new, _Limits(0, n))
+            if not pdf.empty:
+                offered = np.stack(pdf["vector"].to_list()).astype(np.float64)
+                kept = _dense_best(qids, matrix, pdf["ord"].to_numpy(np.int64), offered, n, kept)
         if kept is not None:
             yield pd.DataFrame({"qid": np.array(qids, dtype=object)[kept["q"]], "ord": kept["ord"], "cosine": kept["cosine"]})
 
-    return rows.select(F.col("ord").cast("bigint").alias("ord"), "vector").mapInPandas(score, schema)
+    return rows.select(F.col("ord").cast("bigint").alias("ord"), "vector").mapInPandas(score, _dense_schema(queries))

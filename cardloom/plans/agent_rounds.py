@@ -73,11 +73,18 @@ def run(
     k: int = fixed.DEFAULT_TOP_K,
     max_rounds: int = fixed.MAX_AGENT_ROUNDS,
 ) -> DataFrame:
-    """``questions``: qid, course, question  ->  answer, rounds, tool_calls, seen_topics, read_cards, forced_final."""
+    """``questions``: qid, course, question  ->  answer, rounds, tool_calls, seen_topics, read_cards, forced_final, trace, failed.
+
+    ``trace`` lists the calls as ``round:tool:argument``.  A question whose
+    model call fails for good gets the cards found first as its plain answer,
+    with the reason in ``failed``; the others go on.
+    """
     texts = F.array().cast("array<string>")
     pre = checkpointed(find(questions, cards, k))
-    offered = questions.join(render.previews(pre, ["qid"]), "qid", "left").join(
-        pre.groupBy("qid").agg(F.collect_set("topic").alias("seen")), "qid", "left"
+    offered = (
+        questions.join(render.previews(pre, ["qid"]), "qid", "left")
+        .join(pre.groupBy("qid").agg(F.collect_set("topic").alias("seen")), "qid", "left")
+        .join(render.render_methods(pre).select("qid", "methods_text"), "qid", "left")
     )
     first = F.concat(
         "question",
@@ -96,6 +103,9 @@ def run(
             F.lit(0).alias("rounds"),
             F.lit(None).cast("string").alias("answer"),
             F.lit(False).alias("forced_final"),
+            texts.alias("trace"),
+            F.lit(None).cast("string").alias("failed"),
+            render.offline_answer(F.col("methods_text")).alias("plain"),
         )
     )
     for number in range(1, max_rounds + 1):
@@ -107,8 +117,8 @@ def run(
 
 def _replies(waiting: DataFrame, model: Callable[[dict], str], tools: bool) -> DataFrame:
     asked = waiting.select("qid", "course", F.to_json("messages").alias("messages"), F.lit(tools).alias("tools"))
-    told = ex.call_rows(asked, ex.with_json_repair(ex.with_retries(model)), "reply")
-    return told.select("qid", "reply", F.from_json("reply", _REPLY).alias("r"))
+    told = ex.call_rows(asked, ex.with_json_repair(ex.with_retries(model)), "reply", error="call_error")
+    return told.select("qid", F.coalesce("reply", F.lit("{}")).alias("reply"), F.from_json("reply", _REPLY).alias("r"), "call_error")
 
 
 def _round(state: DataFrame, cards: DataFrame, model: Callable[[dict], str], k: int, number: int) -> DataFrame:
@@ -139,6 +149,10 @@ def _round(state: DataFrame, cards: DataFrame, model: Callable[[dict], str], k:
         ).alias("new_read"),
         F.count("*").cast("int").alias("n_calls"),
     )
+    argument = lambda c: F.coalesce(c["arguments"]["query"], c["arguments"]["card_id"], F.lit(""))
+    steps = F.transform(
+        "r.calls", lambda c: F.concat_ws(":", F.lit(str(number)), F.coalesce(c["name"], F.lit("")), argument(c))
+    )
     none = F.array().cast("array<string>")
     moved = (
         waiting.join(replies, "qid")
@@ -155,8 +169,13 @@ def _round(state: DataFrame, cards: DataFrame, model: Callable[[dict], str], k:
             F.array_distinct(F.concat("read", F.coalesce("new_read", none))).alias("read"),
             (F.col("tool_calls") + F.coalesce("n_calls", F.lit(0))).alias("tool_calls"),
             F.lit(number).alias("rounds"),
-            F.when(F.coalesce(F.size("r.calls"), F.lit(0)) <= 0, F.trim(F.coalesce("r.answer", F.lit("")))).alias("answer"),
+            F.when(F.col("call_error").isNotNull(), F.col("plain"))
+            .when(F.coalesce(F.size("r.calls"), F.lit(0)) <= 0, F.trim(F.coalesce("r.answer", F.lit(""))))
+            .alias("answer"),
             "forced_final",
+            F.concat("trace", F.coalesce(steps, none)).alias("trace"),
+            F.col("call_error").alias("failed"),
+            "plain",
         )
     )
     return done.unionByName(moved)
@@ -222,10 +241,14 @@ def _finish(state: DataFrame, model: Callable[[dict], str]) -> DataFrame:
     pressed = open_ones.withColumn(
         "messages", F.concat("messages", F.array(_message("user", F.lit(fixed.LOOP_FORCE_ANSWER))).cast(_MESSAGE))
     )
-    told = _replies(pressed, model, False).select("qid", F.col("r.answer").alias("last"))
+    told = _replies(pressed, model, False).select("qid", F.col("r.answer").alias("last"), "call_error")
     text = F.trim(F.coalesce(F.nullif(F.col("last"), F.lit("")), F.lit(fixed.LOOP_NO_TEXT)))
     forced = (
-        pressed.join(told, "qid", "left").withColumn("answer", text).withColumn("forced_final", F.lit(True)).drop("last")
+        pressed.join(told, "qid", "left")
+        .withColumn("answer", F.when(F.col("call_error").isNotNull(), F.col("plain")).otherwise(text))
+        .withColumn("forced_final", F.lit(True))
+        .withColumn("failed", F.col("call_error"))
+        .drop("last", "call_error")
     )
     whole = state.filter(F.col("answer").isNotNull()).unionByName(forced)
     return whole.select(
@@ -236,4 +259,6 @@ def _finish(state: DataFrame, model: Callable[[dict], str]) -> DataFrame:
         F.array_sort("seen").alias("seen_topics"),
         F.col("read").alias("read_cards"),
         "forced_final",
+        "trace",
+        "failed",
     )

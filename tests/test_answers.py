@@ -244,9 +244,22 @@ def tool_model(row):
     return json.dumps({"answer": f" 共 {len(told)} 条，" + ("有错" if "error" in told[2]["content"] and "error" in told[3]["content"] else "无错")}, ensure_ascii=False)
 
 
+def test_a_failing_model_leaves_the_plain_answer(spark):
+    def model(row):
+        if row["qid"] == 2:
+            raise RuntimeError("down")
+        return json.dumps({"answer": "ok"})
+
+    questions = spark.createDataFrame([(1, "操作系统", "LRU 是什么"), (2, "操作系统", "LRU 是什么")], "qid long, course string, question string")
+    rows = {r["qid"]: r for r in agent_rounds.run(questions, h.cards_df(spark, LIBRARY), model, k=2).collect()}
+    assert (rows[1]["answer"], rows[1]["failed"]) == ("ok", None)
+    assert rows[2]["answer"].startswith("（离线降级") and "down" in rows[2]["failed"] and rows[2]["rounds"] == 1
+
+
 def test_tool_rounds(spark):
     questions = spark.createDataFrame([(1, "操作系统", "LRU 是什么"), (2, "操作系统", "循环提问")], "qid long, course string, question string")
     rows = {r["qid"]: r for r in agent_rounds.run(questions, h.cards_df(spark, LIBRARY), tool_model, k=2, max_rounds=3).collect()}
     assert rows[1]["answer"] == "共 4 条，有错" and rows[1]["rounds"] == 2 and rows[1]["tool_calls"] == 4 and not rows[1]["forced_final"]
     assert rows[1]["read_cards"] == ["o3"] and "虚拟内存" in rows[1]["seen_topics"] and "页面置换" in rows[1]["seen_topics"]
+    assert rows[1]["trace"][:2] == ["1:search_methods:页面置换 LRU", "1:read_card:o3"] and rows[1]["failed"] is None
     assert rows[2]["answer"] == "被迫回答" and rows[2]["forced_final"] and rows[2]["rounds"] == 3 and rows[2]["tool_calls"] == 3
