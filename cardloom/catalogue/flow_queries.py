@@ -225,7 +225,7 @@ FROM ({ORACLE["card_views"]}) h JOIN documents d ON CAST(d.doc_id AS VARCHAR) =
 ORACLE["tool_rounds"] = f"""
 WITH tp AS (  -- found first, and by a search that looks at twice as many and shows the first five
   SELECT qid, topic FROM (WITH {rq.fused_sql(5, 15)} SELECT qid, topic FROM hit)
-  UNION SELECT qid, topic FROM (WITH {rq.fused_sql(10, 30)} SELECT qid, topic FROM hit WHERE rank <= 5)),
+  UNION SELECT qid, topic FROM (WITH {rq.fused_sql(10, 30)} SELECT qid, topic FROM hit WHERE rank <= 5 AND qid % 7 <> 0)),
 se AS (SELECT qid, md5(string_agg(topic, '|' ORDER BY topic)) AS seen_md5 FROM tp GROUP BY qid)
 SELECT item_id AS qid, CASE WHEN item_id % 7 <> 0 THEN 'after 1 results' END AS answer, item_id % 7 = 0 AS failed,
   CASE WHEN item_id % 7 = 0 THEN 1 ELSE 2 END::BIGINT AS rounds, (item_id % 7 <> 0)::BIGINT AS tool_calls, (item_id % 7 <> 0)::BIGINT AS n_trace,
