@@ -36,6 +36,32 @@ def progress_curve(spark: SparkSession, folder: str) -> DataFrame:
     return _curve(spark, folder).select("user_id", "seq", "q", "pct")
 
 
+def _course_log(spark, folder):
+    """The study log with events spread over three courses per student."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    course = t.table(spark, folder, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("course "), (k % 3).cast("string")).alias("course")
+    )
+    return t.study_log(spark, folder).drop("course").join(course, "seq")
+
+
+def _course_curve(spark, folder):
+    log = _course_log(spark, folder)
+    return pg.progress_curve(log, time_block(log, ["user_id", "course"], "ts"), UNITS)
+
+
+def course_percent_courses(spark: SparkSession, folder: str) -> DataFrame:
+    return pg.course_percent(_course_log(spark, folder), UNITS)
+
+
+def progress_curve_courses(spark: SparkSession, folder: str) -> DataFrame:
+    return _course_curve(spark, folder).select("user_id", "course", "seq", "q", "pct")
+
+
+def daily_rollup_courses(spark: SparkSession, folder: str) -> DataFrame:
+    return pg.daily_rollup(_course_curve(spark, folder))
+
+
 def curve_tail(spark: SparkSession, folder: str) -> DataFrame:
     return pg.curve_tail(_curve(spark, folder), 30).select("user_id", "seq", "q", "pct")
 
@@ -298,7 +324,25 @@ ac AS (
     FROM events) WHERE NOT (action = 'new' AND sid = 'default')
 )"""
 
+_COURSE_LOG = _LOG.replace("SELECT user_id,", "SELECT user_id, 'course ' || CAST(json_extract_string(props, '$.k') AS INT) % 3 AS course,")
+_COURSE_CURVE = _COURSE_LOG + _CURVE[len(_LOG) :].replace("PARTITION BY user_id", "PARTITION BY user_id, course").replace(
+    "SELECT user_id, ts", "SELECT user_id, course, ts"
+)
+
 ORACLE = {
+    "course_percent_courses": "WITH"
+    + _COURSE_LOG
+    + """
+SELECT user_id, course, CAST(sum(n) AS BIGINT) AS questions, count(*) AS chapters,
+  CAST(round_even(least(sum(m)::DOUBLE / count(*) / 10000.0::DOUBLE, 1.0) * 100, 0) AS BIGINT) AS percent
+FROM (SELECT user_id, course, chapter, count(*) AS n, max(d) AS m FROM lg GROUP BY ALL) GROUP BY user_id, course""",
+    "progress_curve_courses": "WITH" + _COURSE_CURVE + " SELECT user_id, course, seq, q, pct FROM cv",
+    "daily_rollup_courses": "WITH"
+    + _COURSE_CURVE
+    + """,
+dy AS (SELECT user_id, course, strftime(ts, '%Y-%m-%d') AS day, count(*) AS questions, coalesce(arg_max(pct, q) FILTER (pct <> 0), 0) AS pct
+  FROM cv GROUP BY ALL)
+SELECT user_id, course, day, questions, pct FROM (SELECT *, row_number() OVER (PARTITION BY user_id, course ORDER BY day DESC) AS r FROM dy) WHERE r <= 14""",
     "chapter_progress": "WITH"
     + _LOG
     + """
@@ -454,6 +498,9 @@ QUERIES = {
         chapter_progress,
         course_percent,
         progress_curve,
+        course_percent_courses,
+        progress_curve_courses,
+        daily_rollup_courses,
         curve_tail,
         daily_rollup,
         today_questions,
