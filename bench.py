@@ -19,7 +19,6 @@ from cardloom.session import local_session  # noqa: E402
 
 HEADLINE = (
     "hybrid_topk",
-    "hybrid_topk_stored",
     "vector_topk_text",
     "lexical_topk",
     "vector_topk_dense",
