@@ -2,20 +2,24 @@
 
 Vectors go to unit length and are filed under their nearest coarse centroid;
 what is left over is coded by one of ``CODES`` codewords per subspace, and the
-length of the error of that code is kept.  Each vector probes the lists of its
-``PROBES`` nearest centroids.  Distances to the codes come from one lookup
-table per vector and list.  By the triangle inequality a true partner is no
-farther from the query than the search radius plus its own coding error, so
-the table distances drop nothing that is a link; what they let through is
-decided by the exact cosine in double precision.  A link may only be missed
-where neither end probes the other's list.
+length of the error of that code is kept.  Each vector probes every list that
+can hold a partner.  A partner in list c is at least as far away as the plane
+halfway between c and the own centroid, so only lists whose plane is within
+the search radius are probed, however many these are.  Distances to the codes
+come from one lookup table per vector and list.  By the triangle inequality a
+true partner is no farther from the query than the search radius plus its own
+coding error, so the table distances drop nothing that is a link; what they
+let through is decided by the exact cosine in double precision.  No link is
+missed.
 
 Scale: centroids and codewords are fitted on a bounded sample; every vector is
-indexed.  Equal vectors are one class and are searched once.  A list is cut
-into blocks of about ``BLOCK`` vectors, and every task compares one block of
-queries with one block of members, so a list that holds a third of all rows is
-many tasks.  A task returns counts per vector and a spanning forest of its
-links, never the pairs.
+indexed.  Equal vectors are one class and are searched once.  The lists, one
+after the other, are cut into blocks of ``BLOCK`` to ``WIDEST`` vectors, and
+every task compares one pair of blocks, so a list that holds a third of all
+rows is many tasks.  Blocks no member of which probes the other are never
+paired.  Where vectors are spread evenly in many dimensions nearly all lists
+are probed, and the work is that of all pairs of blocks.  A task returns
+counts per vector and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ COSINE = 0.95
 SAMPLE = 20_000
 """Vectors that centroids and codewords are fitted on."""
 SUBSPACES, CODES = 8, 64
-PROBES = 12
-BLOCK = 1024
+BLOCK, WIDEST = 1024, 8192
+"""Vectors in a block: a table's blocks widen up to the second number, so that fewer copies are shuffled."""
 MAX_LISTS = 4096
 
 
@@ -86,6 +90,19 @@ class Index:
         error = sum(((left[:, c] - w[codes[:, i]]) ** 2).sum(axis=1) for i, (c, w) in enumerate(zip(self.cuts, self.words)))
         return codes, np.sqrt(error)
 
+    def probed(self, points: np.ndarray, own: np.ndarray, lists: np.ndarray, radius: float) -> np.ndarray:
+        """Whether each point, filed under its list in ``own``, can have a partner within ``radius`` in each of ``lists``."""
+        to = self.centres[lists]
+        squares = (to * to).sum(axis=1)
+        out = np.empty((len(points), len(lists)), bool)
+        for at in range(0, len(points), 1024):
+            part, home = points[at : at + 1024], self.centres[own[at : at + 1024]]
+            home_squares = (home * home).sum(axis=1)
+            farther = squares - 2 * part @ to.T - (home_squares - 2 * (part * home).sum(axis=1))[:, None]
+            apart = np.sqrt(np.maximum(squares + home_squares[:, None] - 2 * home @ to.T, 0))
+            out[at : at + 1024] = farther <= 2 * radius * apart + 1e-6
+        return out
+
     def squared_distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of whole queries to coded members of list ``at``, from one table per subspace."""
         left = queries - self.centres[at]
@@ -105,66 +122,90 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & fine)
 
 
-def _forest(rows: np.ndarray, cols: np.ndarray, n_rows: int, n_cols: int) -> list[tuple[int, int]]:
-    """Edges (node, root) that span the bipartite links; columns are numbered after the rows."""
-    parent = list(range(n_rows + n_cols))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that span the bipartite links in a matrix; columns are numbered after the rows."""
+    n_rows = len(linked)
+    fresh_rows, fresh_cols = linked.any(axis=1), linked.any(axis=0)
+    across = np.ascontiguousarray(linked.T)
     edges = []
-    seen = np.zeros(n_rows + n_cols, bool)
-    # links whose ends both have been met are looked at again only where roots differ
-    for a, b in zip(rows.tolist(), (cols + n_rows).tolist()):
-        if seen[a] and seen[b]:
-            x, y = root(a), root(b)
-            if x == y:
-                continue
-        seen[a] = seen[b] = True
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            edges.append((a, b))
+    for start in np.flatnonzero(fresh_rows).tolist():
+        if not fresh_rows[start]:
+            continue
+        fresh_rows[start] = False
+        waiting = [start]
+        while waiting:
+            node = waiting.pop()
+            if node < n_rows:
+                new = np.flatnonzero(linked[node] & fresh_cols)
+                fresh_cols[new] = False
+                new += n_rows
+            else:
+                new = np.flatnonzero(across[node - n_rows] & fresh_rows)
+                fresh_rows[new] = False
+            edges += [(node, other) for other in new.tolist()]
+            waiting += new.tolist()
     return edges
 
 
-def _compare(index: Index, queries: pd.DataFrame, members: pd.DataFrame, at: int, cosine: float) -> tuple[pd.DataFrame, list]:
-    """Counts per class id and spanning edges of the links of a block of queries with a block of members of one list.
+def _exact(x: np.ndarray, y: np.ndarray, near: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the pairs in ``near`` have at least the cosine; products at once where there are many."""
+    sure = np.zeros_like(near)
+    if np.count_nonzero(near) * 16 > near.size:
+        dots = x @ y.T
+        sure = near & (dots >= cosine + 1e-9)
+        near = near & (np.abs(dots - cosine) < 1e-9)
+    rows, cols = np.nonzero(near)
+    for part in range(0, len(rows), 1 << 15):
+        r, c = rows[part : part + (1 << 15)], cols[part : part + (1 << 15)]
+        sure[r, c] = (x[r] * y[c]).sum(axis=1) >= cosine
+    return sure
+
+
+def _points(column: pd.Series) -> np.ndarray:
+    """Unit vectors of packed ones."""
+    return unit(np.stack([_unpacked(v) for v in column]))
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """Bytes of a vector, as single precision where that says the same; one zero byte marks it."""
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return short.tobytes() + b"\0" if (short == v).all() else v.astype("<f8").tobytes()
+
+
+def _unpacked(v: bytes) -> np.ndarray:
+    return np.frombuffer(v, "<f4", len(v) // 4).astype(float) if len(v) % 4 else np.frombuffer(v, "<f8")
 
-    Where the member probes the query's list too, another task finds the link
-    for it; else it is counted for both here.
+
+def _compare(index: Index, queries: pd.DataFrame, members: pd.DataFrame, cosine: float, same: bool) -> tuple[pd.DataFrame, list]:
+    """Counts per class id and spanning edges of the links of two blocks, or of a block with itself.
+
+    Links of two blocks are found here only, and counted for both ends.
     """
-    own = np.stack(queries["v"].to_numpy())
-    other = np.stack(members["v"].to_numpy())
+    x, y = _points(queries["v"]), _points(members["v"])
     codes = np.stack([np.frombuffer(c, np.uint8) for c in members["codes"]])
-    x, y = unit(own), unit(other)
-    reach = np.sqrt(2 - 2 * cosine) + members["error"].to_numpy() + 1e-6
-    near = index.squared_distances(x, at, codes) <= (reach * reach)[None, :]
-    near &= queries["cls"].to_numpy()[:, None] != members["cls"].to_numpy()[None, :]
-    rows, cols = np.nonzero(near)
-    keep = []
-    for part in range(0, len(rows), 1 << 18):
-        r, c = rows[part : part + (1 << 18)], cols[part : part + (1 << 18)]
-        keep.append((x[r] * y[c]).sum(axis=1) >= cosine)
-    sure = np.concatenate(keep) if keep else np.zeros(0, bool)
-    rows, cols = rows[sure], cols[sure]
-    probes = np.stack(members["probes"].to_numpy())
-    mutual = (probes[cols] == queries["list"].to_numpy()[rows][:, None]).any(axis=1)
-    size_q, size_m = queries["size"].to_numpy(), members["size"].to_numpy()
-    found = np.bincount(rows, weights=size_m[cols], minlength=len(queries))
-    back = np.bincount(cols[~mutual], weights=size_q[rows[~mutual]], minlength=len(members))
-    counts = pd.DataFrame(
-        {"cls": np.r_[queries["cls"].to_numpy(), members["cls"].to_numpy()], "n": np.r_[found, back].astype(np.int64)}
-    )
-    edges = _forest(rows, cols, len(queries), len(members))
+    radius = np.sqrt(2 - 2 * cosine)
+    reach = (radius + members["error"].to_numpy() + 1e-6) ** 2
+    own, lists = queries["list"].to_numpy(), members["list"].to_numpy()
+    there = np.unique(lists)
+    probed = index.probed(x, own, there, radius)
+    linked = np.zeros((len(x), len(y)), bool)
+    for i, at in enumerate(there.tolist()):
+        cols, asking = np.flatnonzero(lists == at), np.flatnonzero(probed[:, i])
+        for part in range(0, len(asking), 512):
+            rows = asking[part : part + 512]
+            near = index.squared_distances(x[rows], at, codes[cols]) <= reach[cols]
+            linked[np.ix_(rows, cols)] = _exact(x[rows], y[cols], near, cosine)
     names = np.r_[queries["cls"].to_numpy(), members["cls"].to_numpy()]
-    return counts[counts["n"] > 0], [(int(names[a]), int(names[b])) for a, b in edges]
+    if same:
+        np.fill_diagonal(linked, False)
+    found = linked @ members["size"].to_numpy().astype(float)
+    back = np.zeros(len(y)) if same else queries["size"].to_numpy().astype(float) @ linked
+    counts = pd.DataFrame({"cls": names, "n": np.r_[found, back].astype(np.int64)})
+    return counts[counts["n"] > 0], [(int(names[a]), int(names[b])) for a, b in _forest(linked)]
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
@@ -181,7 +222,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int =
 
     found = None
     for row in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():  # one row per vector length
-        part = _links(spark, classes.filter(F.size("v") == row["d"]), row["n"], cosine, probes)
+        part = _links(spark, classes.filter(F.size("v") == row["d"]), row["n"], cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "cls bigint, other bigint, n bigint")
@@ -205,7 +246,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, probes: int =
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(spark, classes: DataFrame, n: int, cosine: float, probes: int) -> DataFrame:
+def _links(spark, classes: DataFrame, n: int, cosine: float) -> DataFrame:
     """(cls, null, n) counts and (cls, other, null) spanning edges among classes of one vector length."""
     sampled = classes.orderBy(F.xxhash64("cls"), "cls").select("v").limit(SAMPLE).toPandas()["v"]
     lists = int(max(1, min(MAX_LISTS, round(n**0.5 / 2), len(sampled) // 8 or 1)))
@@ -216,53 +257,71 @@ def _links(spark, classes: DataFrame, n: int, cosine: float, probes: int) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = unit(np.stack(batch.column("v").to_numpy(zero_copy_only=False)))
-            near = nearest(points, own.centres, probes)
-            codes, error = own.code(points, near[:, 0])
+            raw = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
+            points = unit(raw)
+            near = nearest(points, own.centres, 1)[:, 0]
+            codes, error = own.code(points, near)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("cls", "size", "v")),
-                    pa.array(near[:, 0], pa.int32()),
-                    pa.array(near.tolist(), pa.list_(pa.int32())),
+                    *(batch.column(c) for c in ("cls", "size")),
+                    pa.array([_packed(v) for v in raw], pa.binary()),
+                    pa.array(near, pa.int32()),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(error),
                 ],
-                ["cls", "size", "v", "list", "probes", "codes", "error"],
+                ["cls", "size", "v", "list", "codes", "error"],
             )
 
-    schema = "cls bigint, size bigint, v array<double>, list int, probes array<int>, codes binary, error double"
-    filed = checkpointed(classes.select("cls", "size", "v").mapInArrow(file, schema))
-
-    # how many blocks each list is cut into, as member and as probed list: at most MAX_LISTS numbers
-    members = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    askers = {
-        r["at"]: r["n"] for r in filed.select(F.explode("probes").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect()
-    }
-    sizes = spark.createDataFrame(
-        [(i, -(-members[i] // BLOCK), max(1, -(-askers.get(i, 0) // BLOCK))) for i in members],
-        "at int, m_blocks int, q_blocks int",
+    filed = checkpointed(
+        classes.select("cls", "size", "v").mapInArrow(file, "cls bigint, size bigint, v binary, list int, codes binary, error double")
     )
-    own_block = lambda blocks, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), blocks).cast("int")
-    asking = (
-        filed.select("cls", "size", "v", "list", F.explode("probes").alias("at"))
-        .join(F.broadcast(sizes), "at")
-        .withColumn("qb", own_block(F.col("q_blocks"), 1))
-        .withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
-        .select("at", "qb", "mb", "cls", "size", "v", "list")
+
+    # the lists lie one after the other; a row's place in its list is drawn by hash, and blocks are cut at even places
+    width = min(max(BLOCK, n // 12), max(BLOCK, WIDEST))
+    members = {r["list"]: r["n"] for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MAX_LISTS
+    starts, at = {}, 0
+    for i in sorted(members):
+        starts[i], at = at, at + members[i]
+    places = spark.createDataFrame([(i, starts[i], members[i]) for i in members], "list int, start bigint, n bigint")
+    placed = filed.join(F.broadcast(places), "list").withColumn(
+        "block", F.floor((F.col("start") + F.pmod(F.xxhash64("cls"), F.col("n"))) / width).cast("int")
     )
-    asked = (
-        filed.withColumn("at", F.col("list"))
-        .join(F.broadcast(sizes), "at")
-        .withColumn("mb", own_block(F.col("m_blocks"), 2))
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("at", "qb", "mb", "cls", "size", "v", "probes", "codes", "error")
+    filled = np.array(sorted(members))
+    first = np.array([starts[i] // width for i in filled.tolist()])
+    last = np.array([(starts[i] + members[i] - 1) // width for i in filled.tolist()])
+    radius = np.sqrt(2 - 2 * cosine)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = unit(np.stack([_unpacked(v) for v in batch.column("v").to_pylist()]))
+            probed = index.value.probed(points, batch.column("list").to_numpy(), filled, radius)
+            rows, blocks = [], []
+            for row, (own, where) in enumerate(zip(batch.column("block").to_pylist(), probed)):
+                asked = np.zeros(last[-1] + 2, int)  # +1 where a probed list starts, -1 behind its end
+                np.add.at(asked, first[where], 1)
+                np.add.at(asked, last[where] + 1, -1)
+                found = np.flatnonzero(np.cumsum(asked) > 0)
+                found = found[found >= own]  # a pair of blocks meets once
+                rows.append(np.full(len(found), row))
+                blocks.append(found)
+            picked = batch.select(["cls", "size", "v", "list", "block"]).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays(
+                [*picked.columns, pa.array(np.concatenate(blocks), pa.int32())], ["cls", "size", "v", "list", "qb", "mb"]
+            )
+
+    asking = placed.mapInArrow(ask, "cls bigint, size bigint, v binary, list int, qb int, mb int")
+    met = checkpointed(asking.select("qb", "mb").distinct())
+    asked = renamed_apart(placed).join(met.withColumnRenamed("mb", "block"), "block").select(
+        "qb", F.col("block").alias("mb"), "cls", "size", "v", "list", "codes", "error"
     )
 
     def compare(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"cls": [], "other": [], "n": []})
         queries, rows = (d.sort_values("cls", ignore_index=True) for d in (queries, rows))
-        counts, edges = _compare(index.value, queries, rows, int(key[0]), cosine)
+        counts, edges = _compare(index.value, queries, rows, cosine, key[0] == key[1])
         out = pd.DataFrame(edges, columns=["cls", "other"])
         return pd.concat(
             [
@@ -271,5 +330,5 @@ def _links(spark, classes: DataFrame, n: int, cosine: float, probes: int) -> Dat
             ]
         )
 
-    keys = ["at", "qb", "mb"]
+    keys = ["qb", "mb"]
     return asking.groupBy(*keys).cogroup(renamed_apart(asked).groupBy(*keys)).applyInPandas(compare, "cls bigint, other bigint, n bigint")

@@ -80,3 +80,17 @@ def test_table_distances_bound_true_ones():
         table = np.sqrt(np.maximum(index.squared_distances(points, at, codes[rows]), 0))
         true = np.sqrt(((points[:, None] - points[None, rows]) ** 2).sum(-1))
         assert (table <= true + error[rows] + 1e-6).all()
+
+
+def test_group_split_over_many_lists(spark):
+    """Near copies that are not equal hold most rows, so they fill more lists than any fixed number of probes."""
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(3000, 64))
+    points[:2400] = points[0] + 0.175 * rng.normal(size=(2400, 64))
+    points = rng.permutation(points).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id bigint, embedding array<float>")
+    unit = vectors.unit(points.astype(float))
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert want.max() >= 2300
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
+    assert got == dict(enumerate(want.tolist()))
