@@ -6,7 +6,10 @@ has the virtual finish time ``c / target``, so all sources reach their
 targets at the virtual time 1.  Sorting all copies by finish time gives the
 mix; it is cut at the virtual time at which the total budget is served.  A
 copy in service at that moment is cut at the word where its source's share
-ends, so every source takes its target to the word.
+ends, so every source takes its target to the word.  With ``whole``, copies
+that end after that moment are left out instead, so no text is cut and every
+source falls short of its target by less than one document; a source whose
+target is below its first document takes nothing.
 
 Scale: one scan of the texts for the word counts.  Prefix sums per source are
 split into ``BLOCKS`` hash blocks per source: a window inside (source, block),
@@ -86,12 +89,14 @@ def fair_queue(
     epochs: int = EPOCHS,
     budget: int | None = None,
     keep: Sequence[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """One row per document: ``doc`` (its columns, or those in ``keep``), size, source_size, target, copies, taken.
 
     ``copies`` holds (epoch, finish, words) of each copy the mix takes, in
     service order; ``taken`` is the sum of their words.  ``budget`` (words,
-    default: all sizes) cuts all queues at the same virtual time.
+    default: all sizes) cuts all queues at the same virtual time.  ``whole``
+    leaves out the copies that this moment would cut.
 
     Null texts have no words and are never taken.  A null source is a source
     of its own, last in order.  Repeated rows are separate documents; ties of
@@ -121,7 +126,7 @@ def fair_queue(
     )
     inside = Window.partitionBy("src", "block").orderBy("turn", "doc.doc_id", "size")
     end = F.col("carry") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    served = F.floor(F.col("target") * share)
+    served = F.floor(F.col("target") * share * (1 + 1e-12 if whole else 1))  # a copy that ends at the cut is in, whatever the rounding
     copies = F.transform(
         F.sequence(F.lit(0), F.lit(epochs - 1)),
         lambda e: F.struct(
@@ -138,7 +143,7 @@ def fair_queue(
     return (
         keyed.join(starts, ["src", "block"])
         .withColumns({"end": end, "served": served})
-        .withColumn("copies", F.filter(F.when(F.col("size") > 0, copies), lambda c: c["words"] > 0))
+        .withColumn("copies", F.filter(F.when(F.col("size") > 0, copies), lambda c: c["words"] >= (F.col("size") if whole else 1)))
         .select(
             "doc",
             "size",

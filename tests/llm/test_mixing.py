@@ -94,3 +94,24 @@ def test_budget_empty_and_wordless(spark):
     blank = spark.createDataFrame([(1, None, None, 1, "x", 1), (2, " ", "a", 1, "x", 1)], DOCS)
     assert [r[3:] for r in rows_of(blank)] == [(0.0, 0), (0.0, 0)]
     assert mixing.mixed(mixing.fair_queue(blank)).collect() == []
+
+
+def test_stage_takes_whole_texts(spark):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"w{i}" for _ in range(5 + i * 7 % 40)), f"s{i % 60:02}", i, "x", 5) for i in range(180)]
+    frame = spark.createDataFrame(rows, DOCS)
+    texts = {d: t for d, t, *_ in rows}
+    words, longest = {}, {}
+    for r in corpus_pipeline.mix_sources(spark, frame, "").collect():
+        assert r.text == texts[r.doc_id]
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    for _, t, s, *_ in rows:
+        longest[s] = max(longest.get(s, 0), len(t.split()))
+    for r in mixing.fair_queue(frame).select("doc.source", "target").distinct().collect():
+        assert -longest[r.source] < words.get(r.source, 0) - r.target <= 1e-6
+
+
+def test_whole_copy_that_ends_at_the_cut(spark):
+    frame = spark.createDataFrame([(1, "a b c", "s", 1, "x", 5), (2, "d e", "s", 1, "x", 3)], DOCS)
+    assert sorted(r.text for r in mixing.mixed(mixing.fair_queue(frame, whole=True)).collect()) == ["a b c", "d e"]
