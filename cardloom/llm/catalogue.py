@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import chat, html, language, mixing, packing, quality, simhash, topk, toxicity, vectors
+from cardloom.llm import chat, html, language, mixing, packing, quality, resampling, simhash, topk, toxicity, vectors
 from cardloom.llm.common import WORD, table
 from cardloom.session import ship_package
 
@@ -66,6 +66,10 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 _OP2 = """
 WITH lasts AS (
   SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id
@@ -158,6 +162,7 @@ QUERIES = {
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
+        "op11_resampling": op11_resampling,
     }.items()
 }
 
@@ -177,4 +182,47 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE = {"op2_chat": _OP2, "op4_mixing": _OP4, "op7_topk": _OP7}
+_OP11 = r"""
+WITH RECURSIVE bits AS (
+  SELECT i::BIGINT AS i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8
+), words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+), asked AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), spelled AS (
+  SELECT w, hex(w) AS h FROM (SELECT w FROM words UNION SELECT w FROM asked)
+), coded AS (
+  SELECT w, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM spelled CROSS JOIN crc_table
+), raw AS (
+  SELECT bucket, count(*) AS s FROM words JOIN coded USING (w) GROUP BY bucket
+), aimed AS (
+  SELECT bucket, count(*) AS t FROM asked JOIN coded USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM words) + 10000)::DOUBLE
+         / ((s + 1)::DOUBLE * ((SELECT count(*) FROM asked) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM raw LEFT JOIN aimed USING (bucket)
+), weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM words JOIN coded USING (w) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w ON d.doc_id = w.doc_id
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM placed) THEN place END AS rank
+FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
+"""
+
+ORACLE = {"op2_chat": _OP2, "op4_mixing": _OP4, "op7_topk": _OP7, "op11_resampling": _OP11}
