@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import chat, html, language, mixing, packing, quality, resampling, simhash, topk, toxicity, vectors
+from cardloom.llm import audit, chat, html, language, mixing, packing, quality, resampling, simhash, topk, toxicity, vectors
 from cardloom.llm.common import WORD, table
 from cardloom.session import ship_package
 
@@ -70,6 +70,10 @@ def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 _OP2 = """
 WITH lasts AS (
   SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id
@@ -163,6 +167,7 @@ QUERIES = {
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
         "op11_resampling": op11_resampling,
+        "op12_audit": op12_audit,
     }.items()
 }
 
@@ -225,4 +230,38 @@ SELECT s.doc_id, n_features, weight, score,
 FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id
 """
 
-ORACLE = {"op2_chat": _OP2, "op4_mixing": _OP4, "op7_topk": _OP7, "op11_resampling": _OP11}
+_OP12 = f"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), failing AS (
+  SELECT d.part, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS f,
+         coalesce(l.quality, 0) = 1 AS good, coalesce(l.toxic, 0) = 1 AS bad
+  FROM worded d LEFT JOIN labels l ON d.doc_id = l.doc_id
+), counted AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad FROM failing GROUP BY part, f
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), marked AS (
+  SELECT part, o, s.s AS step, f = o[s.s] AS alone, contains(f, o[s.s]) AS failed,
+         len(list_filter(range(1, s.s), lambda i: contains(f, o[i]))) > 0 AS gone, n, n_good, n_bad
+  FROM counted, orders, (SELECT unnest(range(1, 6)) AS s) s
+), summed AS (
+  SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step,
+         CAST(sum(CASE WHEN NOT failed AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN failed AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN failed AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN failed AND NOT gone THEN n_good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN failed AND NOT gone THEN n_bad ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM marked GROUP BY part, o, step
+)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM summed
+"""
+
+ORACLE = {"op2_chat": _OP2, "op4_mixing": _OP4, "op7_topk": _OP7, "op11_resampling": _OP11, "op12_audit": _OP12}
