@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import audit, chat, html, language, mixing, packing, quality, resampling, simhash, topk, toxicity, vectors
+from cardloom.llm import audit, chat, html, language, lattice, mixing, packing, quality, resampling, simhash, topk, toxicity, vectors
 from cardloom.llm.common import WORD, table
 from cardloom.session import ship_package
 
@@ -74,6 +74,10 @@ def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.score(table(spark, folder, "documents"))
+
+
 _OP2 = """
 WITH lasts AS (
   SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id
@@ -168,6 +172,7 @@ QUERIES = {
         "op10_packing": op10_packing,
         "op11_resampling": op11_resampling,
         "op12_audit": op12_audit,
+        "op13_lattice": op13_lattice,
     }.items()
 }
 
