@@ -203,5 +203,5 @@ def _least_by_node(spark: SparkSession, texts: DataFrame) -> DataFrame:
             nodes, least = zip(*out[at : at + (1 << 16)])
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], ["node", "least"])
 
-    dealt = _prefixed(texts, max(RANGE_BYTES, total // HEAVY)).repartitionByRange(ranges, "prefix")
+    dealt = _prefixed(texts, max(total // HEAVY, total // ranges)).repartitionByRange(ranges, "prefix")
     return dealt.select("text", "node", "least", "several").mapInArrow(merge, "node bigint, least bigint")
