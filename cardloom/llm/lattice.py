@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,12 @@ END_SHARE = 1 / 1024
 HOT = 1 << 20
 _HELD = 1 << 18
 _SHORT = 64
-_AT_ONCE = 1 << 13
+_AT_ONCE = 1 << 12
+_LOT = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_GROWTH = np.uint64(0x100000001B3)
+_GROWTH, _EXACT = np.uint64(257), 7
+"""Keys are numbers to the base 257, exact for up to 7 bytes."""
+_ONE = np.uint64(1)
 
 
 def default_vocabulary() -> str:
@@ -63,7 +67,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces as bytes, a leading space where they open a token, and their first weights.
 
     Pieces for single bytes, which have no score, and a lone space weigh as
-    the last rank.  Pieces of white space, of which tokens have none, are left out.
+    the last rank.  Pieces of white space or with a zero among other bytes are left out.
     """
     import sentencepiece
 
@@ -76,7 +80,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
             piece, weight = bytes([int(model.id_to_piece(i)[3:-1], 16)]), last
         else:
             piece, weight = model.id_to_piece(i).replace("▁", " ").encode(), 1.0 / (1.0 - min(0.0, model.get_score(i)))
-        if not piece[1:].split() and len(piece) > 1 or b" " in piece[1:] or piece == b" ":
+        if len(piece) > 1 and (piece.isspace() or b" " in piece[1:] or b"\0" in piece) or piece == b" ":
             continue
         weights[piece] = weights.get(piece, 0.0) + weight
     for byte in range(256):
@@ -98,54 +102,69 @@ class Lattice:
 
     def _prepare(self) -> None:
         self._by_piece = dict(zip(self.pieces, range(len(self.pieces))))
-        keys = np.zeros(len(self.pieces), np.uint64)
+        keys, begun = np.zeros(len(self.pieces), np.uint64), set()
         for i, piece in enumerate(self.pieces):
             key = 0
             for byte in piece:
+                begun.add(key)
                 key = (key * int(_GROWTH) + byte + 1) & 0xFFFFFFFFFFFFFFFF
             keys[i] = key
         order = np.argsort(keys)
         self._keys, self._of = keys[order], order
         if (self._keys[1:] == self._keys[:-1]).any():
             raise ValueError("two pieces with one key")
-        self._maybe = np.zeros(1 << 20, bool)
-        self._maybe[self._slot(self._keys)] = True
+        self._sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        self._bytes = np.frombuffer(b"".join(p.ljust(self.longest, b"\0") for p in self.pieces), np.uint8).reshape(-1, self.longest)
+        # bit 0: perhaps a piece, bit 1: perhaps the start of a longer one
+        self._state = np.zeros(1 << 20, np.uint8)
+        self._state[self._slot(self._keys)] |= 1
+        self._state[self._slot(np.array(sorted(begun), np.uint64))] |= 2
         self._ready = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * _STEP) >> np.uint64(44)
 
-    def _arcs(self, tokens: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, pieces) by start, over tokens of equal length as a matrix of bytes."""
+    def _arcs(self, tokens: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) by start; no piece of several bytes holds the zero that stands behind a token."""
         found, length = [], tokens.shape[1]
         for start in range(length):
-            key = np.zeros(len(tokens), np.uint64)
+            rows = np.arange(np.searchsorted(lengths, start, "right"), len(tokens))
+            key = np.zeros(len(rows), np.uint64)
             for end in range(start + 1, min(length, start + self.longest) + 1):
-                key = key * _GROWTH + (tokens[:, end - 1] + np.uint64(1))
-                rows = np.flatnonzero(self._maybe[self._slot(key)])
-                if not len(rows):
-                    continue
-                at = np.minimum(np.searchsorted(self._keys, key[rows]), len(self._keys) - 1)
-                hit = self._keys[at] == key[rows]
-                rows, of = rows[hit], self._of[at[hit]]
-                # a key is a hash, so the bytes decide
-                same = np.fromiter((self.pieces[p] == tokens[r, start:end].tobytes() for r, p in zip(rows, of)), bool, len(rows)) if end - start > 8 else None
-                if same is not None:
-                    rows, of = rows[same], of[same]
-                if len(rows):
-                    found.append((start, end, rows, of))
+                key = key * _GROWTH + (tokens[rows, end - 1].astype(np.uint64) + _ONE)
+                state = self._state[self._slot(key)]
+                maybe = np.flatnonzero(state & 1)
+                if len(maybe):
+                    hit, of = self._pieces_of(key[maybe], end - start)
+                    maybe = maybe[hit]
+                    if end - start > _EXACT:  # longer keys are hashes, so the bytes decide
+                        same = (self._bytes[of, : end - start] == tokens[rows[maybe], start:end]).all(axis=1)
+                        maybe, of = maybe[same], of[same]
+                    if len(maybe):
+                        found.append((start, end, rows[maybe], of))
+                more = np.flatnonzero(state & 2)
+                if not len(more):
+                    break
+                rows, key = rows[more], key[more]
         return found
 
-    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, matrix of bytes with the opening space) of words of equal length."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(lengths[lengths < _SHORT]):
-            alike = np.flatnonzero(lengths == length)
-            for at in range(0, len(alike), _AT_ONCE):
-                part = alike[at : at + _AT_ONCE]
-                flat = np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8)
-                yield part, flat.reshape(len(part), length + 1).astype(np.uint64)
+    def _pieces_of(self, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are those of a piece of ``size`` bytes, and the pieces."""
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        hit = np.flatnonzero((self._keys[at] == keys) & (self._sizes[self._of[at]] == size))
+        return hit, self._of[at[hit]]
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions, lengths, matrix of bytes) of short words with the opening space, shortest first, zeros behind each."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(lengths, kind="stable")
+        order = order[: np.searchsorted(lengths[order], _SHORT)]
+        for at in range(0, len(order), _AT_ONCE):
+            part = order[at : at + _AT_ONCE]
+            width = int(lengths[part[-1]])
+            flat = np.frombuffer(b"".join((b" " + words[i]).ljust(width, b"\0") for i in part), np.uint8)
+            yield part, lengths[part], flat.reshape(len(part), width)
 
     def _forward(self, tokens: np.ndarray, arcs: list) -> np.ndarray:
         alpha = np.full((tokens.shape[1] + 1, len(tokens)), -np.inf)
@@ -159,10 +178,10 @@ class Lattice:
         if not self._ready:
             self._prepare()
         out = np.zeros(len(words))
-        for at, tokens in self._groups(words):
-            out[at] = self._forward(tokens, self._arcs(tokens))[-1]
+        for at, lengths, tokens in self._groups(words):
+            out[at] = self._forward(tokens, self._arcs(tokens, lengths))[lengths, np.arange(len(at))]
         for i, word in enumerate(words):
-            if len(word) >= _SHORT:
+            if len(word) + 1 >= _SHORT:
                 out[i] = self._long_forward(b" " + word)[-1]
         return out
 
@@ -171,16 +190,18 @@ class Lattice:
         if not self._ready:
             self._prepare()
         used = np.zeros(len(self.pieces))
-        for _, tokens in self._groups(words):
-            arcs = self._arcs(tokens)
+        for at, lengths, tokens in self._groups(words):
+            arcs, all_rows = self._arcs(tokens, lengths), np.arange(len(at))
             alpha, beta = self._forward(tokens, arcs), np.full((tokens.shape[1] + 1, len(tokens)), -np.inf)
-            beta[-1] = 0.0
+            beta[lengths, all_rows] = 0.0
+            whole, shares = alpha[lengths, all_rows], []
             for start, end, rows, of in reversed(arcs):
-                beta[start, rows] = np.logaddexp(beta[start, rows], beta[end, rows] + self.log[of])
-                share = np.exp(alpha[start, rows] + self.log[of] + beta[end, rows] - alpha[-1, rows])
-                used += np.bincount(of, share, len(used))
+                behind = beta[end, rows] + self.log[of]
+                beta[start, rows] = np.logaddexp(beta[start, rows], behind)
+                shares.append(alpha[start, rows] + behind - whole[rows])
+            used += np.bincount(np.concatenate([arc[3] for arc in reversed(arcs)]), np.exp(np.concatenate(shares)), len(used))
         for word in words:
-            if len(word) >= _SHORT:
+            if len(word) + 1 >= _SHORT:
                 self._long_expected(b" " + word, used)
         return used
 
@@ -207,6 +228,18 @@ class Lattice:
                 used[of] += math.exp(alpha[start] + self.log[of] + beta[end] - alpha[-1])
 
 
+def _in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones joined to some ``_LOT`` rows."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _LOT:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokens_of(text: bytes | None) -> list[bytes]:
     """Words of a text, A-Z lowered; bytes split at space and 9 to 13."""
     return (text or b"").lower().split()
@@ -216,9 +249,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c, n) from (learns, text): tokens in the texts to learn from, and in all."""
 
     def rows(learned: Counter, other: Counter) -> pa.RecordBatch:
-        words = list(learned | other)
-        c = [learned[w] for w in words]
-        n = [learned[w] + other[w] for w in words]
+        words = list(learned.keys() | other.keys())
+        c = [learned.get(w, 0) for w in words]
+        n = [k + other.get(w, 0) for w, k in zip(words, c)]
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["word", "c", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +306,7 @@ def train(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> Model
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             used = np.zeros(len(shared.value.pieces))
-            for batch in batches:
+            for batch in _in_lots(batches):
                 used += shared.value.expected(batch.column("word").to_pylist())
             at = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(used[at])], ["piece", "used"])
@@ -295,7 +328,7 @@ def scored_words(words: DataFrame, model: Model) -> DataFrame:
     names = ["word", "n", "known", "base", "score", "lattice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_lots(batches):
             c = batch.column("c").to_numpy()
             scores = shared.value.words(batch.column("word").to_pylist(), c.astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(c > 0), *map(pa.array, scores)], names)
@@ -329,17 +362,12 @@ def _asked(docs: DataFrame, hot: pa.Table, end: tuple[float, float, float], end_
             sums, sizes, first = [], [], row
             for text in batch.column("text"):
                 tokens = tokens_of(text.as_py())
-                at, times = [], []
-                for word, n in Counter(tokens).items():
-                    i = at_word.get(word)
-                    if i is None:
-                        place = places.setdefault(word, ([], []))
-                        place[0].append(row)
-                        place[1].append(n)
-                    else:
-                        at.append(i)
-                        times.append(n)
-                sums.append(np.array(times, np.float64) @ table[at] if at else np.zeros(4))
+                at = np.fromiter(map(at_word.get, tokens, repeat(-1)), np.int64, len(tokens))
+                sums.append(table[at[at >= 0]].sum(axis=0))
+                for word, n in Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist()).items():
+                    place = places.setdefault(word, ([], []))
+                    place[0].append(row)
+                    place[1].append(n)
                 sizes.append(len(tokens) + 1)
                 row += 1
                 if len(places) > _HELD:

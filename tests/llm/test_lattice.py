@@ -142,6 +142,6 @@ def test_held_out_documents(spark):
     rows = lattice.score(docs).filter("held_out").collect()
     raw = {r.doc_id: r for r in lattice.score(docs, rounds=0).filter("held_out").collect()}
     total = lambda name, found: sum(r[name] for r in found)
-    assert total("score", rows) > 0.8 * total("lattice_score", rows) > 0.8 * 0.8 * total("lattice_score", raw.values())
+    assert total("score", rows) > total("lattice_score", rows) > total("lattice_score", raw.values())
     known = [r for r in rows if r.n_known == r.n_tokens]
-    assert len(known) > 20 and total("score", known) > 1.02 * total("base_score", known)
+    assert len(known) > 20 and total("score", known) > 1.05 * total("base_score", known)
