@@ -4,9 +4,9 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_mixing import brute as brute_mix
+from test_copies import brute as brute_copies
+from test_mixing import brute_whole
 from test_packing import check
-from test_simhash import brute as brute_simhash
 
 from cardloom.llm import language, toxicity
 
@@ -52,19 +52,20 @@ def test_unknown_languages_go(stages):
 
 def test_one_of_each_group_stays(stages):
     _, docs, done = stages[2]
-    groups = brute_simhash([(r.doc_id, r.text) for r in docs.collect()])
-    assert ids(done) == sorted(d for d, _, component in groups if d == component)
+    groups = brute_copies([(r.doc_id, r.text) for r in docs.collect()])
+    assert ids(done) == sorted(d for d, component in groups if d == component)
     assert len(ids(done)) < docs.count()
 
 
 def test_mix(stages):
     _, docs, done = stages[3]
-    taken = {d: t for d, *_, t in brute_mix([(r.doc_id, r.text, r.source) for r in docs.collect()])}
-    words = Counter()
+    rows = docs.collect()
+    texts = {r.doc_id: r.text for r in rows}
+    copies = Counter()
     for r in done.collect():
-        words[r.doc_id] += len(r.text.split())
-        assert r.n_chars == len(r.text)
-    assert dict(words) == {d: t for d, t in taken.items() if t}
+        copies[r.doc_id] += 1
+        assert r.text == texts[r.doc_id] and r.n_chars == len(r.text)
+    assert copies == brute_whole([(r.doc_id, r.text, r.source) for r in rows])
 
 
 def test_packing(spark, stages):
