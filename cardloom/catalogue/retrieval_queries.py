@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from cardloom.catalogue import tables as t
 from cardloom.functions import text as tx
 from cardloom.functions import vectors as vec
+from cardloom.operators import indexed
 from cardloom.operators import retrieval as r
 from cardloom import fixed_values as fixed
 from cardloom.scale import spread
 from cardloom.session import shared_table
+from cardloom.sources.postings import PostingTable
 from cardloom.sources.vectors import VectorTable
 
 
@@ -43,6 +45,16 @@ def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lexical_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same hits through the stored posting lists."""
+    table = PostingTable(spark, shared_table(spark, "postings"))
+    table.rebuild(t.cards(spark, folder))
+    hits = indexed.lexical_topk_indexed(t.questions(spark, folder), table, 5)
+    return hits.select(
+        "qid", F.col("rank").cast("bigint").alias("rank"), "card_id", tx.exact_round(F.col("score"), 4).alias("score")
+    )
+
+
 def _hybrid(spark, folder, k, columns=("topic", "kind", "chapter")):
     questions, cards = t.questions(spark, folder), t.cards(spark, folder)
     small = r.questions_fit(questions)
@@ -327,6 +339,7 @@ QUERIES = {
         vector_topk_text,
         vector_topk_dense,
         lexical_topk,
+        lexical_topk_indexed,
         hybrid_topk,
         rerank_bias,
         kind_after_rank,
@@ -339,3 +352,4 @@ QUERIES = {
 }
 ORACLE["vector_upsert"] = ORACLE["vector_table"]
 ORACLE["hybrid_topk_stored"] = ORACLE["hybrid_topk"]
+ORACLE["lexical_topk_indexed"] = ORACLE["lexical_topk"]
