@@ -13,6 +13,7 @@ from cardloom.operators import retrieval as r
 from cardloom import fixed_values as fixed
 from cardloom.scale import spread
 from cardloom.session import shared_table
+from cardloom.sources.coarse import MAX_LISTS, CoarseIndex
 from cardloom.sources.postings import PostingTable
 from cardloom.sources.vectors import VectorTable
 
@@ -55,6 +56,19 @@ def lexical_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vector_topk_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Vector search over all lists of an index that was first filled with other texts and then brought up to date."""
+    cards = t.cards(spark, folder)
+    index = CoarseIndex(spark, shared_table(spark, "coarse"))
+    index.rebuild(cards.filter("ord % 3 > 0").withColumn("technique", F.lit("old")))
+    index.upsert(cards.filter("ord % 2 = 0"))
+    index.upsert(cards.filter("ord % 2 = 1"))
+    hits = indexed.vector_topk_indexed(t.questions(spark, folder), index, 5, MAX_LISTS)
+    return hits.select(
+        "qid", F.col("rank").cast("bigint").alias("rank"), "card_id", tx.exact_round(F.col("score"), 4).alias("score")
+    )
+
+
 def _hybrid(spark, folder, k, columns=("topic", "kind", "chapter")):
     questions, cards = t.questions(spark, folder), t.cards(spark, folder)
     small = r.questions_fit(questions)
@@ -337,6 +351,7 @@ QUERIES = {
         token_counts,
         hashed_vectors,
         vector_topk_text,
+        vector_topk_lists,
         vector_topk_dense,
         lexical_topk,
         lexical_topk_indexed,
@@ -353,3 +368,4 @@ QUERIES = {
 ORACLE["vector_upsert"] = ORACLE["vector_table"]
 ORACLE["hybrid_topk_stored"] = ORACLE["hybrid_topk"]
 ORACLE["lexical_topk_indexed"] = ORACLE["lexical_topk"]
+ORACLE["vector_topk_lists"] = ORACLE["vector_topk_text"]

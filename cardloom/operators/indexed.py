@@ -1,4 +1,9 @@
-"""Lexical top-k over the stored inverted index: blocks are visited by falling bound until none can enter.
+"""Top-k over stored indexes.
+
+Vectors: the lists nearest to a question are opened, and their cards are
+scored exactly; with all lists the rows are those of ``vector_topk``.
+
+Lexical: blocks are visited by falling bound until none can enter.
 
 What a block can score at most follows from its largest and smallest weights:
 every asked keyword token it holds counts as a hit, every cell of the question
@@ -23,6 +28,7 @@ from cardloom.functions import vectors as vec
 from cardloom.operators import retrieval as rt
 from cardloom.scale import top_per_key
 from cardloom.session import checkpointed
+from cardloom.sources.coarse import NO_LIST, CoarseIndex, centroid_lots, unit
 from cardloom.sources.postings import BLOCK, PostingTable, cell_term, term_bucket
 
 BLOCKS_AT_ONCE = 4
@@ -172,3 +178,68 @@ def blocks_read(questions: DataFrame, table: PostingTable, k: int) -> DataFrame:
         found = _searched(lot, table, k).filter("card_id IS NULL").select("qid", "read", "held")
         rows = found if rows is None else rows.unionByName(found)
     return rows.groupBy("qid").agg(F.sum("read").alias("read"), F.sum("held").alias("held"))
+
+
+# ---- vectors ----------------------------------------------------------------
+
+MAX_PRUNED_LISTS = 5_000
+
+
+def _opened(asked: list, index: CoarseIndex, probes: int) -> dict[tuple[str, int], list]:
+    """Questions by the (course, list) that each of them opens."""
+    by_course: dict[str, list] = {}
+    for r in asked:
+        by_course.setdefault(r["course"], []).append((r["qid"], r["question"] or ""))
+    opened: dict[tuple[str, int], list] = {(course, NO_LIST): pairs for course, pairs in by_course.items()}
+    codes = vec.TokenCodes()
+    for lot in centroid_lots(index.centroids().filter(F.col("course").isin(*by_course))):
+        for course, centres in lot.items():
+            pairs = by_course[course]
+            near = unit(vec.count_matrix([q for _, q in pairs], codes)) @ centres.T
+            for pair, lists in zip(pairs, np.argsort(-near, axis=1, kind="stable")[:, :probes]):
+                for number in lists:
+                    opened.setdefault((course, int(number)), []).append(pair)
+    return opened
+
+
+def _list_hits(questions: DataFrame, index: CoarseIndex, n: int, probes: int) -> DataFrame:
+    asked = questions.filter("course IS NOT NULL").select("qid", "course", "question").collect()  # the caller has measured them
+    opened = _opened(asked, index, probes) if asked else {}
+    shared = questions.sparkSession.sparkContext.broadcast(opened)
+    where = None
+    if len(opened) <= MAX_PRUNED_LISTS:  # reaches the scan as a partition filter
+        by_course: dict[str, list[int]] = {}
+        for course, number in opened:
+            by_course.setdefault(course, []).append(number)
+        where = F.lit(False)
+        for course, numbers in by_course.items():
+            where = where | ((F.col("course") == course) & F.col("list").isin(*numbers))
+    limits = rt._Limits(0, n)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, kept, sides = vec.TokenCodes(), {}, {}
+        for pdf in frames:
+            for key, part in pdf.groupby(["course", "list"], sort=False):
+                if key in shared.value:
+                    if key not in sides:
+                        qids, texts = zip(*shared.value[key])
+                        sides[key] = rt._Questions(list(qids), list(texts), codes)
+                    kept[key] = rt._best(sides[key], rt._card_batch(part, codes), limits, kept.get(key))
+        for key, rows in kept.items():
+            yield rt._frame(key[0], sides[key], rows)
+
+    return index.rows(where).mapInPandas(score, rt._result_schema(questions))
+
+
+def vector_topk_indexed(questions: DataFrame, index: CoarseIndex, n: int, probes: int) -> DataFrame:
+    """Best ``n`` cards per question by cosine among the ``probes`` nearest lists, columns as ``vector_topk``.
+
+    Cards of courses that are newer than the centroids are always looked at.
+    ``probes`` of at least the number of lists gives the rows of ``vector_topk``.
+    """
+    found = None
+    for lot in _lots(questions):
+        rows = _list_hits(lot, index, n, probes)
+        found = rows if found is None else found.unionByName(rows)
+    best = top_per_key(found.filter("cosine IS NOT NULL"), ["qid"], [F.desc("cosine"), F.asc("ord")], n, salt=F.col("card_id"))
+    return best.select("qid", "course", "rank", "card_id", "ord", F.greatest(F.lit(0.0), F.col("cosine")).alias("score"))
