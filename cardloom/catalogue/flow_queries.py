@@ -16,6 +16,7 @@ from cardloom.operators import draw
 from cardloom.operators import jobs
 from cardloom.operators import profiles as pf
 from cardloom.operators import render
+from cardloom.operators import replies
 from cardloom.operators import transcripts as tr
 from cardloom.plans import agent_rounds, ingest
 from cardloom.plans.ask import PAYLOAD
@@ -166,6 +167,45 @@ _MISTAKES = (
     f"mk AS (SELECT user_id, {_LIST.format(cap=12)} AS kept FROM ml)"
 )
 
+def reply_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Assistant turns as streamed fragments of seven characters; those of every third conversation as two interleaved tool calls."""
+    said = t.table(spark, folder, "conversations").filter("role = 'assistant'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("reply"),
+        (F.col("conv_id") % 3 == 0).alias("called"),
+        F.coalesce("text", F.lit("")).alias("said"),
+    )
+    n = F.ceil(F.length("said") / 7).cast("int")
+    each = said.withColumn("i", F.explode(F.sequence(F.lit(0), n)))
+    piece = F.substring("said", F.col("i") * 7 + 1, F.lit(7))
+    done = F.col("i") == n
+    none = F.lit(None).cast("string")
+    text = each.filter("NOT called").select(
+        "reply", F.col("i").cast("bigint").alias("seq"), piece.alias("text"), F.lit(None).cast("int").alias("call_index"),
+        none.alias("call_id"), none.alias("name"), none.alias("arguments"), done.alias("done"),
+    )
+    side = F.explode(F.array(F.lit(1), F.lit(0)))
+    first = F.col("i") == 0
+    calls = each.filter("called").withColumn("side", side).select(
+        "reply",
+        (F.col("i") * 2 + 1 - F.col("side")).cast("bigint").alias("seq"),
+        none.alias("text"),
+        F.col("side").alias("call_index"),
+        F.when(first, F.concat(F.lit("call-"), F.col("side").cast("string"))).alias("call_id"),
+        F.when(first, F.when(F.col("side") == 0, "search_methods").otherwise("read_card")).alias("name"),
+        piece.alias("arguments"),
+        (done & (F.col("side") == 0)).alias("done"),
+    )
+    return text.unionByName(calls)
+
+
+def assembled_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns again, put together from their fragments."""
+    call = lambda c: F.concat_ws("|", c["call_index"].cast("string"), c["call_id"], c["name"], c["arguments"])
+    return replies.assembled(reply_events(spark, folder)).select(
+        "reply", "kind", "text", F.array_join(F.transform("calls", call), "\n").alias("calls")
+    )
+
+
 ORACLE = {
     "general_notes": f"""
 WITH it AS (SELECT user_id, list([substr(trim('everyday matter number ' || {_K} % 40 || ' ' || event_type), 1, 30)] ORDER BY event_id) AS l FROM events GROUP BY user_id),
@@ -232,9 +272,17 @@ SELECT item_id AS qid, CASE WHEN item_id % 7 <> 0 THEN 'after 1 results' END AS
   coalesce(seen_md5, md5('')) AS seen_md5
 FROM benchmark LEFT JOIN se ON se.qid = item_id"""
 
+ORACLE["assembled_replies"] = """
+WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS said FROM conversations WHERE role = 'assistant')
+SELECT conv_id || '-' || turn AS reply, CASE WHEN conv_id % 3 = 0 THEN 'tool_calls' ELSE 'text' END AS kind,
+  CASE WHEN conv_id % 3 = 0 THEN '' ELSE said END AS text,
+  CASE WHEN conv_id % 3 = 0 THEN '0|call-0|search_methods|' || said || chr(10) || '1|call-1|read_card|' || said ELSE '' END AS calls
+FROM said"""
+
 QUERIES = {
     f.__name__: f
     for f in (
+        assembled_replies,
         general_notes,
         mistake_lists,
         preambles,
