@@ -32,6 +32,7 @@ from cardloom.session import checkpointed
 
 MAX_BROADCAST_QUESTIONS = 10_000
 MAX_BROADCAST_CHARS = 8_000_000
+MAX_BROADCAST_DOUBLES = 8_000_000
 MAX_BROADCAST_HITS = 500_000
 QUESTIONS_PER_BLOCK = 2_000
 CARDS_PER_BLOCK = 50_000
@@ -637,9 +638,11 @@ def dense_topk(
     """Exact cosine top-n over precomputed vectors.
 
     ``queries``: qid, vector.  ``rows``: ord, vector.  Up to ``max_queries``
-    queries are broadcast; more are compared with the rows block by block.
+    queries of ``MAX_BROADCAST_DOUBLES`` numbers in all are broadcast; more are
+    compared with the rows block by block.
     """
-    small = queries.limit(max_queries + 1).count() <= max_queries
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("doubles")).first()
+    small = size["n"] <= max_queries and (size["doubles"] or 0) <= MAX_BROADCAST_DOUBLES
     found = _dense_slice(queries, rows, n) if small else _dense_blocks(queries, rows, n)
     return top_per_key(found, ["qid"], [F.desc("cosine"), F.asc("ord")], n, salt=F.col("ord")).select(
         "qid", "rank", "ord", F.greatest(F.lit(0.0), F.col("cosine")).alias("score")

@@ -21,6 +21,7 @@ from cardloom.session import checkpointed
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 1_000_000
+FILES_PER_BLOCK = 50_000
 
 # "max_before" leaves out the current row
 _AGGREGATES = {"sum": F.sum, "max": F.max, "max_before": F.max}

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardloom import fixed_values as fixed
 from cardloom.functions.text import strip
 from cardloom.operators import cards as ops
-from cardloom.scale import ranked
+from cardloom.scale import FILES_PER_BLOCK, ordinal_block, ranked, running
 from cardloom.schema import CARD, CARD_COLUMNS, QUESTION
 from cardloom.session import checkpointed
 
@@ -33,13 +33,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     at least one byte, and a partition's splits are read one after the other,
     so the position counts from the first row of the split.
     """
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("length"))
-        .select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("_start"))
-    )
+    found = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("length"))
+    placed = running(ranked(found, "file", "_n"), [], ["_n"], {"_end": ("sum", F.col("length"))}, ordinal_block("_n", FILES_PER_BLOCK))
+    files = placed.select("file", (F.col("_end") - F.col("length")).alias("_start"))
     rows = spark.read.text(path).select(
         F.col("value").alias("raw_json"),
         F.col("_metadata.file_path").alias("file"),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom import fixed_values as fixed
 from cardloom.functions.text import lines, strip
 from cardloom.operators import chapters as ch
-from cardloom.scale import ranked
+from cardloom.scale import FILES_PER_BLOCK, ordinal_block, ranked, running
 
 
 def _stem(path: Column) -> Column:
@@ -54,9 +54,9 @@ def read_markdown_tree(spark: SparkSession, folder: str, course: str) -> DataFra
     if names.isEmpty():
         raise FileNotFoundError(f"no Markdown file below {folder}")
     pages = ch.split_pages(files.join(ranked(names, "path", "file_ord"), "path"), ["file_ord"])
-    before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    counts = pages.groupBy("file_ord").agg(F.max("page_ord").alias("n"))
-    starts = counts.select("file_ord", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).alias("_start"))
+    counts = pages.groupBy("file_ord").agg((F.max("page_ord") + 1).alias("n"))
+    ends = running(counts, [], ["file_ord"], {"_end": ("sum", F.col("n"))}, ordinal_block("file_ord", FILES_PER_BLOCK))
+    starts = ends.select("file_ord", (F.col("_end") - F.col("n")).alias("_start"))
     return pages.join(starts, "file_ord").select(
         F.lit(course).alias("source"), (F.col("_start") + F.col("page_ord")).alias("page_ord"), "page_no", "text"
     )

@@ -199,3 +199,14 @@ def test_given_vectors_take_the_place_of_hashed_ones(spark):
     plain = {(r["qid"], r["rank"]): r["score"] for r in rt.hybrid_topk(questions, cards, 5).collect()}
     given = {(r["qid"], r["rank"]): r["score"] for r in rt.hybrid_topk(questions, cards, 5, vector_hits=own).collect()}
     assert plain == given and plain
+
+
+def test_wide_dense_queries_are_not_broadcast(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = lambda n, name: spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(n)], f"{name} long, vector array<double>")
+    queries, offered = rows(6, "qid").persist(), rows(90, "ord").persist()
+    found = lambda: sorted((r.qid, r.rank, r.ord, round(r.score, 12)) for r in rt.dense_topk(queries, offered, 4).collect())
+    want = found()
+    monkeypatch.setattr(rt, "MAX_BROADCAST_DOUBLES", 6 * 16 - 1)
+    monkeypatch.setattr(rt, "_dense_slice", None)
+    assert found() == want and len(want) == 24
