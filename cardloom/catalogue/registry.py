@@ -2,10 +2,10 @@
 
 from functools import wraps
 
-from cardloom.catalogue import answer_queries, card_queries, flow_queries, retrieval_queries, student_queries, text_queries
+from cardloom.catalogue import answer_queries, card_queries, file_queries, flow_queries, retrieval_queries, student_queries, text_queries
 from cardloom.session import ship_package
 
-_GROUPS = (retrieval_queries, text_queries, card_queries, student_queries, answer_queries, flow_queries)
+_GROUPS = (retrieval_queries, text_queries, card_queries, student_queries, answer_queries, flow_queries, file_queries)
 
 
 def _shipped(query):

@@ -51,8 +51,7 @@ MEMORY_TOPIC_CHARS, MEMORY_HASH_CHARS = 80, 10
 DAILY_DAYS = 14
 RADAR_CHAPTERS, RADAR_LABEL_CHARS = 8, 9
 TOP_BOX = 5
-NOISE_PREVIEW = 20
-JOB_LOG_CAP, JOB_LOG_VIEW, JOB_LOG_TAIL = 400, 120, 40
+JOB_LOG_TAIL = 40
 PREVIEW_APPLICABILITY_CHARS = 80
 CARD_EXAMPLE_CHARS = 500
 RENDER_EXAMPLE_CHARS = 600
