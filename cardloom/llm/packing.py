@@ -48,30 +48,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=1)
+def _exact(path: str):
+    """The tokenizer itself, loaded by the first text that needs it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def _encoders(path: str):
-    """(exact, fast, special strings) of a tokenizer file; once per Python worker.
+    """(fast, special strings) of a tokenizer file; once per Python worker.
 
     ``fast`` runs the same byte-level BPE, with the ranks of the vocabulary and
     merges in the file, several times faster; texts that hold one of the
-    special strings go to ``exact``.
+    special strings, and all texts where ``fast`` is None, go to the tokenizer itself.
     """
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = tuple(t["content"] for t in spec.get("added_tokens", []))
     pattern = _byte_level_pattern(spec)
     if pattern is None:
-        return exact, None, special
+        return None, special
     visible = _visible_bytes()
     ranks = {bytes(visible[c] for c in token): id_ for token, id_ in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("from_file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast, special
+    return fast, special
 
 
 def _byte_level_pattern(spec: dict) -> str | None:
@@ -105,10 +111,10 @@ def _visible_bytes() -> dict[str, int]:
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a whole text and the closing id; a null text is empty."""
-    exact, fast, special = _encoders(path)
+    fast, special = _encoders(path)
     text = text or ""
     if fast is None or any(s in text for s in special):
-        ids = exact.encode(text, add_special_tokens=False).ids
+        ids = _exact(path).encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_ordinary(text)
     ids.append(END)
