@@ -18,7 +18,6 @@ Scoring is one scan without a shuffle.  Code lengths of a gram are computed
 once per Python worker and kept in a direct-mapped table of fixed size.
 """
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,6 @@ MIN_SCORE = 0.5
 _PAD = b"\n" * ORDER
 _SLOTS = 1 << 20
 _AT_ONCE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(data: bytes) -> np.ndarray:
@@ -141,7 +139,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior under equal priors); ``und`` with 0 for a text without a letter or without languages."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         bits = self.code_lengths(text)
         best = int(bits.argmin())

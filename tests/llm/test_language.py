@@ -53,6 +53,14 @@ def test_exact_code_lengths():
             assert model.code_lengths(text) == pytest.approx(want, rel=1e-5, abs=1e-6)
 
 
+def test_letters_and_ties():
+    model = model_of({"b": ["one and the same text"], "a": ["one and the same text"]})
+    for text in (None, "", " ", "12 ½ ² ① Ⅷ _ ٣", "!\ud800"):  # numbers, not letters, though regular expressions count some as word characters
+        assert model.predict(text) == (language.UNKNOWN, 0.0)
+    for text in ("é", "² б", "語", "ª"):
+        assert model.predict(text) == ("a", pytest.approx(0.5))  # equal code lengths: the first language in code point order
+
+
 def test_held_out_accuracy(spark):
     from cardloom.llm.catalogue import QUERIES
 
