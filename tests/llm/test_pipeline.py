@@ -4,11 +4,13 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_copies import brute as brute_copies
 from test_mixing import brute_whole
 from test_packing import check
 
 from cardloom.llm import language, toxicity
+from cardloom.session import checkpointed
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -73,3 +75,28 @@ def test_packing(spark, stages):
     check(done.collect(), [(r.doc_id, r.text) for r in docs.collect()], 2048)
     digest = lambda frame: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in frame.collect())
     assert digest(corpus_pipeline.run(spark, FOLDER)) == digest(done)
+
+
+EXTRA = ("node", "label", "key", "digest", "size", "score", "taken", "Text 2")
+
+
+def odd(spark):
+    """The documents with clashing extra columns, a null in every column in turn, and texts without a word."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(120)
+    first = docs.first().asDict()
+    rows = [{**first, name: None} for name in docs.columns] + [{**first, "doc_id": 900_000 + i, "text": t} for i, t in enumerate(("", " \n", "12 34 !"))]
+    more = spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema)
+    both = docs.unionByName(more)
+    return both.select("*", *[F.lit(i).alias(name) for i, name in enumerate(EXTRA)])
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_odd_tables_pass_every_stage(spark, rows):
+    docs = odd(spark) if rows == "odd" else odd(spark).limit(0)
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = checkpointed(stage(spark, docs, FOLDER))
+        if name != "packing":
+            assert docs.columns == names
+        assert (docs.count() > 0) == (rows == "odd")
+    assert "sequence_id" in docs.columns
