@@ -1,14 +1,19 @@
 """Near copies among texts: five-word shingles with a Jaccard similarity of at least 0.8.
 
-Each document has ``BANDS`` keys of ``ROWS`` minima of hashed shingles each.
-Documents that share a key are candidates: two at a similarity of 0.8 share
-none of 40 keys in 5 of a million cases.  Every link is decided by the exact
-Jaccard similarity of the two sets of 64-bit shingle hashes.
+Each document has the SimHash fingerprint of its set of hashed shingles, and
+fingerprints that differ in two bits at most, found by ``simhash.links``, make
+their documents candidates.  Most texts at a similarity of 0.8 differ in more
+bits, so each document also has ``BANDS`` keys of ``ROWS`` minima of hashed
+shingles each, and documents that share a key are candidates too: two at a
+similarity of 0.8 share none of 40 keys in 5 of a million cases.  Every link is
+decided by the exact Jaccard similarity of the two sets of 64-bit shingle hashes.
 
 Scale: documents shrink to their keys and a digest of their set, and those
 with equal sets to one row, whose text is the only one of them that is ever
 fetched.  Texts travel only where a key is shared, and are hashed again for
-the pairs that are compared, which takes less room than the sets.  Pairs are
+the pairs that are compared, which takes less room than the sets.  Sets with
+one fingerprint are compared with one of them, and linked fingerprints by one
+set of each, in the first round; what that leaves over the keys find.  Pairs are
 cut by size before any text is fetched: sets of less than 0.8 of the other's
 size are never that similar.  What is compared with one text comes in blocks
 of ``MEMBERS`` at most (on average), sorted behind it, so a task holds two
@@ -40,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.components import components
-from cardloom.llm.simhash import SEED
+from cardloom.llm.simhash import SEED, links, majority
 from cardloom.scale import clustered
 from cardloom.session import checkpointed
 
@@ -80,6 +85,12 @@ def keys(found: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint64).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed long; 0 for no hashes."""
+    bits = majority(found[at : at + _AT_ONCE] for at in range(0, len(found), _AT_ONCE))
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def mark(found: np.ndarray) -> np.ndarray:
     """``BITS`` bits as longs, each the parity of the hashes that fall on it."""
     odd = np.bincount((found % BITS).astype(np.int64), minlength=BITS) & 1
@@ -97,12 +108,13 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (("digest", pa.binary()), ("size", pa.int64()), ("mark", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())))
+    longs = pa.list_(pa.int64())
+    kinds = (("digest", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("mark", longs), ("keys", longs))
     for batch in batches:
         rows = []
         for text in batch.column(1):
             found = hashes(text.as_py())
-            rows.append((_digest(found), len(found), mark(found), keys(found)))
+            rows.append((_digest(found), len(found), fingerprint(found), mark(found), keys(found)))
         columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[name for name, _ in kinds]])
     pa.default_memory_pool().release_unused()
@@ -154,6 +166,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return clustered(told, ["centre", "block"], ["node"]).mapInArrow(run, "a bigint, b bigint")
 
 
+def _near_prints(sets: DataFrame, least: float) -> DataFrame:
+    """(centre, node, there, label): sets of one fingerprint beside one of them, and one set each of fingerprints within two bits."""
+    heads = checkpointed(sets.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")).select("fp", "head.*"))
+    centres = heads.select("fp", F.col("node").alias("centre"), F.col("size").alias("m"))
+    same = sets.select("fp", "node", "size").join(centres, "fp").filter("node <> centre")
+    near = (
+        links(heads.select("fp"))
+        .distinct()
+        .join(centres.withColumnRenamed("fp", "a"), "a")
+        .join(heads.withColumnRenamed("fp", "b"), "b")
+    )
+    columns = ["centre", "node", "size", "m"]
+    both = same.select(*columns).unionByName(near.select(*columns)).filter(_close("size", "m", least))
+    return both.select("centre", "node", F.col("centre").alias("there"), F.col("node").alias("label"))
+
+
 def _met(left: DataFrame, least: float) -> DataFrame:
     """(centre, node, there, label): the rows of each key that are not of its centre's component, beside the centre."""
     centre = left.filter("node = centre").select("key", F.col("label").alias("there"), F.col("size").alias("m"))
@@ -220,17 +248,19 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     other.  An empty table gives an empty table.
     """
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = checkpointed(text.mapInArrow(_signed, "doc_id bigint, digest binary, size bigint, mark array<bigint>, keys array<bigint>"))
+    signed = checkpointed(text.mapInArrow(_signed, "doc_id bigint, digest binary, size bigint, fp bigint, mark array<bigint>, keys array<bigint>"))
     sets = checkpointed(
         signed.groupBy("digest")
-        .agg(F.first("size").alias("size"), F.first("mark").alias("mark"), F.first("keys").alias("keys"), F.min("doc_id").alias("pick"))
+        .agg(*[F.first(c).alias(c) for c in ("size", "fp", "mark", "keys")], F.min("doc_id").alias("pick"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     keyed = sets.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     live = checkpointed(keyed.join(shared, "key"))
+    prints = checkpointed(_near_prints(sets, least))
     named = signed.join(sets.select("digest", "node"), "digest").select("doc_id", "node")
-    asked = sets.select(F.col("digest").alias("of"), "pick", "node").join(live.select("node").distinct(), "node")
+    nodes = live.select("node").unionByName(prints.select("node")).unionByName(prints.select(F.col("centre").alias("node"))).distinct()
+    asked = sets.select(F.col("digest").alias("of"), "pick", "node").join(nodes, "node")
     drawn = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("pick"))
     named_so = F.col("doc_id").eqNullSafe(F.col("pick"))
     texts = checkpointed(
@@ -243,17 +273,18 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     words = F.struct(*[F.col("mark")[i].alias(f"w{i}") for i in range(BITS // 64)])
     marks = sets.select("node", words.alias("mark"))
-    labels = live.select("node").distinct().withColumn("label", F.col("node"))
+    labels = nodes.withColumn("label", F.col("node"))
     state = live.withColumn("label", F.col("node"))
     for turn in range(STARS + 1):
         several = state.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")
         )
         left = checkpointed(state.join(several.filter("low < high").select("key", "centre"), "key"))
-        if left.isEmpty():
+        if turn and left.isEmpty():
             break
         met = _met(left, least) if turn < STARS else _all_met(_rarest(left, texts, marks, least), least)
-        pairs = checkpointed(met.select("centre", "node", "there", "label").distinct())
+        met = met.select("centre", "node", "there", "label")
+        pairs = checkpointed((met if turn else met.unionByName(prints)).distinct())
         merged = components(_linked(pairs, texts, least), "a", "b").withColumnRenamed("node", "label")
         labels = checkpointed(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
         state = left.select("key", "node", "size").join(labels, "node")

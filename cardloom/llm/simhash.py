@@ -17,7 +17,7 @@ times the key's fingerprints instead of their square, and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -65,13 +65,17 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     """64-bit SimHash: a bit is set if it is set in over half of the shingles' hashes; 0 without words."""
     grams = shingles(text, n)
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(grams), _HASHES_AT_ONCE):
-        part = grams[at : at + _HASHES_AT_ONCE]
-        hashes = np.fromiter((digest(g, SEED) for g in part), np.uint64, len(part))
+    parts = (grams[at : at + _HASHES_AT_ONCE] for at in range(0, len(grams), _HASHES_AT_ONCE))
+    return majority(np.fromiter((digest(g, SEED) for g in part), np.uint64, len(part)) for part in parts)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes, which come in parts."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    ones = np.packbits((2 * counts > len(grams)).astype(np.uint8), bitorder="little")
+        counts, n = counts + bits.sum(axis=0, dtype=np.int64), n + len(hashes)
+    ones = np.packbits((2 * counts > n).astype(np.uint8), bitorder="little")
     return int(ones.view("<u8")[0])
 
 

@@ -24,7 +24,12 @@ def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each component of near copies (five-word Jaccard similarity of 0.8 or more) the document with the smallest id stays."""
+    """Of each component of near copies the document with the smallest id stays.
+
+    SimHash fingerprints within two bits, and shared keys of minima for what
+    differs in more, give the candidates; five-word Jaccard similarity of 0.8
+    or more decides.
+    """
     ship_package(spark)
     return copies.one_of_each(docs)
 

@@ -4,9 +4,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from test_simhash import brute_components
 
-from cardloom.llm import copies
+from cardloom.llm import copies, simhash
 
 DOCS = "doc_id bigint, text string, component_id int"
 
@@ -110,3 +111,36 @@ def test_group_below_the_limit_meets_no_one(spark, monkeypatch):
     monkeypatch.setattr(copies, "_linked", lambda pairs, *rest: asked.append(pairs.count()) or linked(pairs, *rest))
     assert sorted(map(tuple, copies.near_copies(spark.createDataFrame(rows, DOCS)).collect()), key=str) == brute(rows)
     assert 1 <= sum(asked) < 60
+
+
+def test_fingerprints_alone_find_copies(spark, monkeypatch):
+    """Sets whose SimHash differs in two bits at most are compared even if they share no key; the exact similarity decides."""
+    rng = random.Random(5)
+    rows = []
+    for group in range(12):
+        words = [f"g{group}w{rng.randrange(900)}" for _ in range(600)]
+        for i in range(3):
+            changed = list(words)
+            if i:
+                changed[rng.randrange(600)] = f"new{group}{i}"
+            rows.append((len(rows), " ".join(changed), 1))
+    prints = [copies.fingerprint(copies.hashes(t)) for _, t, _ in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert 4 <= len(near) and any(prints[i] != prints[j] for i, j in near)
+    signed = copies._signed
+
+    def without_keys(batches):
+        for batch in signed(batches):
+            none = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            yield batch.set_column(batch.schema.get_field_index("keys"), "keys", none)
+
+    monkeypatch.setattr(copies, "_signed", without_keys)
+    label = brute_components(range(len(rows)), near)
+    found = {r.doc_id: r.component_id for r in copies.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == {i: label[i] for i in range(len(rows))}
+
+
+def test_fingerprint_of_a_set_is_simhash():
+    text = "a b c d e f g h i j k l"
+    assert copies.fingerprint(copies.hashes(text)) % (1 << 64) == simhash.fingerprint(text, copies.WORDS)
+    assert copies.fingerprint(copies.hashes("")) == 0
