@@ -48,6 +48,8 @@ FLOOR = -2.0
 _WINDOW = 32
 _CACHE = 300_000
 _AT_ONCE = 2000
+_MARKED_AT_ONCE = 200
+"""Units compared with all landmarks at once; each of their subsequences takes a row of doubles."""
 _SLOTS = 1 << 17
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -152,8 +154,8 @@ class Machine:
 
     def margins(self, found: list[str]) -> np.ndarray:
         out = np.full(len(found), self.bias)
-        for at in range(0, len(found), 5 * _AT_ONCE):
-            part = found[at : at + 5 * _AT_ONCE]
+        for at in range(0, len(found), _AT_ONCE):
+            part = found[at : at + _AT_ONCE]
             of, key, weight = occurrences(part)
             hit, row = self.lookup.find(key)
             out[at : at + len(part)] += np.bincount(of[hit], weights=weight[hit] * self.weights[row], minlength=len(part))
@@ -178,6 +180,7 @@ class Machine:
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
     """Weights and bias of a squared-hinge SVM by Newton steps on its active set."""
     design = np.column_stack([x, np.ones(len(x))])
+    del x
     w = np.zeros(design.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
@@ -187,8 +190,10 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -
         if active is not None and (now == active).all():
             break
         active = now
-        rows = design[active] * cost[active, None]
-        w = np.linalg.solve(design[active].T @ rows + np.diag(penalty), rows.T @ y[active])
+        inner = design[active]
+        rows = inner * cost[active, None]
+        w = np.linalg.solve(inner.T @ rows + np.diag(penalty), rows.T @ y[active])
+        del inner, rows
     return w[:-1], float(w[-1])
 
 
@@ -204,8 +209,8 @@ class Kernel:
 
     def __call__(self, names: list[str]) -> np.ndarray:
         out = np.zeros((len(names), self.maps.shape[1]), np.float32)
-        for at in range(0, len(names), _AT_ONCE):
-            of, key, weight = occurrences(names[at : at + _AT_ONCE])
+        for at in range(0, len(names), _MARKED_AT_ONCE):
+            of, key, weight = occurrences(names[at : at + _MARKED_AT_ONCE])
             hit, row = self.lookup.find(key)
             order = np.argsort(of[hit], kind="stable")
             own = of[hit][order]
