@@ -62,7 +62,7 @@ def token_list(text: str) -> list[str]:
 class TokenCodes(dict):
     """Bounded cache from a token to ``2 * bucket + positive``, one per task."""
 
-    limit = 500_000
+    limit = 100_000
 
     def __missing__(self, token: str) -> int:
         value = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
@@ -72,7 +72,7 @@ class TokenCodes(dict):
         return code
 
 
-def count_matrix(texts, codes: TokenCodes, tokens_at_once: int = 2_000_000) -> np.ndarray:
+def count_matrix(texts, codes: TokenCodes, tokens_at_once: int = 250_000) -> np.ndarray:
     """Rows of signed token counts, one row per text; exact integers held in float64."""
     out = np.zeros((len(texts), fixed.VECTOR_DIM))
     first, lists, held = 0, [], 0

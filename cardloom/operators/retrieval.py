@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from cardloom import fixed_values as fixed
 from cardloom.functions import vectors as vec
 from cardloom.functions.text import exact_round
-from cardloom.scale import top_per_key
+from cardloom.scale import slices, top_per_key
 from cardloom.session import checkpointed
 
 MAX_BROADCAST_QUESTIONS = 10_000
@@ -37,7 +37,7 @@ MAX_BROADCAST_HITS = 500_000
 QUESTIONS_PER_BLOCK = 2_000
 CARDS_PER_BLOCK = 50_000
 CHARS_PER_BLOCK = 200_000_000
-SCORE_CELLS = 4_000_000
+SCORE_CELLS = 1_000_000
 MAX_PRUNED_COURSES = 500
 
 # ---- card texts -------------------------------------------------------------
@@ -111,7 +111,7 @@ def counted_cards(cards: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = vec.TokenCodes()
-        for pdf in batches:
+        for pdf in slices(batches):
             lexical = vec.count_matrix(pdf["lexical_text"].tolist(), codes).astype(np.int32)
             extra = vec.count_matrix(pdf["example_text"].tolist(), codes).astype(np.int32)
             yield pdf.drop(columns=["keywords", "lexical_text", "example_text"]).assign(
@@ -319,7 +319,7 @@ def _by_broadcast(questions: DataFrame, cards: DataFrame, limits: _Limits) -> Da
         codes = vec.TokenCodes()
         ready: dict[str, _Questions] = {}
         kept: dict[str, dict] = {}
-        for pdf in batches:
+        for pdf in slices(batches):
             for course, part in pdf.groupby("course", sort=False):
                 if course not in shared.value:
                     continue
@@ -520,7 +520,7 @@ def pair_lexical(pairs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = vec.TokenCodes()
-        for pdf in batches:
+        for pdf in slices(batches):
             asked = vec.count_matrix(pdf["question"].tolist(), codes)
             offered = vec.count_matrix(pdf["lexical_text"].tolist(), codes)
             near = np.einsum("ij,ij->i", asked, offered) / (vec.norms(offered) * vec.norms(asked))
@@ -625,7 +625,7 @@ def vector_rows(cards: DataFrame) -> DataFrame:
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = vec.TokenCodes()
-        for pdf in batches:
+        for pdf in slices(batches):
             counts = vec.count_matrix(pdf["document"].tolist(), codes).astype(np.int32)
             yield pdf.assign(weights=list(counts))
 
@@ -709,7 +709,7 @@ def _dense_slice(queries: DataFrame, rows: DataFrame, n: int) -> DataFrame:
         kept = None
         if not len(qids):
             return
-        for pdf in batches:
+        for pdf in slices(batches):
             if not pdf.empty:
                 offered = np.stack(pdf["vector"].to_list()).astype(np.float64)
                 kept = _dense_best(qids, matrix, pdf["ord"].to_numpy(np.int64), offered, n, kept)

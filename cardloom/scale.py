@@ -9,10 +9,11 @@ course is then spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -22,6 +23,7 @@ from cardloom.session import checkpointed
 BLOCK = "_block"
 ROWS_PER_BLOCK = 1_000_000
 FILES_PER_BLOCK = 50_000
+ROWS_AT_ONCE = 1_000
 
 # "max_before" leaves out the current row
 _AGGREGATES = {"sum": F.sum, "max": F.max, "max_before": F.max}
@@ -154,7 +156,8 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # kept, or every reader of the result would count all rows again
+    starts = checkpointed(sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.withColumn("_part", part)
@@ -164,6 +167,13 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     )
 
 
+def slices(frames: Iterator[pd.DataFrame], rows: int = ROWS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Frames of at most ``rows`` rows, for functions whose memory grows with the rows they hold at once."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows].reset_index(drop=True)
+
+
 def clustered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """All rows of a key in one partition, sorted by key and ``order``, for functions over sorted streams.
 
