@@ -26,7 +26,7 @@ from cardloom import fixed_values as fixed
 from cardloom.functions import text as tx
 from cardloom.functions import vectors as vec
 from cardloom.operators import retrieval as rt
-from cardloom.scale import top_per_key
+from cardloom.scale import slices, top_per_key
 from cardloom.session import checkpointed
 from cardloom.sources.coarse import NO_LIST, CoarseIndex, centroid_lots, unit
 from cardloom.sources.postings import BLOCK, PostingTable, cell_term, term_bucket
@@ -185,27 +185,32 @@ def blocks_read(questions: DataFrame, table: PostingTable, k: int) -> DataFrame:
 MAX_PRUNED_LISTS = 5_000
 
 
-def _opened(asked: list, index: CoarseIndex, probes: int) -> dict[tuple[str, int], list]:
-    """Questions by the (course, list) that each of them opens."""
-    by_course: dict[str, list] = {}
-    for r in asked:
-        by_course.setdefault(r["course"], []).append((r["qid"], r["question"] or ""))
-    opened: dict[tuple[str, int], list] = {(course, NO_LIST): pairs for course, pairs in by_course.items()}
+def _opened(by_course: dict[str, list], index: CoarseIndex, probes: int) -> dict[tuple[str, int], np.ndarray | None]:
+    """Places, among the questions of a course, of those that open a (course, list); None for all of them."""
+    opened: dict[tuple[str, int], np.ndarray | None] = {(course, NO_LIST): None for course in by_course}
     codes = vec.TokenCodes()
     for lot in centroid_lots(index.centroids().filter(F.col("course").isin(*by_course))):
         for course, centres in lot.items():
             pairs = by_course[course]
+            if probes >= len(centres):
+                opened |= {(course, number): None for number in range(len(centres))}
+                continue
             near = unit(vec.count_matrix([q for _, q in pairs], codes)) @ centres.T
-            for pair, lists in zip(pairs, np.argsort(-near, axis=1, kind="stable")[:, :probes]):
-                for number in lists:
-                    opened.setdefault((course, int(number)), []).append(pair)
+            lists = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            order = np.argsort(lists, axis=None, kind="stable")
+            numbers, first = np.unique(lists.ravel()[order], return_index=True)
+            places = np.split((order // lists.shape[1]).astype(np.int32), first[1:])
+            opened |= {(course, int(number)): own for number, own in zip(numbers, places)}
     return opened
 
 
 def _list_hits(questions: DataFrame, index: CoarseIndex, n: int, probes: int) -> DataFrame:
     asked = questions.filter("course IS NOT NULL").select("qid", "course", "question").collect()  # the caller has measured them
-    opened = _opened(asked, index, probes) if asked else {}
-    shared = questions.sparkSession.sparkContext.broadcast(opened)
+    pairs_of: dict[str, list] = {}
+    for r in asked:
+        pairs_of.setdefault(r["course"], []).append((r["qid"], r["question"] or ""))
+    opened = _opened(pairs_of, index, probes) if asked else {}
+    shared = questions.sparkSession.sparkContext.broadcast((pairs_of, opened))
     where = None
     if len(opened) <= MAX_PRUNED_LISTS:  # reaches the scan as a partition filter
         by_course: dict[str, list[int]] = {}
@@ -217,16 +222,27 @@ def _list_hits(questions: DataFrame, index: CoarseIndex, n: int, probes: int) ->
     limits = rt._Limits(0, n)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, kept, sides = vec.TokenCodes(), {}, {}
-        for pdf in frames:
+        # a course's questions once, and those of the list at hand: lists may be many more than fit together
+        pairs, lists = shared.value
+        codes, whole, last, some = vec.TokenCodes(), {}, None, None
+        kept: dict[str, dict] = {}
+        for pdf in slices(frames):
             for key, part in pdf.groupby(["course", "list"], sort=False):
-                if key in shared.value:
-                    if key not in sides:
-                        qids, texts = zip(*shared.value[key])
-                        sides[key] = rt._Questions(list(qids), list(texts), codes)
-                    kept[key] = rt._best(sides[key], rt._card_batch(part, codes), limits, kept.get(key))
-        for key, rows in kept.items():
-            yield rt._frame(key[0], sides[key], rows)
+                if key not in lists:
+                    continue
+                course, own = key[0], lists[key]
+                if course not in whole:
+                    whole[course] = rt._Questions(*map(list, zip(*pairs[course])), codes)
+                if own is not None and key != last:
+                    last, some = key, rt._Questions(*map(list, zip(*[pairs[course][i] for i in own])), codes)
+                found = rt._best(whole[course] if own is None else some, rt._card_batch(part, codes), limits, None)
+                if own is not None:
+                    found["q"] = own[found["q"]]
+                if course in kept:
+                    found = rt._trim({k: np.concatenate([kept[course][k], found[k]]) for k in found}, limits)
+                kept[course] = found
+        for course, rows in kept.items():
+            yield rt._frame(course, whole[course], rows)
 
     return index.rows(where).mapInPandas(score, rt._result_schema(questions))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import vectors as vec
 from cardloom.operators import retrieval as rt
-from cardloom.scale import top_per_key
+from cardloom.scale import slices, top_per_key
 from cardloom.session import checkpointed
 
 SAMPLE = 5_000
@@ -201,7 +201,7 @@ def _assigned(rows: DataFrame, centres: DataFrame) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(lot)
 
         def assign(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
+            for pdf in slices(frames):
                 pdf = pdf[pdf["course"].isin(shared.value)].reset_index(drop=True)
                 found = np.zeros(len(pdf), np.int32)
                 for course, at in pdf.groupby("course", sort=False).indices.items():
