@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardloom import fixed_values as fixed
+from cardloom.scale import slices
 
 DISTIL_INSTRUCTION = (
     "Extract study cards from the given text only. Return one JSON object {\"cards\": [...]}; each card has id, topic, "
@@ -102,7 +103,7 @@ def call_rows(
             return None, f"{type(exc).__name__}: {exc}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             told = [outcome(r) for r in pdf.to_dict("records")]
             yield pdf[columns].assign(**{name: [t[i] for t in told] for i, name in enumerate(added)})
 
