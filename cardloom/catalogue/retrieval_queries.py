@@ -170,8 +170,9 @@ def vector_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def hybrid_topk_stored(spark: SparkSession, folder: str) -> DataFrame:
     questions, rows = t.questions(spark, folder), _vector_store(spark, folder).read()
-    hits = r.hybrid_topk(questions, rows, 5)
-    named = hits.join(rows.select("course", "card_id", "topic", "kind", "chapter"), ["course", "card_id"])
+    small = r.questions_fit(questions)
+    hits = r.hybrid_topk(questions, rows, 5, small=small)
+    named = r.attach_cards(hits, rows.withColumnRenamed("card_id", "id"), ["topic", "kind", "chapter"], small, 5)
     return named.select(
         "qid",
         "course",

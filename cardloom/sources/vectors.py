@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +41,9 @@ class VectorTable:
         """Rows that ``candidates``, ``lexical_topk``, ``vector_topk`` and ``hybrid_topk`` take in place of cards."""
         return self._stored().drop("bucket")
 
-    def _write(self, rows: DataFrame) -> None:
+    def _save(self, rows: DataFrame) -> None:
         (
-            rows.repartitionByRange("course", "bucket", "ord")
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("course", "bucket")
             .parquet(self.path)
@@ -62,13 +61,16 @@ class VectorTable:
         ).partitionBy("course", "bucket").parquet(self.path)
 
     def upsert(self, cards: DataFrame) -> None:
-        """Vectors of new and changed cards (unique ids per course); only their partitions are read and rewritten."""
+        """Vectors of new and changed cards (unique ids per course); only their partitions are read and rewritten.
+
+        Stored and new rows meet in one range shuffle by (course, bucket, id), where a stored row goes if a new one has its id.
+        """
         incoming = checkpointed(self._rows(cards))
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            self._write(incoming)
+            self._save(incoming.repartitionByRange("course", "bucket", "ord"))
             return
-        parts = incoming.select("course", "bucket").distinct()
+        parts = checkpointed(incoming.select("course", "bucket").distinct())
         known = parts.limit(self.MAX_PRUNED + 1).collect()
         stored = self._stored()
         if len(known) <= self.MAX_PRUNED:
@@ -77,5 +79,9 @@ class VectorTable:
             )
             parts = F.broadcast(parts)
         touched = stored.join(parts, ["course", "bucket"], "left_semi")
-        kept = touched.join(incoming.select("course", "card_id"), ["course", "card_id"], "left_anti")
-        self._write(checkpointed(kept.select(*incoming.columns).unionByName(incoming)))
+        both = touched.select(*incoming.columns, F.lit(False).alias("_new")).unionByName(incoming.withColumn("_new", F.lit(True)))
+        keys = ["course", "bucket", "card_id"]
+        newest = F.max("_new").over(Window.partitionBy(*keys))
+        met = both.repartitionByRange(*keys).withColumn("_newest", newest)
+        merged = met.filter(F.col("_new") | ~F.col("_newest") | F.col("card_id").isNull()).drop("_new", "_newest")
+        self._save(checkpointed(merged))
