@@ -9,7 +9,7 @@ from cardloom import fixed_values as fixed
 from cardloom.catalogue import tables as t
 from cardloom.operators import cards as ops
 from cardloom.scale import ranked
-from cardloom.session import shared_table
+from cardloom.session import checkpointed, shared_table
 from cardloom.sources.cards import CardTable, load_cards, safe_chapter_file, safe_name, write_jsonl
 
 _EMPTY = ("prerequisites", "error_notes")
@@ -148,13 +148,11 @@ def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Cards of all courses written as JSON lines, one folder per course, and read back in their order."""
     path = shared_table(spark, "jsonl")
     write_jsonl(t.cards(spark, folder), path)
-    back = load_cards(spark, path)
-    place = ranked(back, "ord", "place").groupBy("course").agg(F.min("place").alias("first"))
-    return (
-        ranked(back, "ord", "place")
-        .join(place, "course")
-        .select("course", "id", "kind", F.size("steps").cast("bigint").alias("n_steps"), (F.col("place") - F.col("first")).alias("place"))
-    )
+    # read and parsed once, and without the texts: ranking looks at its rows twice
+    back = checkpointed(load_cards(spark, path).select("course", "id", "kind", F.size("steps").cast("bigint").alias("n_steps"), "ord"))
+    rows = ranked(back, "ord", "place")
+    place = rows.groupBy("course").agg(F.min("place").alias("first"))
+    return rows.join(place, "course").select("course", "id", "kind", "n_steps", (F.col("place") - F.col("first")).alias("place"))
 
 
 def upsert_twice(spark: SparkSession, folder: str) -> DataFrame:
