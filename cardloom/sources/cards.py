@@ -94,13 +94,17 @@ class CardTable:
     def read(self) -> DataFrame:
         return self._stored().select(*CARD_COLUMNS, "ord")
 
-    def touched(self, incoming: DataFrame) -> DataFrame:
+    def _parts(self, incoming: DataFrame) -> DataFrame:
+        """Partitions that a batch falls into; kept, since they are read several times."""
+        return checkpointed(incoming.select("course", self._bucket().alias("bucket")).distinct())
+
+    def touched(self, incoming: DataFrame, parts: DataFrame | None = None) -> DataFrame:
         """Stored rows, with ``bucket``, of the partitions that a batch falls into.
 
         The batch's partitions, at most ``MAX_PRUNED``, reach the scan as
         partition filters; a batch of more is joined.
         """
-        parts = incoming.select("course", self._bucket().alias("bucket")).distinct()
+        parts = self._parts(incoming) if parts is None else parts
         known = parts.limit(self.MAX_PRUNED + 1).collect()
         stored = self._stored()
         if len(known) <= self.MAX_PRUNED:
@@ -134,9 +138,10 @@ class CardTable:
             merged = ops.last_per_id(incoming).withColumn("is_new", F.lit(True))
         else:
             # only positions are read of the courses' other partitions
-            ends = self._stored().join(incoming.select("course").distinct(), "course", "left_semi")
+            parts = self._parts(incoming)
+            ends = self._stored().join(parts.select("course").distinct(), "course", "left_semi")
             end = ends.agg(F.max("ord")).first()[0]
-            merged = ops.upsert(self.touched(incoming).drop("bucket"), incoming, end=end)
+            merged = ops.upsert(self.touched(incoming, parts).drop("bucket"), incoming, end=end)
         merged = checkpointed(merged.withColumn("bucket", self._bucket()))
         (
             merged.drop("is_new")
