@@ -259,7 +259,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     live = checkpointed(keyed.join(shared, "key"))
     prints = checkpointed(_near_prints(sets, least))
     named = signed.join(sets.select("digest", "node"), "digest").select("doc_id", "node")
-    nodes = live.select("node").unionByName(prints.select("node")).unionByName(prints.select(F.col("centre").alias("node"))).distinct()
+    nodes = live.select("node").unionByName(prints.select(F.explode(F.array("node", "centre")).alias("node"))).distinct()
     asked = sets.select(F.col("digest").alias("of"), "pick", "node").join(nodes, "node")
     drawn = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("pick"))
     named_so = F.col("doc_id").eqNullSafe(F.col("pick"))
@@ -283,9 +283,11 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn and left.isEmpty():
             break
         met = _met(left, least) if turn < STARS else _all_met(_rarest(left, texts, marks, least), least)
-        met = met.select("centre", "node", "there", "label")
-        pairs = checkpointed((met if turn else met.unionByName(prints)).distinct())
-        merged = components(_linked(pairs, texts, least), "a", "b").withColumnRenamed("node", "label")
+        pairs = checkpointed(met.select("centre", "node", "there", "label").distinct())
+        found = _linked(pairs, texts, least)
+        if not turn:
+            found = found.unionByName(_linked(prints, texts, least))
+        merged = components(found, "a", "b").withColumnRenamed("node", "label")
         labels = checkpointed(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
         state = left.select("key", "node", "size").join(labels, "node")
 
