@@ -106,12 +106,12 @@ class Index:
     def squared_distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of whole queries to coded members of list ``at``, from one table per subspace."""
         left = queries - self.centres[at]
-        out = np.zeros((len(queries), len(codes)))
+        out = np.zeros((len(codes), len(queries)))  # by member: a code copies one row of a table for all queries
         for i, (cut, words) in enumerate(zip(self.cuts, self.words)):
             part = left[:, cut]
             table = (part * part).sum(axis=1)[:, None] + (words * words).sum(axis=1) - 2 * part @ words.T
-            out += table[:, codes[:, i]]
-        return out
+            out += np.take(np.ascontiguousarray(table.T), codes[:, i], axis=0)
+        return out.T
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -122,6 +122,14 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull() & fine)
 
 
+def _counted(linked: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row the sum of the sizes of the columns it links."""
+    out = np.zeros(len(linked), np.int64)
+    for at in range(0, len(linked), 256):
+        out[at : at + 256] = (linked[at : at + 256] @ sizes.astype(float)).astype(np.int64)
+    return out
+
+
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges that span the bipartite links in a matrix; columns are numbered after the rows."""
     n_rows = len(linked)
@@ -194,15 +202,23 @@ def _compare(index: Index, queries: pd.DataFrame, members: pd.DataFrame, cosine:
         cols, asking = np.flatnonzero(lists == at), np.flatnonzero(probed[:, i])
         for part in range(0, len(asking), 512):
             rows = asking[part : part + 512]
-            near = index.squared_distances(x[rows], at, codes[cols]) <= reach[cols]
-            linked[np.ix_(rows, cols)] = _exact(x[rows], y[cols], near, cosine)
+            near = index.squared_distances(x[rows], at, codes[cols]).T <= reach[cols, None]
+            if near.any():
+                c, r = np.nonzero(_exact(y[cols], x[rows], near, cosine))
+                linked[rows[r], cols[c]] = True
     names = np.r_[queries["cls"].to_numpy(), members["cls"].to_numpy()]
     if same:
         np.fill_diagonal(linked, False)
-    found = linked @ members["size"].to_numpy().astype(float)
-    back = np.zeros(len(y)) if same else queries["size"].to_numpy().astype(float) @ linked
-    counts = pd.DataFrame({"cls": names, "n": np.r_[found, back].astype(np.int64)})
-    return counts[counts["n"] > 0], [(int(names[a]), int(names[b])) for a, b in _forest(linked)]
+    # links are few among spread vectors: only rows and columns with one are counted and spanned
+    rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    linked = linked[np.ix_(rows, cols)]
+    n = np.zeros(len(names), np.int64)
+    n[rows] = _counted(linked, members["size"].to_numpy()[cols])
+    if not same:
+        n[len(x) + cols] = _counted(linked.T, queries["size"].to_numpy()[rows])
+    ends = names[np.r_[rows, len(x) + cols]]
+    counts = pd.DataFrame({"cls": names, "n": n})
+    return counts[counts["n"] > 0], [(int(ends[a]), int(ends[b])) for a, b in _forest(linked)]
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:

@@ -1,6 +1,10 @@
 """Product-quantised near-duplicates against brute force."""
 
+import tracemalloc
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from cardloom.llm import vectors
@@ -94,3 +98,34 @@ def test_group_split_over_many_lists(spark):
     assert want.max() >= 2300
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
     assert got == dict(enumerate(want.tolist()))
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_a_pair_of_blocks_takes_no_matrix_of_doubles(same):
+    """Blocks with few links are counted without turning all their pairs into doubles; counts and edges are those of all pairs."""
+    rng = np.random.default_rng(5)
+    n = 1500
+    points = rng.normal(size=(2 * n, 16))
+    points[n : n + 5] = points[:5] + 0.01
+    points[n - 3 : n] = points[n - 4] + 0.01
+    unit = vectors.unit(points)
+    index = vectors.Index(unit, 12)
+    own = vectors.nearest(unit, index.centres, 1)[:, 0]
+    codes, error = index.code(unit, own)
+    frame = pd.DataFrame(
+        {"cls": np.arange(2 * n), "size": 1 + np.arange(2 * n) % 3, "v": [vectors._packed(v) for v in points], "list": own}
+    ).assign(codes=[c.tobytes() for c in codes], error=error)
+    queries, members = frame[:n], (frame[:n] if same else frame[n:]).reset_index(drop=True)
+    tracemalloc.start()
+    counts, edges = vectors._compare(index, queries, members, 0.95, same)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    linked = vectors.unit(points[:n]) @ vectors.unit(points[members["cls"]]).T >= 0.95
+    if same:
+        np.fill_diagonal(linked, False)
+    want = Counter(dict(zip(queries["cls"].tolist(), (linked @ members["size"].to_numpy()).tolist())))
+    if not same:
+        want.update(dict(zip(members["cls"].tolist(), (queries["size"].to_numpy() @ linked).tolist())))
+    assert dict(zip(counts["cls"], counts["n"])) == +want and len(+want) >= 4
+    assert {frozenset(e) for e in edges} <= {frozenset((int(queries["cls"][a]), int(members["cls"][b]))) for a, b in zip(*np.nonzero(linked))}
+    assert peak < 8 * n * n
