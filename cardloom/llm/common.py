@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: a longest run of characters other than space and the ASCII controls 9 to 13."""
+ROWS_AT_ONCE = 500
+"""Rows of an Arrow batch that are worked on, and passed on, at once."""
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +29,22 @@ def hash_order(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of ``ROWS_AT_ONCE``; behind the last one, memory goes back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+    release()
+
+
+def release() -> None:
+    """Give memory that nothing holds any more back to the system: workers outlive their tasks, and wait through stages without Python."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def renamed_apart(df: DataFrame) -> DataFrame:
     """The same columns as new attributes, for a co-group of two tables that come from one."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -44,6 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardloom.llm.common import slices
 from cardloom.llm.components import components
 from cardloom.llm.simhash import SEED, links, majority
 from cardloom.scale import clustered
@@ -110,21 +111,19 @@ def _digest(found: np.ndarray) -> bytes:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
     kinds = (("digest", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("mark", longs), ("keys", longs))
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column(1):
             found = hashes(text.as_py())
             rows.append((_digest(found), len(found), fingerprint(found), mark(found), keys(found)))
         columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[name for name, _ in kinds]])
-    pa.default_memory_pool().release_unused()
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         digests = pa.array([_digest(hashes(t.as_py())) for t in batch.column(1)], pa.binary())
         yield pa.RecordBatch.from_arrays([digests, *batch.columns], ["digest", "doc_id", "text"])
-    pa.default_memory_pool().release_unused()
 
 
 def _close(n: str, m: str, least: float) -> Column:
@@ -139,7 +138,8 @@ def _apart(n: str, m: str, least: float) -> Column:
 
 def _flips(a: str, b: str) -> Column:
     """Bits that two marks differ in."""
-    return sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(BITS // 64)), F.lit(0))
+    apart = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))  # unrolled, its code is large in every executor
+    return F.aggregate(apart, F.lit(0), lambda n, m: n + m)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -147,7 +147,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in batches:
+        for batch in slices(batches):
             alike = []
             for node, text in zip(batch.column("node"), batch.column("text")):
                 found = hashes(text.as_py())
@@ -155,7 +155,6 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     own = found
                 alike.append(node.is_valid and similarity(own, found) >= least)
             yield batch.select(["there", "label"]).filter(pa.array(alike, pa.bool_())).rename_columns(["a", "b"])
-        pa.default_memory_pool().release_unused()
 
     sizes = pairs.groupBy("centre").agg(F.floor(F.count("*") / MEMBERS).alias("more"))
     dealt = pairs.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("more") + 1)).drop("more")
@@ -195,12 +194,11 @@ def _rarest(left: DataFrame, texts: DataFrame, marks: DataFrame, least: float) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for node, size, text in zip(batch.column("node"), batch.column("size"), batch.column("text")):
                 found = hashes(text.as_py()).view(np.int64)
                 columns = [np.full(len(found), node.as_py()), np.full(len(found), size.as_py()), found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "size", "key"])
-        pa.default_memory_pool().release_unused()
 
     nodes = left.select("node", "label", "size").distinct()
     grams = texts.join(nodes, "node").select("node", "size", "text").mapInArrow(run, "node bigint, size bigint, key bigint")
@@ -271,8 +269,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         .agg(F.min("text").alias("text"))  # of rows repeated under one id; texts with equal sets are as good as each other
     )
 
-    words = F.struct(*[F.col("mark")[i].alias(f"w{i}") for i in range(BITS // 64)])
-    marks = sets.select("node", words.alias("mark"))
+    marks = sets.select("node", "mark")
     labels = nodes.withColumn("label", F.col("node"))
     state = live.withColumn("label", F.col("node"))
     for turn in range(STARS + 1):

@@ -21,13 +21,12 @@ once per Python worker and kept in a direct-mapped table of fixed size.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from cardloom.llm.common import fold, hash_order
+from cardloom.llm.common import fold, hash_order, release
 from cardloom.scale import top_per_key
 
 ORDER = 4
@@ -171,11 +170,14 @@ def predictor(docs: DataFrame, model: Model):
     """Function from a text column to a struct (lang, score), with the model broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("lang string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("lang string, score double")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for texts in parts:
-            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
+        for texts in parts:  # never a batch as Python strings
+            found = [own.predict(t.as_py()) for t in texts]
+            langs, scores = (pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64())))
+            yield pa.StructArray.from_arrays([langs, scores], ["lang", "score"])
+        release()
 
     return predict
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm.common import release, slices
 from cardloom.session import checkpointed
 
 CAPACITY = 2048
@@ -132,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * ids]
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = token_ids(text.as_py(), path)
@@ -218,6 +219,7 @@ def _leaves(capacity: int):
                 yield go()
         if any(map(len, waiting)):
             yield go()
+        release()
 
     return run
 
@@ -232,6 +234,8 @@ def _inner(capacity: int, last: bool):
             own = own.sort_values(["node", "bin", "offset"], kind="stable", ignore_index=True)
             own["bin"] = own.groupby(["node", "bin"], sort=True).ngroup()
             yield _packed(own, int(node), 0, capacity, last).drop(columns="parent")
+        del held, rows, own
+        release()
 
     return run
 

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from cardloom.llm.common import fold, hash_order
+from cardloom.llm.common import ROWS_AT_ONCE, fold, hash_order, release
 from cardloom.scale import top_per_key
 
 LENGTH, SPAN, DECAY = 4, 6, 0.6
@@ -46,7 +47,7 @@ THRESHOLD = 0.5
 FLOOR = -2.0
 """Margin of a text without units."""
 _WINDOW = 32
-_CACHE = 300_000
+_CACHE = 100_000
 _AT_ONCE = 2000
 _MARKED_AT_ONCE = 200
 """Units compared with all landmarks at once; each of their subsequences takes a row of doubles."""
@@ -311,6 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         classes.get(1, 0),
         classes.get(0, 0),
     )
+    del counted
+    release()
     if not len(machine.lookup.keys):
         return machine
     seen = sample.select("toxic", margin(docs, machine)("text").alias("m")).toPandas()
@@ -339,14 +342,15 @@ def margin(docs: DataFrame, machine: Machine):
     """Function from a text column to its highest unit margin, with the machine broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    @pandas_udf("double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for texts in parts:
+        for texts in parts:  # never a batch as Python strings
             out = []
-            for at in range(0, len(texts), 500):
-                out += own.text_margins(list(texts.iloc[at : at + 500]))
-            yield pd.Series(out, dtype=float)
+            for at in range(0, len(texts), ROWS_AT_ONCE):
+                out += own.text_margins(texts.slice(at, ROWS_AT_ONCE).to_pylist())
+            yield pa.array(out, pa.float64())
+        release()
 
     return run
 
