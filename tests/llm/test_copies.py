@@ -144,3 +144,17 @@ def test_fingerprint_of_a_set_is_simhash():
     text = "a b c d e f g h i j k l"
     assert copies.fingerprint(copies.hashes(text)) % (1 << 64) == simhash.fingerprint(text, copies.WORDS)
     assert copies.fingerprint(copies.hashes("")) == 0
+
+
+def test_signatures_leave_a_batch_in_slices():
+    """No more than 500 rows of an Arrow batch are signed before they are passed on; none is lost."""
+    n = 1203
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"w{i} x y z" for i in range(n)])], ["doc_id", "text"])
+    out = list(copies._signed(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= 500
+    assert [d for b in out for d in b.column("doc_id").to_pylist()] == list(range(n))
+
+
+def test_marks_are_compared_as_arrays(spark):
+    frame = spark.createDataFrame([([1, 7, -1], [1, 0, 0])], "a array<bigint>, b array<bigint>")
+    assert frame.select(copies._flips("a", "b").alias("n")).first().n == 0 + 3 + 64

@@ -1,8 +1,10 @@
 """The string kernel against plain enumeration, the collapsed machine, and held-out accuracy."""
 
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cardloom.llm import toxicity as tox
@@ -96,3 +98,16 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert tox.toxicity(docs.limit(0), labels).collect() == []
     blind = tox.toxicity(docs, labels.limit(0)).collect()
     assert len(blind) == len(rows) and {r.predicted for r in blind} == {0} and len({r.score for r in blind}) == 1
+
+
+def test_scoring_holds_no_batch_of_strings(spark):
+    """A batch of texts stays in Arrow, of which few rows at once become Python strings."""
+    texts = pa.array([f"some words {i} " + "and more of them " * 400 for i in range(4000)])
+    machine = tox.Machine(np.zeros(0, np.uint64), np.zeros(0), 0.5)
+    run = tox.margin(spark.createDataFrame([], "text string"), machine).func
+    tracemalloc.start()
+    got = [m for part in run(iter([texts])) for m in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [0.5] * 4000
+    assert peak < texts.nbytes / 2
