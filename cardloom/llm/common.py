@@ -13,6 +13,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 """A word: a longest run of characters other than space and the ASCII controls 9 to 13."""
 ROWS_AT_ONCE = 500
 """Rows of an Arrow batch that are worked on, and passed on, at once."""
+ROWS_A_TASK = 100_000
+"""Rows of a few numbers that are worth a task of their own."""
+TASKS = 16
+"""Tasks that any table may have, however small."""
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +49,17 @@ def release() -> None:
         trim(0)
 
 
+def fewer(df: DataFrame, rows: int | None, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` in no more tasks than ``rows`` rows are worth; it never has more than before.
+
+    Each task of a shuffle and each part of a checkpoint leaves files, however
+    few rows it has, and rounds over small tables leave little else.  Rows stay
+    dealt by their keys as they were, only some parts share a task.  Where the
+    number of rows is not known (None), nothing changes.
+    """
+    return df if rows is None else df.coalesce(max(TASKS, -(-rows // a_task)))
+
+
 def renamed_apart(df: DataFrame) -> DataFrame:
     """The same columns as new attributes, for a co-group of two tables that come from one."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -30,7 +30,9 @@ share is no rarer than the rarest shingle they share, so their places of it
 bound how many that are; and each set has a mark of ``BITS`` bits, where a
 shingle flips one, so two sets differ in at least as many shingles as their
 marks do in bits.  Each round links components of the round before, so no link
-is looked at twice.
+is looked at twice.  Rows are counted where they may have become few, and what
+works on them has the tasks that they are worth (``fewer``): otherwise files and
+log lines of rounds without work fill more disk than the work.
 """
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import slices
+from cardloom.llm.common import fewer, slices
 from cardloom.llm.components import components
-from cardloom.llm.simhash import SEED, links, majority
+from cardloom.llm.simhash import MASKS, SEED, links, majority
 from cardloom.scale import clustered
 from cardloom.session import checkpointed
 
@@ -57,6 +59,8 @@ STARS = 3
 MEMBERS = 1024
 BITS = 1024
 """Bits of a set's mark; sets of several thousand shingles fill it, and are then compared more often, never less."""
+SETS_A_TASK, TEXTS_A_TASK = 20_000, 1_000
+"""Rows that are worth a task of their own, where they hold keys and marks, or texts."""
 _AT_ONCE = 1 << 12
 _DRAW = np.random.default_rng(SEED)
 _FACTORS = _DRAW.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,8 +146,8 @@ def _flips(a: str, b: str) -> Column:
     return F.aggregate(apart, F.lit(0), lambda n, m: n + m)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b): the labels (there, label) of the pairs (centre, node) that are similar."""
+def _linked(pairs: DataFrame, texts: DataFrame, least: float, n: int) -> DataFrame:
+    """(a, b): the labels (there, label) of the ``n`` pairs (centre, node) that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -156,38 +160,38 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 alike.append(node.is_valid and similarity(own, found) >= least)
             yield batch.select(["there", "label"]).filter(pa.array(alike, pa.bool_())).rename_columns(["a", "b"])
 
-    sizes = pairs.groupBy("centre").agg(F.floor(F.count("*") / MEMBERS).alias("more"))
-    dealt = pairs.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("more") + 1)).drop("more")
+    sizes = fewer(pairs.groupBy("centre").agg(F.floor(F.count("*") / MEMBERS).alias("more")), n)
+    dealt = fewer(pairs.join(sizes, "centre"), n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("more") + 1)).drop("more")
     none = F.lit(None).cast("bigint")
-    heads = dealt.select("centre", "block").distinct().withColumns({"node": none, "there": none, "label": none})
+    heads = fewer(dealt.select("centre", "block").distinct(), n).withColumns({"node": none, "there": none, "label": none})
     rows = dealt.unionByName(heads).withColumn("fetch", F.coalesce("node", "centre"))
     told = rows.join(texts.withColumnRenamed("node", "fetch"), "fetch").select("centre", "block", "node", "there", "label", "text")
-    return clustered(told, ["centre", "block"], ["node"]).mapInArrow(run, "a bigint, b bigint")
+    blocks = fewer(clustered(fewer(told, n, TEXTS_A_TASK), ["centre", "block"], ["node"]), n, TEXTS_A_TASK)  # one sorted part behind another
+    return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_prints(sets: DataFrame, least: float) -> DataFrame:
-    """(centre, node, there, label): sets of one fingerprint beside one of them, and one set each of fingerprints within two bits."""
-    heads = checkpointed(sets.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")).select("fp", "head.*"))
+def _near_prints(sets: DataFrame, least: float, n: int) -> DataFrame:
+    """(centre, node, there, label): of at most ``n`` sets, those of one fingerprint beside one of them, and one set each of fingerprints within two bits."""
+    heads = checkpointed(fewer(sets.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")).select("fp", "head.*"), n))
     centres = heads.select("fp", F.col("node").alias("centre"), F.col("size").alias("m"))
-    same = sets.select("fp", "node", "size").join(centres, "fp").filter("node <> centre")
-    near = (
-        links(heads.select("fp"))
-        .distinct()
-        .join(centres.withColumnRenamed("fp", "a"), "a")
-        .join(heads.withColumnRenamed("fp", "b"), "b")
-    )
+    same = fewer(sets.select("fp", "node", "size").join(centres, "fp").filter("node <> centre"), n)
+    found = links(heads.select("fp"), at_most=n)
+    few = n * len(MASKS)  # links come from so many keys
+    near = fewer(fewer(found.distinct(), few).join(centres.withColumnRenamed("fp", "a"), "a"), few)
+    near = fewer(near.join(heads.withColumnRenamed("fp", "b"), "b"), few)
     columns = ["centre", "node", "size", "m"]
     both = same.select(*columns).unionByName(near.select(*columns)).filter(_close("size", "m", least))
-    return both.select("centre", "node", F.col("centre").alias("there"), F.col("node").alias("label"))
+    return fewer(both.select("centre", "node", F.col("centre").alias("there"), F.col("node").alias("label")), few)
 
 
-def _met(left: DataFrame, least: float) -> DataFrame:
-    """(centre, node, there, label): the rows of each key that are not of its centre's component, beside the centre."""
+def _met(left: DataFrame, least: float, n: int) -> DataFrame:
+    """(centre, node, there, label): the rows of each key that are not of its centre's component, beside the centre; ``left`` has ``n`` rows."""
     centre = left.filter("node = centre").select("key", F.col("label").alias("there"), F.col("size").alias("m"))
-    return left.join(centre, "key").filter((F.col("label") != F.col("there")) & _close("size", "m", least))
+    met = left.join(centre, "key").filter((F.col("label") != F.col("there")) & _close("size", "m", least))
+    return fewer(fewer(met.select("centre", "node", "there", "label"), n).distinct(), n)
 
 
-def _rarest(left: DataFrame, texts: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+def _rarest(left: DataFrame, texts: DataFrame, marks: DataFrame, least: float, n: int) -> DataFrame:
     """(key, node, label, size, at, mark): the rarest shingles of each node, enough of them that similar sets share one; only those of several labels.
 
     ``at`` is the place of the shingle in its set, counted from the commonest.
@@ -200,14 +204,14 @@ def _rarest(left: DataFrame, texts: DataFrame, marks: DataFrame, least: float) -
                 columns = [np.full(len(found), node.as_py()), np.full(len(found), size.as_py()), found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "size", "key"])
 
-    nodes = left.select("node", "label", "size").distinct()
+    nodes = fewer(left.select("node", "label", "size").distinct(), n)
     grams = texts.join(nodes, "node").select("node", "size", "text").mapInArrow(run, "node bigint, size bigint, key bigint")
     several = grams.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     commonest = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("key"))  # shingles of one node only would come last
     rare = grams.join(several, "key").withColumn("at", F.row_number().over(commonest)).filter(
         F.col("at") >= F.ceil(F.col("size") * least - 1e-9)
     )
-    told = nodes.select("node", "label").join(marks, "node")
+    told = fewer(nodes.select("node", "label").join(marks, "node"), n, SETS_A_TASK)
     kept = checkpointed(rare.join(told, "node").select("key", "node", "label", "size", "at", "mark"))
     mixed = kept.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     return kept.join(mixed.select("key"), "key")
@@ -247,50 +251,54 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = checkpointed(text.mapInArrow(_signed, "doc_id bigint, digest binary, size bigint, fp bigint, mark array<bigint>, keys array<bigint>"))
-    sets = checkpointed(
-        signed.groupBy("digest")
-        .agg(*[F.first(c).alias(c) for c in ("size", "fp", "mark", "keys")], F.min("doc_id").alias("pick"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
+    docs_n = signed.count()
+    whole = signed.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("size", "fp", "mark", "keys")], F.min("doc_id").alias("pick"))
+    sets = checkpointed(fewer(whole, docs_n, SETS_A_TASK).withColumn("node", F.monotonically_increasing_id()))
+    sets_n = sets.count()
     keyed = sets.select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    live = checkpointed(keyed.join(shared, "key"))
-    prints = checkpointed(_near_prints(sets, least))
-    named = signed.join(sets.select("digest", "node"), "digest").select("doc_id", "node")
-    nodes = live.select("node").unionByName(prints.select(F.explode(F.array("node", "centre")).alias("node"))).distinct()
-    asked = sets.select(F.col("digest").alias("of"), "pick", "node").join(nodes, "node")
+    shared = fewer(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), sets_n * BANDS)
+    live = checkpointed(fewer(keyed.join(shared, "key"), sets_n * BANDS))
+    prints = checkpointed(_near_prints(sets, least, sets_n))
+    named = fewer(signed.join(sets.select("digest", "node"), "digest").select("doc_id", "node"), docs_n)
+    nodes = live.select("node").unionByName(prints.select(F.explode(F.array("node", "centre")).alias("node")))
+    nodes = checkpointed(fewer(nodes.distinct(), sets_n))
+    asked = fewer(sets.select(F.col("digest").alias("of"), "pick", "node").join(nodes, "node"), sets_n)
     drawn = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("pick"))
     named_so = F.col("doc_id").eqNullSafe(F.col("pick"))
-    texts = checkpointed(
-        text.join(asked.select("pick").distinct(), named_so, "left_semi")
-        .mapInArrow(_digested, "digest binary, doc_id bigint, text string")
-        .join(asked, drawn)
-        .groupBy("node")
-        .agg(F.min("text").alias("text"))  # of rows repeated under one id; texts with equal sets are as good as each other
+    picked = fewer(text.join(fewer(asked.select("pick").distinct(), sets_n), named_so, "left_semi"), docs_n, TEXTS_A_TASK)
+    again = picked.mapInArrow(_digested, "digest binary, doc_id bigint, text string")
+    texts = fewer(again.join(asked, drawn), docs_n, TEXTS_A_TASK).groupBy("node").agg(
+        F.min("text").alias("text")  # of rows repeated under one id; texts with equal sets are as good as each other
     )
+    texts = checkpointed(fewer(texts, sets_n, TEXTS_A_TASK))
 
     marks = sets.select("node", "mark")
     labels = nodes.withColumn("label", F.col("node"))
-    state = live.withColumn("label", F.col("node"))
+    state, n = live.withColumn("label", F.col("node")), live.count()
     for turn in range(STARS + 1):
         several = state.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")
         )
-        left = checkpointed(state.join(several.filter("low < high").select("key", "centre"), "key"))
-        if turn and left.isEmpty():
+        several = fewer(several.filter("low < high").select("key", "centre"), n)
+        left = checkpointed(fewer(state.join(several, "key"), n))
+        n = left.count()
+        if turn and not n:
             break
-        met = _met(left, least) if turn < STARS else _all_met(_rarest(left, texts, marks, least), least)
-        pairs = checkpointed(met.select("centre", "node", "there", "label").distinct())
-        found = _linked(pairs, texts, least)
+        pairs = checkpointed(_met(left, least, n) if turn < STARS else _all_met(_rarest(left, texts, marks, least, n), least).distinct())
+        pairs_n = pairs.count()
+        found = _linked(pairs, texts, least, pairs_n)
         if not turn:
-            found = found.unionByName(_linked(prints, texts, least))
-        merged = components(found, "a", "b").withColumnRenamed("node", "label")
-        labels = checkpointed(labels.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
-        state = left.select("key", "node", "size").join(labels, "node")
-
-    named = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label").select("doc_id", "component_id")
+            prints_n = prints.count()
+            found = found.unionByName(_linked(prints, texts, least, prints_n))
+            pairs_n += prints_n
+        merged = components(found, "a", "b", pairs_n).withColumnRenamed("node", "label")
+        told = fewer(labels.join(merged, "label", "left"), sets_n).select("node", F.coalesce("component", "label").alias("label"))
+        labels = checkpointed(told)
+        state = fewer(left.select("key", "node", "size").join(labels, "node"), n)
+
+    named = fewer(named.join(labels, "node", "left"), docs_n).select("doc_id", F.coalesce("label", "node").alias("label"))
+    smallest = fewer(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), docs_n)
+    return fewer(named.join(smallest, "label"), docs_n).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm.common import fewer
 from cardloom.llm.components import components
 from cardloom.session import checkpointed
 
@@ -96,23 +97,26 @@ def _near(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
-def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
+def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO, at_most: int | None = None) -> DataFrame:
     """(a, b) of different fingerprints that connect what is within ``DISTANCE`` bits; input: distinct ``fp``.
 
+    ``at_most``: a number of fingerprints that is known not to be exceeded.
     Keys with few fingerprints give each verified pair, larger keys a star at
     each common centre; both connect exactly the same fingerprints.
     """
     keyed = distinct.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS])).alias("mask", "key")
     )
-    shared = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = checkpointed(keyed.join(shared, ["mask", "key"]))
+    n = None if at_most is None else at_most * len(MASKS)
+    shared = fewer(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"), n)
+    live = checkpointed(fewer(keyed.join(shared, ["mask", "key"]), n))
 
     few = live.filter(F.col("n") <= pairs_up_to).select("mask", "key", F.col("fp").alias("a"))
-    pairs = (
+    pairs = fewer(
         few.join(few.withColumnRenamed("a", "b"), ["mask", "key"])
         .filter((F.col("a") < F.col("b")) & _near("a", "b"))
-        .select("a", "b")
+        .select("a", "b"),
+        n,
     )
 
     free = F.element_at(F.array(*[F.lit(_signed(~m & (1 << 64) - 1)) for m in MASKS]), F.col("mask") + 1)
@@ -130,7 +134,7 @@ def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
         .select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
         .filter((F.col("a") != F.col("b")) & _near("a", "b"))
     )
-    return pairs.unionByName(centred)
+    return pairs.unionByName(fewer(centred, n))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -144,7 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives an empty table; other columns are not read.
     """
     prints = checkpointed(fingerprints(docs))
-    found = components(links(prints.select("fp").distinct()), "a", "b")
+    found = components(links(prints.select("fp").distinct(), at_most=prints.count()), "a", "b")
     members = (
         prints.groupBy("fp")
         .agg(F.min("doc_id").alias("least"))

@@ -1,6 +1,7 @@
 """Near copies by Jaccard similarity against plain loops over all pairs."""
 
 import random
+import sys
 
 import corpus_pipeline
 import numpy as np
@@ -8,6 +9,8 @@ import pyarrow as pa
 from test_simhash import brute_components
 
 from cardloom.llm import copies, simhash
+from cardloom.llm.common import TASKS, fewer
+from cardloom.llm.components import components
 
 DOCS = "doc_id bigint, text string, component_id int"
 
@@ -158,3 +161,28 @@ def test_signatures_leave_a_batch_in_slices():
 def test_marks_are_compared_as_arrays(spark):
     frame = spark.createDataFrame([([1, 7, -1], [1, 0, 0])], "a array<bigint>, b array<bigint>")
     assert frame.select(copies._flips("a", "b").alias("n")).first().n == 0 + 3 + 64
+
+
+def test_rounds_have_the_tasks_that_their_rows_are_worth(spark, monkeypatch):
+    """With many shuffle partitions that Spark does not merge, small tables leave few files, and the same components."""
+    rows, parts = sample(), []
+    for module in (copies, simhash, sys.modules[components.__module__]):
+        monkeypatch.setattr(module, "checkpointed", lambda df, run=module.checkpointed: parts.append((out := run(df)).rdd.getNumPartitions()) or out)
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, copies.near_copies(spark.createDataFrame(rows, DOCS)).collect()), key=str) == brute(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts) > 12
+    assert sum(n > TASKS for n in parts) <= 2  # rarest shingles and their pairs, whose number is not known before
+
+
+def test_fewer_merges_parts_and_never_makes_more(spark):
+    frame = spark.range(0, 100, 1, 40)
+    assert [fewer(frame, n, 10).rdd.getNumPartitions() for n in (0, 160, 161, 10**6)] == [TASKS, TASKS, TASKS + 1, 40]
+    assert fewer(frame, None) is frame
+    assert sorted(r.id for r in fewer(frame, 5).collect()) == list(range(100))
