@@ -60,6 +60,16 @@ def fewer(df: DataFrame, rows: int | None, a_task: int = ROWS_A_TASK) -> DataFra
     return df if rows is None else df.coalesce(max(TASKS, -(-rows // a_task)))
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that stays with the executors.
+
+    In rounds over small tables an adaptive join would fetch this side to the
+    driver, which builds a broadcast of it, and then read the other side's
+    shuffle, which is written by then, in a task for every part.
+    """
+    return df.hint("merge")
+
+
 def renamed_apart(df: DataFrame) -> DataFrame:
     """The same columns as new attributes, for a co-group of two tables that come from one."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])

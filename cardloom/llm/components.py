@@ -5,7 +5,8 @@ component is a star around its smallest node.  A round is two aggregations
 and two joins on node ids; no neighbour list is ever collected, so a node
 with very many links is spread over tasks like any skewed join.  Rounds are
 cut by checkpoints in the shared folder; the number of rounds grows with the
-logarithm of the longest chain.  A round has the tasks that its links are worth.
+logarithm of the longest chain.  A round has the tasks that its links are worth,
+and of its rows none is fetched to the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fewer
+from cardloom.llm.common import by_shuffle, fewer
 from cardloom.session import checkpointed
 
 
@@ -23,7 +24,7 @@ def _starred(links: DataFrame, both_ways: bool, n: int) -> DataFrame:
     if both_ways:
         seen = seen.unionByName(links.select(F.col("low").alias("node"), F.col("node").alias("near")))
     least = fewer(seen.groupBy("node").agg(F.min("near").alias("least")), n)
-    joined = fewer(seen.join(least.withColumn("least", F.least("least", "node")), "node"), n)
+    joined = fewer(seen.join(by_shuffle(least.withColumn("least", F.least("least", "node"))), "node"), n)
     if both_ways:  # larger neighbours hang on the least one
         moved = joined.filter("near > node").select(F.col("near").alias("node"), F.col("least").alias("low"))
     else:  # smaller neighbours, and the node itself, hang on the least one

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fewer, slices
+from cardloom.llm.common import by_shuffle, fewer, slices
 from cardloom.llm.components import components
 from cardloom.llm.simhash import MASKS, SEED, links, majority
 from cardloom.scale import clustered
@@ -161,7 +161,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, least: float, n: int) -> DataFra
             yield batch.select(["there", "label"]).filter(pa.array(alike, pa.bool_())).rename_columns(["a", "b"])
 
     sizes = fewer(pairs.groupBy("centre").agg(F.floor(F.count("*") / MEMBERS).alias("more")), n)
-    dealt = fewer(pairs.join(sizes, "centre"), n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("more") + 1)).drop("more")
+    dealt = fewer(pairs.join(by_shuffle(sizes), "centre"), n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("more") + 1)).drop("more")
     none = F.lit(None).cast("bigint")
     heads = fewer(dealt.select("centre", "block").distinct(), n).withColumns({"node": none, "there": none, "label": none})
     rows = dealt.unionByName(heads).withColumn("fetch", F.coalesce("node", "centre"))
@@ -174,11 +174,11 @@ def _near_prints(sets: DataFrame, least: float, n: int) -> DataFrame:
     """(centre, node, there, label): of at most ``n`` sets, those of one fingerprint beside one of them, and one set each of fingerprints within two bits."""
     heads = checkpointed(fewer(sets.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")).select("fp", "head.*"), n))
     centres = heads.select("fp", F.col("node").alias("centre"), F.col("size").alias("m"))
-    same = fewer(sets.select("fp", "node", "size").join(centres, "fp").filter("node <> centre"), n)
+    same = fewer(sets.select("fp", "node", "size").join(by_shuffle(centres), "fp").filter("node <> centre"), n)
     found = links(heads.select("fp"), at_most=n)
     few = n * len(MASKS)  # links come from so many keys
-    near = fewer(fewer(found.distinct(), few).join(centres.withColumnRenamed("fp", "a"), "a"), few)
-    near = fewer(near.join(heads.withColumnRenamed("fp", "b"), "b"), few)
+    near = fewer(fewer(found.distinct(), few).join(by_shuffle(centres.withColumnRenamed("fp", "a")), "a"), few)
+    near = fewer(near.join(by_shuffle(heads.withColumnRenamed("fp", "b")), "b"), few)
     columns = ["centre", "node", "size", "m"]
     both = same.select(*columns).unionByName(near.select(*columns)).filter(_close("size", "m", least))
     return fewer(both.select("centre", "node", F.col("centre").alias("there"), F.col("node").alias("label")), few)
@@ -187,7 +187,7 @@ def _near_prints(sets: DataFrame, least: float, n: int) -> DataFrame:
 def _met(left: DataFrame, least: float, n: int) -> DataFrame:
     """(centre, node, there, label): the rows of each key that are not of its centre's component, beside the centre; ``left`` has ``n`` rows."""
     centre = left.filter("node = centre").select("key", F.col("label").alias("there"), F.col("size").alias("m"))
-    met = left.join(centre, "key").filter((F.col("label") != F.col("there")) & _close("size", "m", least))
+    met = left.join(by_shuffle(centre), "key").filter((F.col("label") != F.col("there")) & _close("size", "m", least))
     return fewer(fewer(met.select("centre", "node", "there", "label"), n).distinct(), n)
 
 
@@ -211,10 +211,10 @@ def _rarest(left: DataFrame, texts: DataFrame, marks: DataFrame, least: float, n
     rare = grams.join(several, "key").withColumn("at", F.row_number().over(commonest)).filter(
         F.col("at") >= F.ceil(F.col("size") * least - 1e-9)
     )
-    told = fewer(nodes.select("node", "label").join(marks, "node"), n, SETS_A_TASK)
+    told = fewer(nodes.select("node", "label").join(by_shuffle(marks), "node"), n, SETS_A_TASK)
     kept = checkpointed(rare.join(told, "node").select("key", "node", "label", "size", "at", "mark"))
     mixed = kept.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return kept.join(mixed.select("key"), "key")
+    return kept.join(by_shuffle(mixed.select("key")), "key")
 
 
 def _all_met(left: DataFrame, least: float) -> DataFrame:
@@ -257,12 +257,12 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sets_n = sets.count()
     keyed = sets.select("node", "size", F.explode("keys").alias("key"))
     shared = fewer(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), sets_n * BANDS)
-    live = checkpointed(fewer(keyed.join(shared, "key"), sets_n * BANDS))
+    live = checkpointed(fewer(keyed.join(by_shuffle(shared), "key"), sets_n * BANDS))
     prints = checkpointed(_near_prints(sets, least, sets_n))
     named = fewer(signed.join(sets.select("digest", "node"), "digest").select("doc_id", "node"), docs_n)
     nodes = live.select("node").unionByName(prints.select(F.explode(F.array("node", "centre")).alias("node")))
     nodes = checkpointed(fewer(nodes.distinct(), sets_n))
-    asked = fewer(sets.select(F.col("digest").alias("of"), "pick", "node").join(nodes, "node"), sets_n)
+    asked = fewer(sets.select(F.col("digest").alias("of"), "pick", "node").join(by_shuffle(nodes), "node"), sets_n)
     drawn = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("pick"))
     named_so = F.col("doc_id").eqNullSafe(F.col("pick"))
     picked = fewer(text.join(fewer(asked.select("pick").distinct(), sets_n), named_so, "left_semi"), docs_n, TEXTS_A_TASK)
@@ -280,7 +280,7 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre")
         )
         several = fewer(several.filter("low < high").select("key", "centre"), n)
-        left = checkpointed(fewer(state.join(several, "key"), n))
+        left = checkpointed(fewer(state.join(by_shuffle(several), "key"), n))
         n = left.count()
         if turn and not n:
             break
@@ -292,13 +292,13 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             found = found.unionByName(_linked(prints, texts, least, prints_n))
             pairs_n += prints_n
         merged = components(found, "a", "b", pairs_n).withColumnRenamed("node", "label")
-        told = fewer(labels.join(merged, "label", "left"), sets_n).select("node", F.coalesce("component", "label").alias("label"))
+        told = fewer(labels.join(by_shuffle(merged), "label", "left"), sets_n).select("node", F.coalesce("component", "label").alias("label"))
         labels = checkpointed(told)
-        state = fewer(left.select("key", "node", "size").join(labels, "node"), n)
+        state = fewer(left.select("key", "node", "size").join(by_shuffle(labels), "node"), n)
 
-    named = fewer(named.join(labels, "node", "left"), docs_n).select("doc_id", F.coalesce("label", "node").alias("label"))
+    named = fewer(named.join(by_shuffle(labels), "node", "left"), docs_n).select("doc_id", F.coalesce("label", "node").alias("label"))
     smallest = fewer(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), docs_n)
-    return fewer(named.join(smallest, "label"), docs_n).select("doc_id", "component_id")
+    return fewer(named.join(by_shuffle(smallest), "label"), docs_n).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -163,7 +163,10 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     langs = counts.column("lang").to_pylist() if counts.num_rows else []
     grams, n = (counts.column(c).to_numpy() for c in ("gram", "n")) if langs else (np.array([]), np.array([]))
     names, of = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True) if langs else ([], None)
-    return Model({str(lang): Tree(grams[of == i], n[of == i]) for i, lang in enumerate(names)})
+    model = Model({str(lang): Tree(grams[of == i], n[of == i]) for i, lang in enumerate(names)})
+    del counts, langs, grams, n, of
+    release()
+    return model
 
 
 def predictor(docs: DataFrame, model: Model):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.common import fewer
+from cardloom.llm.common import by_shuffle, fewer
 from cardloom.llm.components import components
 from cardloom.session import checkpointed
 
@@ -109,11 +109,11 @@ def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO, at_most: int | No
     )
     n = None if at_most is None else at_most * len(MASKS)
     shared = fewer(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1"), n)
-    live = checkpointed(fewer(keyed.join(shared, ["mask", "key"]), n))
+    live = checkpointed(fewer(keyed.join(by_shuffle(shared), ["mask", "key"]), n))
 
     few = live.filter(F.col("n") <= pairs_up_to).select("mask", "key", F.col("fp").alias("a"))
     pairs = fewer(
-        few.join(few.withColumnRenamed("a", "b"), ["mask", "key"])
+        few.join(by_shuffle(few.withColumnRenamed("a", "b")), ["mask", "key"])
         .filter((F.col("a") < F.col("b")) & _near("a", "b"))
         .select("a", "b"),
         n,

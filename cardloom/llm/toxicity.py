@@ -50,7 +50,9 @@ _WINDOW = 32
 _CACHE = 100_000
 _AT_ONCE = 2000
 _MARKED_AT_ONCE = 200
-"""Units compared with all landmarks at once; each of their subsequences takes a row of doubles."""
+"""Units whose subsequences are looked up among the landmarks' at once."""
+_ROWS_AT_ONCE = 2000
+"""Rows of doubles, one a landmark, that are held at once: of subsequences, or of units in the machine's fit."""
 _SLOTS = 1 << 17
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -178,23 +180,33 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge SVM by Newton steps on its active set."""
-    design = np.column_stack([x, np.ones(len(x))])
-    del x
-    w = np.zeros(design.shape[1])
+def _svm(kernel: np.ndarray, root: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Weights and bias of a squared-hinge SVM over the features ``kernel @ root``, by Newton steps on its active set.
+
+    Kernel values stay in single precision; the features of ``_ROWS_AT_ONCE`` units at once are made again in each step.
+    """
+    w = np.zeros(root.shape[1] + 1)
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     active = None
+
+    def design(rows: np.ndarray) -> np.ndarray:
+        return np.column_stack([kernel[rows] @ root, np.ones(len(rows))])
+
+    def parts(rows: np.ndarray) -> Iterator[np.ndarray]:
+        return (rows[at : at + _ROWS_AT_ONCE] for at in range(0, len(rows), _ROWS_AT_ONCE))
+
     for _ in range(50):
-        now = y * (design @ w) < 1
+        now = np.concatenate([y[rows] * (design(rows) @ w) < 1 for rows in parts(np.arange(len(y)))])
         if active is not None and (now == active).all():
             break
         active = now
-        inner = design[active]
-        rows = inner * cost[active, None]
-        w = np.linalg.solve(inner.T @ rows + np.diag(penalty), rows.T @ y[active])
-        del inner, rows
+        inner, right = np.diag(penalty), np.zeros(len(w))
+        for rows in parts(np.flatnonzero(active)):
+            own = design(rows)
+            weighed = own * cost[rows, None]
+            inner, right = inner + own.T @ weighed, right + weighed.T @ y[rows]
+        w = np.linalg.solve(inner, right)
     return w[:-1], float(w[-1])
 
 
@@ -214,11 +226,17 @@ class Kernel:
             of, key, weight = occurrences(names[at : at + _MARKED_AT_ONCE])
             hit, row = self.lookup.find(key)
             order = np.argsort(of[hit], kind="stable")
-            own = of[hit][order]
-            if len(own):
-                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                values = self.maps[row[order]] * weight[hit][order][:, None]
-                out[at + own[starts]] = np.add.reduceat(values, starts)
+            own, row, weight = of[hit][order], row[order], weight[hit][order]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else own
+            ends = np.r_[starts[1:], len(own)]
+            first = 0
+            while first < len(starts):  # whole units, as many as there is room for
+                last = max(first + 1, int(np.searchsorted(ends, starts[first] + _ROWS_AT_ONCE, "right")))
+                a, b = starts[first], ends[last - 1]
+                values = self.maps[row[a:b]]
+                values *= weight[a:b, None]
+                out[at + own[starts[first:last]]] = np.add.reduceat(values, starts[first:last] - a)
+                first = last
         return out
 
 
@@ -239,6 +257,7 @@ def fit(found: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_
     near = np.zeros(len(found))
     for at in range(0, len(found), _AT_ONCE):
         near[at : at + _AT_ONCE] = alike(found[at : at + _AT_ONCE]).max(axis=1, initial=0)
+    del alike
     room = LANDMARKS - len(best)
     confusing = innocent[np.argsort(-near[innocent] * np.log1p(clean[innocent]), kind="stable")][: room * 2 // 3]
     common = innocent[np.argsort(-clean[innocent], kind="stable")][: room // 3]
@@ -261,7 +280,7 @@ def fit(found: list[str], toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_
         seen = np.where(positive, toxic, clean)[chosen]
         cost = np.log1p(seen)
         cost[y > 0] *= max(1.0, (y < 0).sum() / max(1, (y > 0).sum()) / 4)
-        w, bias = _svm(against_marks([found[i] for i in chosen]) @ root, y, cost)
+        w, bias = _svm(against_marks([found[i] for i in chosen]), root, y, cost)
         weights = maps @ (root @ w)
         machine = Machine(keys, weights, bias)
         if round_ + 1 < ROUNDS:
@@ -305,6 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         .limit(MAX_UNITS)
         .toPandas()
     )
+    release()  # of what the rows came in
     machine = fit(
         counted["unit"].tolist(),
         counted["toxic"].to_numpy(float),

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from cardloom.llm import simhash
-from cardloom.llm.components import components
+from cardloom.llm.components import _starred, components
 
 DOCS = "doc_id bigint, text string, fp string, component_id int"
 
@@ -90,3 +90,12 @@ def test_long_chain(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "x bigint, y bigint"), "x", "y").collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
     assert components(spark.createDataFrame([], "x bigint, y bigint"), "x", "y").collect() == []
+
+
+def test_rounds_of_components_bring_no_rows_to_the_driver(spark):
+    """Small sides are not collected and broadcast: a round is shuffled, whatever its size."""
+    links = spark.createDataFrame([(i + 1, i) for i in range(50)], "node bigint, low bigint")
+    step = _starred(links, True, 50)
+    assert len(step.collect()) == 50
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

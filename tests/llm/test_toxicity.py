@@ -111,3 +111,26 @@ def test_scoring_holds_no_batch_of_strings(spark):
     tracemalloc.stop()
     assert got == [0.5] * 4000
     assert peak < texts.nbytes / 2
+
+
+def test_training_holds_few_rows_of_doubles():
+    """Subsequences and units have a row of one double a landmark; only some of the rows exist at once."""
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed"], 6)) for _ in range(16_000)]
+    found = [*dict.fromkeys(["idiot", "moron", "stupid", *clean])]
+    toxic = np.array([30.0] * 3 + [1.0] * (len(found) - 3))
+    tracemalloc.start()
+    machine = tox.fit(found, toxic, np.array([0.0] * 3 + [9.0] * (len(found) - 3)), 40, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert machine.margins(["idiot"])[0] > machine.margins(found[3:]).max()
+    assert peak < 8 * len(found) * tox.LANDMARKS * 2
+
+
+def test_kernel_of_many_subsequences_is_taken_in_whole_units(monkeypatch):
+    names = ["idiot", "x", "ungeheuerlich", "stupid", "", "ab", "trash" * 6]
+    kernel = tox.Kernel(names)
+    whole = kernel(names)
+    for rows in (1, 7, 30):
+        monkeypatch.setattr(tox, "_ROWS_AT_ONCE", rows)
+        assert kernel(names) == pytest.approx(whole, rel=1e-6)
